@@ -372,3 +372,15 @@ links AS (SELECT x, sum(m) AS m FROM link GROUP BY x)
 SELECT d.doc_id, coalesce(cls.class_id, s.rep, d.doc_id)::BIGINT AS class_id, (coalesce(links.m, 0) + coalesce(s.n, 1) - 1)::BIGINT AS n_links
 FROM documents d LEFT JOIN grams USING (doc_id) LEFT JOIN sets s ON s.g = grams.g LEFT JOIN links ON links.x = s.rep LEFT JOIN cls ON cls.x = s.rep
 """
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class: that with the least id. Rows that repeat id and text are one."""
+    found = linked(df, id_col, text_col)
+    drop = found.where(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("kid").alias("_kid")).distinct()
+    kid = F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    left = df.withColumn("_kid0", kid)
+    stay = left.join(drop, (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.col("_kid0") == F.col("_kid")), "left_anti")
+    again = found.where("first").groupBy("doc_id", "kid").count().where("count > 1").limit(1).count()
+    out = stay.dropDuplicates([id_col, "_kid0"]) if again else stay
+    return out.select(*df.columns)
