@@ -85,7 +85,8 @@ class Filters:
         return reduce(lambda a, b: a & b, self.parts().values(), F.lit(True))
 
     def active(self) -> list[str]:
-        return [name for name in self.parts() if name != "exclude"]
+        held = {"location": self.locations, "industry": self.industries, "topic": self.topics, "founded": self.founded, "employees": self.employees, "revenue": self.revenue_buckets}
+        return [name for name, values in held.items() if values]
 
     def without(self, name: str) -> Filters:
         cleared = {"location": {"locations": ()}, "industry": {"industries": ()}, "topic": {"topics": ()}, "founded": {"founded": Range()}, "employees": {"employees": Range()}, "revenue": {"revenue_buckets": None}}
