@@ -17,7 +17,7 @@ repeated rows are packed each; empty input gives no pieces.
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -30,51 +30,50 @@ from pyspark.sql import functions as F
 from entitylens.llm.common import stored, table
 from entitylens.llm.token_counts import path_of
 
-KEPT_CHUNKS = 300_000
-KEPT_LENGTH = 200
-#: Pre-tokens never span a cut before a run of blanks or line feeds, if no other white space stands before it.
-CHUNK = re.compile(r"[ \n]+[^ \n]*|[^ \n]+")
-MIXED_SPACE = re.compile(r"[^\S \n\x1c-\x1f][ \n]|[\x1c-\x1f\x85]")
+#: Vocabularies that are also there as merge ranks: the same ids, found several times faster.
+RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 
 
 class IdEncoder:
-    """Ids of whole texts, as little-endian 16-bit numbers, as the tokenizers library gives them."""
+    """Ids of whole texts, as little-endian 16-bit numbers, as the tokenizers library gives them.
 
-    def __init__(self, path: str):
+    Where the vocabulary is at hand as merge ranks, and each rank proves to be the
+    library's id of the same bytes, texts are encoded by the ranks; those that hold
+    a special token's string, and any other vocabulary, go through the library.
+    """
+
+    def __init__(self, name: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path_of(name))
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.byte_level = b'"ByteLevel"' in open(path, "rb").read() and self.model.normalizer is None
-        self.kept: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
+        self.fast = self._ranked(RANKS[name]) if name in RANKS else None
+
+    def _ranked(self, name: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path_of(name), "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        # The library writes bytes as letters: printable ones as themselves, the others from 256 on.
+        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+        ids = self.model.get_vocab(with_added_tokens=False)
+        same = all(ids.get("".join(letters[b] for b in token)) == rank for token, rank in ranks.items())
+        plain = self.model.normalizer is None and b'"ByteLevel"' in open(path_of("byte_bpe_50k.json"), "rb").read()
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if same and plain else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if not self.byte_level or MIXED_SPACE.search(t) or any(s in t for s in self.special)]
-        apart = set(whole)
-        chunks = [[] if i in apart else CHUNK.findall(t) for i, t in enumerate(texts)]
-        found = self.kept
-        new = {c for cs in chunks for c in cs if c not in found}
-        if len(found) + len(new) > KEPT_CHUNKS:
-            found = self.kept = {}
-            new = {c for cs in chunks for c in cs}
-        ask = sorted(new)
-        fresh = dict(zip(ask, self._direct(ask), strict=True))
-        kept = {c: x for c, x in fresh.items() if len(c) <= KEPT_LENGTH}
-        if len(kept) < len(fresh) or len(kept) > KEPT_CHUNKS:
-            found = {**found, **fresh}
-            self.kept.update(list(kept.items())[:KEPT_CHUNKS])
-        else:
-            found.update(fresh)
-        one = found.__getitem__
-        out = [b"".join(map(one, cs)) for cs in chunks]
-        for i, ids in zip(whole, self._direct([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        library = [i for i, t in enumerate(texts) if self.fast is None or any(s in t for s in self.special)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, found in zip(library, self.model.encode_batch_fast([texts[i] for i in library], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u2").tobytes()
+        apart = set(library)
+        for i, t in enumerate(texts):
+            if i not in apart:
+                out[i] = self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u2").tobytes()
         return out
 
 
@@ -99,7 +98,7 @@ def tokenized(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        model = IdEncoder(path_of(tokenizer))
+        model = IdEncoder(tokenizer)
         for b in batches:
             texts = b.column(1)
             for i, j in _slices(np.asarray(pc.binary_length(texts)), 4 << 20):

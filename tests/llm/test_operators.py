@@ -275,9 +275,11 @@ def test_ids_equal_the_librarys():
     from tokenizers import Tokenizer
 
     path = token_counts.path_of("byte_bpe_50k.json")
-    model, own = Tokenizer.from_file(path), packing.IdEncoder(path)
+    model, own = Tokenizer.from_file(path), packing.IdEncoder("byte_bpe_50k.json")
     r = random.Random(1)
     texts = ["".join(r.choice("ab  \n\n\t é'sĸ1 2!\x1c\x85\xa0 \r\x00漢") for _ in range(r.randint(0, 14))) for _ in range(5000)] + ["a<|endoftext|> b"]
+    texts += ["".join(chr(r.choice([r.randrange(32, 0x250), r.randrange(0x250, 0x3100), r.randrange(0xE000, 0x11000), r.randrange(0x1F000, 0x1FA00)])) for _ in range(r.randint(0, 12))) for _ in range(5000)]
+    assert own.fast
     assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
