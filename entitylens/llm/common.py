@@ -47,6 +47,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/entitylens/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
+    # Shuffle files of what has just been written are of no more use; Spark removes them once their plan is collected.
+    jvm.System.gc()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)

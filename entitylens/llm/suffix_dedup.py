@@ -12,10 +12,11 @@ be found, and that by refining buckets:
 2. A bucket is refined by the identifiers of later offsets: every 32 bytes over
    the stretch [first window's start, last window's end) that shares the anchor.
    Where a refined bucket still has two places, all its windows repeat.
-3. Other anchors with a common gram are refined again, by cells of CELL window
-   starts. A cell has an identifier for what all its windows share (if alone in
-   its bucket, none of them repeats) and one for all they cover (if not alone,
-   all repeat).
+3. Other anchors with a common gram stay only if the half window before or after
+   them is common too: each window holds one of the two. They are refined again,
+   by cells of CELL window starts. A cell has an identifier for what all its
+   windows share (if alone in its bucket, none of them repeats) and one for all
+   they cover (if not alone, all repeat).
 4. In cells that are neither, each window gets its own identifier. Only cells
    outside the known ones matter, as all windows of an anchor overlap.
 
@@ -87,9 +88,12 @@ def least_grams(grams: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts]) & PLACE_MASK).astype(np.int64)
 
 
-def anchors(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, first window, last window, gram, identifier of all they cover), by stretches."""
-    step = STRETCH - length
+def anchors(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor, first window, last window, gram, all they cover, half window before, half window after), by stretches.
+
+    A half that the text doesn't hold is 0.
+    """
+    step, half = STRETCH - length, length // 2
     for base in range(0, max(1, len(raw) - length + 1), step):
         part = raw[base : base + step + length - 1]
         if len(part) < length:
@@ -99,8 +103,12 @@ def anchors(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, n
         first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
         at = at[first]
-        most = 2 * length - GRAM
-        yield at + base, first + base, last + base, grams[at], stretch_ids(grams, first, last - first + length, most)
+        whole = stretch_ids(grams, first, last - first + length, 2 * length - GRAM)
+        # The distance from a window's start to its anchor is at least half, or what follows is longer than half.
+        has_before, has_after = at - first >= half, at - last < half
+        before = np.where(has_before, stretch_ids(grams, np.maximum(at - half, 0), np.full(len(at), half + GRAM), half + GRAM), np.uint64(0))
+        after = np.where(has_after, stretch_ids(grams, np.minimum(at, len(part) - half), np.full(len(at), half), half), np.uint64(0))
+        yield at + base, first + base, last + base, grams[at], whole, before, after
 
 
 SIGNED = lambda a: pa.array(np.ascontiguousarray(a).view(np.int64))
@@ -117,49 +125,57 @@ def _anchor_rows(length: int):
                         parts.append(part)
                         key.append(np.full(len(part[0]), k, np.int64))
             if parts:
-                at, first, last, gram, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(at), pa.array((at - first).astype(np.int32)), pa.array((last - at).astype(np.int32)), SIGNED(gram), SIGNED(whole)], names=["kid", "at", "back", "ahead", "gram", "whole"])
+                at, first, last, *ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+                columns = [np.concatenate(key), at, (at - first).astype(np.int32), (last - at).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *map(SIGNED, ids)], names=["kid", "at", "back", "ahead", "gram", "whole", "before", "after"])
 
     return run
 
 
 def _cell_rows(length: int):
-    """Identifiers of the cells of each anchor that isn't settled, and of their windows."""
-    reach = length - GRAM
+    """Identifiers of the cells of each anchor that isn't settled."""
 
-    def of(raw: bytes, found: list[dict]) -> tuple[np.ndarray, ...] | None:
-        at = np.array([x["at"] for x in found], np.int64)
-        lo = np.array([-x["ahead"] for x in found], np.int64)
-        hi = np.array([x["back"] for x in found], np.int64)
+    def of(raw: bytes, found: list[dict]) -> tuple[np.ndarray, ...]:
+        at, lo, hi = (np.array([x[c] for x in found], np.int64) for c in ("at", "lo", "hi"))
         grams = gram_ids(raw)
         # Distances from a window's start to its anchor, by cells on one grid for all anchors.
-        cells = np.arange(reach // CELL + 1)
-        lo = np.maximum(lo, 0)
+        cells = np.arange((length - GRAM) // CELL + 1)
         row, cell = np.nonzero((cells[None] * CELL <= hi[:, None]) & (cells[None] * CELL + CELL - 1 >= lo[:, None]))
-        near, far = cell * CELL, cell * CELL + CELL - 1
-        a = at[row]
+        near, far, a = cell * CELL, cell * CELL + CELL - 1, at[row]
         share = stretch_ids(grams, a - near, np.full(len(a), length - CELL + 1), length - CELL + 1)
-        inside = (a - far >= 0) & (a - near + length <= len(raw)) & (far <= hi[row]) & (near >= lo[row])
+        inside = (far <= hi[row]) & (near >= lo[row])
         size = np.where(inside, length + CELL - 1, length)
         start = np.where(inside, a - far, np.clip(a - near, 0, len(raw) - length))
         cover = np.where(inside, stretch_ids(grams, start, size, length + CELL - 1), np.uint64(0))
-        d = near[:, None] + np.arange(CELL)
-        known = (d >= lo[row][:, None]) & (d <= hi[row][:, None])
-        begin = np.where(known, a[:, None] - d, 0).ravel()
-        each = np.where(known.ravel(), stretch_ids(grams, begin, np.full(len(begin), length), length), np.uint64(0))
-        return a, cell.astype(np.int32), share, cover, inside, each.reshape(-1, CELL)
+        return a, cell.astype(np.int32), share, cover, inside, np.maximum(lo[row], near), np.minimum(hi[row], far)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                open_ = [x for x in found if x["refine"]]
                 raw = text.as_py()
-                for i in range(0, len(open_), 2000):
-                    a, cell, share, cover, inside, each = of(raw, open_[i : i + 2000])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(a), k, np.int64)), pa.array(a), pa.array(cell), SIGNED(share), SIGNED(cover), pa.array(inside), pa.array([r.tobytes() for r in each], pa.binary())],
-                        names=["kid", "at", "cell", "share", "cover", "inside", "each"],
-                    )
+                for i in range(0, len(found), 2000):
+                    a, cell, share, cover, inside, lo, hi = of(raw, found[i : i + 2000])
+                    columns = [pa.array(np.full(len(a), k, np.int64)), pa.array(a), pa.array(cell), SIGNED(share), SIGNED(cover), pa.array(inside), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["kid", "at", "cell", "share", "cover", "inside", "lo", "hi"])
+
+    return run
+
+
+def _window_rows(length: int):
+    """Identifiers of the single windows of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, text, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                grams = gram_ids(text.as_py())
+                for i in range(0, len(found), 2000):
+                    part = found[i : i + 2000]
+                    at, lo, hi, share = (np.array([x[c] for x in part], np.int64) for c in ("at", "lo", "hi", "share"))
+                    row = np.repeat(np.arange(len(at)), hi - lo + 1)
+                    d = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
+                    one = stretch_ids(grams, at[row] - d, np.full(len(row), length), length)
+                    rest = np.array([x["rest"] for x in part])[row]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), k, np.int64)), pa.array(at[row]), pa.array(d.astype(np.int32)), pa.array(share[row]), SIGNED(one), pa.array(rest)], names=["kid", "at", "d", "share", "one", "rest"])
 
     return run
 
@@ -185,58 +201,50 @@ def _kept_rows(keep_bytes: bool):
     return run
 
 
-def repeated(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
-    """The buckets (keys) that hold two places or more."""
-    p = F.struct(*place)
-    return rows.groupBy(*keys).agg(F.min(p).alias("_a"), F.max(p).alias("_z")).where(F.col("_a") != F.col("_z")).select(*keys)
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The buckets (keys) that hold two places (kid, at) or more."""
+    place = F.xxhash64("kid", "at")
+    return rows.groupBy(*keys).agg(F.min(place).alias("_a"), F.max(place).alias("_z")).where(F.col("_a") != F.col("_z")).select(*keys)
 
 
 def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Of docs (kid, raw): the texts with common grams, and the spans (kid, s, e) of repeats between different texts or places."""
-    rows = stored(docs.where(F.octet_length("raw") >= length).mapInArrow(_anchor_rows(length), "kid long, at long, back int, ahead int, gram long, whole long"), "anchors")
-    place = ["kid", "at"]
-    p = F.struct(*place)
-    fine = rows.groupBy("gram", "whole").agg(F.min(p).alias("a"), F.max(p).alias("z"))
-    common = fine.groupBy("gram").agg(F.min("a").alias("ga"), F.max("z").alias("gz"), F.count("*").alias("n")).where("ga != gz")
+    """Of docs (kid, raw): texts that may hold repeats, and the spans (kid, s, e) of repeats between different texts or places."""
+    half = length // 2
+    rows = stored(docs.where(F.octet_length("raw") >= length).mapInArrow(_anchor_rows(length), "kid long, at long, back int, ahead int, gram long, whole long, before long, after long"), "anchors")
+    common = stored(rows.join(repeated(rows, ["gram"]), "gram", "left_semi"), "common-grams")
+    settled = common.groupBy("gram", "whole").agg(F.min(F.struct("kid", "at")).alias("a"), F.max(F.struct("kid", "at")).alias("z"))
+    marked = stored(common.join(settled, ["gram", "whole"]).withColumn("sure", F.col("a") != F.col("z")), "marked")
     # A settled bucket sends one suffix on, for the other buckets of its gram to meet.
-    flags = fine.join(common.select("gram", "n"), "gram").select("gram", "whole", (F.col("a") != F.col("z")).alias("sure"), F.when(F.col("n") > 1, F.col("a")).alias("a"))
-    met = rows.join(stored(flags, "common-grams"), ["gram", "whole"])
-    found = met.withColumn("refine", ~F.col("sure") | F.coalesce(F.col("a") == p, F.lit(False)))
-    by_text = found.groupBy("kid").agg(F.collect_set(F.struct("at", "back", "ahead", "sure", "refine")).alias("found"))
-    texts = stored(docs.dropDuplicates(["kid"]).join(by_text, "kid").select("kid", "raw", "found"), "texts-with-common-grams")
-    known = texts.select("kid", F.explode("found").alias("x")).where("x.sure").select("kid", (F.col("x.at") - F.col("x.back")).alias("s"), (F.col("x.at") + F.col("x.ahead") + length).alias("e"))
-    open_texts = texts.where(F.exists("found", lambda x: x["refine"]))
-    cells = stored(open_texts.mapInArrow(_cell_rows(length), "kid long, at long, cell int, share long, cover long, inside boolean, each binary"), "cells")
-    places = ["kid", "at"]
-    shared = repeated(cells, ["cell", "share"], places)
-    covered = repeated(cells.where("inside"), ["cell", "cover"], places).withColumn("all", F.lit(True))
-    some = cells.join(shared, ["cell", "share"], "left_semi")
-    state = some.join(covered, ["cell", "cover"], "left").withColumn("all", F.col("inside") & F.coalesce("all", F.lit(False)))
-    state = stored(state, "cell-states")
-    full = state.where("all").groupBy("kid", "at").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
+    some = marked.where(~F.col("sure") | (F.struct("kid", "at") == F.col("a"))).select("kid", "at", "back", "ahead", "before", "after", "sure").distinct()
+    flag = lambda c: repeated(some.where(F.col(c) != 0), [c]).withColumn(f"{c}_met", F.lit(True))
+    halves = some.join(flag("before"), "before", "left").join(flag("after"), "after", "left")
+    lo = F.greatest(-F.col("ahead"), F.when(F.col("after_met"), F.lit(0)).otherwise(F.lit(half)))
+    hi = F.least(F.col("back"), F.when(F.col("before_met"), F.lit(length)).otherwise(F.lit(half - 1)))
+    open_ = stored(halves.where("before_met or after_met").select("kid", "at", lo.alias("lo"), hi.alias("hi")).where("lo <= hi"), "open-anchors")
+    sure = marked.where("sure").select("kid", "at", (F.col("at") - F.col("back")).alias("s"), (F.col("at") + F.col("ahead") + length).alias("e"))
+    wanted = sure.select("kid").union(open_.select("kid")).distinct()
+    texts = stored(docs.dropDuplicates(["kid"]).join(wanted, "kid", "left_semi").select("kid", "raw"), "texts-with-common-grams")
+    by_text = open_.groupBy("kid").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("found"))
+    cells = stored(texts.join(by_text, "kid").select("kid", "raw", "found").mapInArrow(_cell_rows(length), "kid long, at long, cell int, share long, cover long, inside boolean, lo int, hi int"), "cells")
+    shared = repeated(cells, ["cell", "share"])
+    covered = repeated(cells.where("inside"), ["cell", "cover"]).withColumn("all", F.lit(True))
+    met = cells.join(shared, ["cell", "share"], "left_semi").join(covered, ["cell", "cover"], "left")
+    state = stored(met.withColumn("all", F.col("inside") & F.coalesce("all", F.lit(False))).select("kid", "at", "cell", "share", "all", "lo", "hi"), "cell-states")
+    full = state.where("all").groupBy("kid", "at").agg(F.min("cell").alias("first"), F.max("cell").alias("last"))
     # All windows of an anchor overlap, so what lies between two repeats is covered.
-    rest = state.where(~F.col("all")).join(full, ["kid", "at"], "left").where(F.col("lo").isNull() | (F.col("cell") < F.col("lo")) | (F.col("cell") > F.col("hi")))
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.frombuffer(b"".join(x.as_py() for x in b.column(4)), np.uint64)
-            row = np.repeat(np.arange(b.num_rows), CELL)
-            d = np.asarray(b.column(2))[row] * CELL + np.tile(np.arange(CELL), b.num_rows)
-            known = np.flatnonzero(ids)
-            r = pa.array(row[known])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(r), b.column(1).take(r), pa.array(d[known].astype(np.int32)), b.column(3).take(r), SIGNED(ids[known])], names=["kid", "at", "d", "share", "one"])
-
-    # They are held against the windows of all cells in the same buckets, settled or not.
-    one_row = "kid long, at long, d int, share long, one long"
-    columns = ["kid", "at", "cell", "share", "each"]
-    windows = stored(rest.select(*columns).mapInArrow(single, one_row), "windows")
-    against = state.join(rest.select("cell", "share").distinct(), ["cell", "share"], "left_semi").select(*columns).mapInArrow(single, one_row)
-    twice = repeated(against, ["d", "share", "one"], places)
-    ones = windows.join(twice, ["d", "share", "one"], "left_semi").select("kid", (F.col("at") - F.col("d")).alias("s"), (F.col("at") - F.col("d") + length).alias("e"), "at")
-    blocks = full.select("kid", (F.col("at") - F.col("hi") * CELL - (CELL - 1)).alias("s"), (F.col("at") - F.col("lo") * CELL + length).alias("e"), "at")
+    outer = F.col("first").isNull() | (F.col("cell") < F.col("first")) | (F.col("cell") > F.col("last"))
+    judged = stored(state.join(full, ["kid", "at"], "left").withColumn("rest", ~F.col("all") & outer).select("kid", "at", "cell", "share", "lo", "hi", "rest"), "cells-to-split")
+    # Their windows are held against those of all cells in the same buckets, settled or not.
+    split = judged.join(judged.where("rest").select("cell", "share").distinct(), ["cell", "share"], "left_semi")
+    lists = split.groupBy("kid").agg(F.collect_list(F.struct("at", "lo", "hi", "share", "rest")).alias("found"))
+    windows = stored(texts.join(lists, "kid").select("kid", "raw", "found").mapInArrow(_window_rows(length), "kid long, at long, d int, share long, one long, rest boolean"), "windows")
+    twice = repeated(windows, ["d", "share", "one"])
+    start = F.col("at") - F.col("d")
+    ones = windows.where("rest").join(twice, ["d", "share", "one"], "left_semi").select("kid", "at", start.alias("s"), (start + length).alias("e"))
+    blocks = full.select("kid", "at", (F.col("at") - F.col("last") * CELL - (CELL - 1)).alias("s"), (F.col("at") - F.col("first") * CELL + length).alias("e"))
     # One span for each anchor: its first to its last repeat.
-    refined = ones.unionByName(blocks).groupBy("kid", "at").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("kid", "s", "e")
-    return texts.select("kid", "raw"), known.unionByName(refined)
+    refined = ones.unionByName(blocks).unionByName(sure).groupBy("kid", "at").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return texts, stored(refined.select("kid", "s", "e"), "repeats")
 
 
 def dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
