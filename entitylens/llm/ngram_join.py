@@ -11,7 +11,8 @@ Larger ones are split by the next level's sampled tokens, so that sets which
 share only a common passage drift apart while similar ones stay together; what
 is still large at the last level is cut into blocks, and pairs of blocks are
 compared. With 14 runs the chance to miss a pair is below 1e-11 if its first
-buckets are small, and below 1e-6 if all of them go to the last level.
+buckets are small, and below 1e-6 if all of them go to the last level. A bucket that
+splitting doesn't shrink, as its sets are alike, is compared at once.
 
 Brute force looks at 256-bit sketches (one bit for each of 256 minimum hashes)
 and set sizes, and keeps pairs whose sketches agree as pairs at the threshold do
@@ -46,6 +47,8 @@ LEVELS = 3
 BRANCHING = 2.5
 #: Sets in a bucket that is compared at once.
 SMALL = 48
+#: A bucket whose large children would hold this share of its rows is not split; judged by so many of its sets.
+DENSE, JUDGED = 0.8, 64
 #: Sets in a block of a larger bucket, and n-grams in a block of a component.
 BLOCK = 1024
 BLOCK_GRAMS = 400_000
@@ -71,7 +74,7 @@ def gram_set(raw: bytes, ids: WordIds, words: int = WORDS) -> np.ndarray:
     found = raw.split()
     if not found:
         return np.array([], np.uint64)
-    w = np.fromiter((ids[x] for x in found), np.uint64, len(found))
+    w = np.fromiter(map(ids.__getitem__, found), np.uint64, len(found))
     width = min(words, len(w))
     out = scrambled(w[: len(w) - width + 1], width)
     for k in range(1, width):
@@ -100,11 +103,17 @@ def bits_of(grams: np.ndarray) -> np.ndarray:
     return np.packbits((scrambled(least, 5) & np.uint64(1)).astype(np.uint8)).view("<u8")
 
 
-def sampled(grams: np.ndarray, run: int, level: int) -> np.ndarray:
-    """The tokens that a set samples in a run and level, hashed."""
-    h = scrambled(grams, 10_000 + run * LEVELS + level)
+SEEDS = scrambled(np.arange(RUNS * LEVELS, dtype=np.uint64), 10_000)
+
+
+def sampled(grams: np.ndarray) -> list[list[list[int]]]:
+    """The tokens that a set samples, hashed: by level, then by run."""
+    h = scrambled(grams[None] ^ SEEDS[:, None], 10_001)
     most = BRANCHING / len(grams)
-    return h if most >= 1 else h[h < np.uint64(int(most * 2**64))]
+    row, column = np.nonzero(h < np.uint64(int(most * 2**64))) if most < 1 else np.nonzero(np.ones(h.shape, bool))
+    found = np.split(h[row, column].view(np.int64), np.searchsorted(row, np.arange(1, len(SEEDS))))
+    each = [x.tolist() for x in found]
+    return [each[i * RUNS : (i + 1) * RUNS] for i in range(LEVELS)]
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +134,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             seen.add(name)
             bits.append(bits_of(grams).tobytes())
-            for i, x in enumerate(levels):
-                x.append([sampled(grams, r, i).view(np.int64).tolist() for r in range(RUNS)])
+            for x, tokens in zip(levels, sampled(grams), strict=True):
+                x.append(tokens)
         kind = pa.list_(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), *[pa.array(x, kind) for x in levels]],
@@ -259,24 +268,47 @@ def _wide_pairs(x: dict, y: dict) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(root[out]), pa.array(name[out])], names=["a", "b"])
 
 
+def dense_buckets(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """k of the large buckets (k, r, sid, c) that sampling tokens of a level would not shrink.
+
+    About JUDGED sets of each bucket, by hash, sample tokens. If those in children
+    that would be large again add up to DENSE of them, most of the bucket's sets are
+    alike. This only chooses how a bucket is compared; no set is left out.
+    """
+    judged = large.where(F.pmod(F.xxhash64("k", "sid"), F.col("c")) < JUDGED)
+    asked = judged.select("k", "c", "r", "sid").join(sets.select("sid", f"level{level}"), "sid")
+    children = asked.select("k", "c", F.explode(F.get(F.col(f"level{level}"), F.col("r"))).alias("t")).groupBy("k", "c", "t").agg(F.count("*").alias("n"))
+    held = children.where((F.col("n") > 1) & (F.col("n") * F.col("c") > SMALL * JUDGED)).groupBy("k").agg(F.sum("n").alias("held"))
+    total = judged.groupBy("k").agg(F.count("*").alias("n"))
+    return held.join(total, "k").where(F.col("held") >= DENSE * F.col("n")).select("k")
+
+
 def candidates(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between set ids whose components hold every link; sets: sid, n, bits, levels."""
+    """Edges (a, b) between set ids whose components hold every link; sets: sid, n, bits, levels.
+
+    A large bucket is split only if that shrinks it; one of similar sets is compared as it is.
+    """
     traits = sets.select("sid", "n", "bits")
     now = sets.select("sid", F.posexplode("level0").alias("r", "tokens")).select("sid", "r", F.explode("tokens").alias("t")).select(F.xxhash64("r", "t").alias("k"), "r", "sid")
-    small = None
+    small = wide = None
     for level in range(LEVELS):
-        sizes = now.groupBy("k").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+        # Stored, so that the join reads plain exchanges and Spark can split a hot bucket's partition.
+        sizes = stored(now.groupBy("k").agg(F.count("*").cast("int").alias("c")).where("c > 1"), f"sizes{level}")
         met = stored(now.join(sizes, "k"), f"buckets{level}")
-        part = met.where(F.col("c") <= SMALL).select("k", "sid")
+        part, large = met.where(F.col("c") <= SMALL).select("k", "sid"), met.where(F.col("c") > SMALL)
         small = part if small is None else small.unionByName(part)
-        large = met.where(F.col("c") > SMALL)
         if level + 1 < LEVELS:
+            dense = stored(dense_buckets(large, sets, level + 1), f"dense{level}")
+            kept, large = large.join(dense, "k", "left_semi"), large.join(dense, "k", "left_anti")
             deeper = large.select("k", "r", "sid").join(sets.select("sid", f"level{level + 1}"), "sid")
             now = deeper.withColumn("t", F.explode(F.get(F.col(f"level{level + 1}"), F.col("r")))).select(F.xxhash64("k", "t").alias("k"), "r", "sid")
+        else:
+            kept = large
+        wide = kept if wide is None else wide.unionByName(kept)
     pairs = small.join(traits, "sid").repartition("k").sortWithinPartitions("k").mapInArrow(_small_pairs, "a long, b long")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    wide = large.join(traits, "sid").withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("sid"), blocks).cast("int")})
-    trees = block_pairs(wide.select("k", "blk", "nb", "sid", "n", "bits"), ["k"], ["sid", "n", "bits"], _wide_pairs, "a long, b long")
+    last = wide.join(traits, "sid").withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("sid"), blocks).cast("int")})
+    trees = block_pairs(last.select("k", "blk", "nb", "sid", "n", "bits"), ["k"], ["sid", "n", "bits"], _wide_pairs, "a long, b long")
     return pairs.unionByName(trees)
 
 
@@ -337,18 +369,18 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sets = rows.where(F.col("bits").isNotNull()).dropDuplicates(["sid"])
     groups = components(candidates(sets)).select(F.col("node").alias("sid"), F.col("root").alias("grp"))
     # One text stands for each set; equal texts are merged before they meet their group.
-    sizes = rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("rows"), F.min("kid").alias("kid"), F.max("n").alias("n"))
+    sizes = stored(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("rows"), F.min("kid").alias("kid"), F.max("n").alias("n")), "set-sizes")
     chosen = sizes.join(groups, "sid")
     members = docs.dropDuplicates(["kid"]).join(chosen, "kid").select("_text", "grp", "sid", "rows", F.col("n").cast("long").alias("n"))
     grams = stored(members.mapInArrow(_gram_rows, "grp long, sid long, rows long, n long, grams binary"), "group-sets")
     extent = grams.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb"))
     placed = grams.join(extent, "grp").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
     found = stored(block_pairs(placed, ["grp"], ["sid", "n", "rows", "grams"], _exact_pairs, "sid long, mate long, links long"), "links")
-    links = found.groupBy("sid").agg(F.sum("links").alias("links"))
+    links = stored(found.groupBy("sid").agg(F.sum("links").alias("links")), "link-counts")
     classes = components(found.where("sid <> mate").select(F.col("sid").alias("a"), F.col("mate").alias("b"))).select(F.col("node").alias("sid"), F.col("root").alias("cls"))
     every = rows.select("doc_id", "kid", "sid").join(sizes.select("sid", "rows"), "sid", "left").join(links, "sid", "left").join(classes, "sid", "left")
     named = stored(every.select("doc_id", "kid", F.coalesce("cls", "sid").alias("cls"), F.coalesce(F.coalesce("links", F.lit(0)) + F.col("rows") - 1, F.lit(0)).alias("n_links")), "linked-rows")
-    least = named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "kid")).alias("first"))
+    least = stored(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "kid")).alias("first")), "classes")
     out = named.join(least, "cls", "left")
     return out.select("doc_id", "kid", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", (F.col("cls").isNull() | (F.col("first") == F.struct("doc_id", "kid"))).alias("first"))
 
@@ -359,7 +391,8 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 #: All pairs of sets that share a run of words, counted; classes by label propagation.
 OP10_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 grams AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')))) AS g FROM w WHERE len(w) > 0),
 sets AS (SELECT g, min(doc_id) AS rep, count(*) AS n FROM grams GROUP BY g),
 flat AS MATERIALIZED (SELECT rep, unnest(g) AS t FROM sets),
