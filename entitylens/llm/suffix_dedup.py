@@ -202,9 +202,14 @@ def _kept_rows(keep_bytes: bool):
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The buckets (keys) that hold two places (kid, at) or more."""
+    """The buckets (keys) that hold two places (kid, at) or more.
+
+    They are stored, so that joins with them read plain exchanges on both sides and
+    Spark can split the partition of a hot bucket.
+    """
     place = F.xxhash64("kid", "at")
-    return rows.groupBy(*keys).agg(F.min(place).alias("_a"), F.max(place).alias("_z")).where(F.col("_a") != F.col("_z")).select(*keys)
+    buckets = rows.groupBy(*keys).agg(F.min(place).alias("_a"), F.max(place).alias("_z")).where(F.col("_a") != F.col("_z")).select(*keys)
+    return stored(buckets, "repeated-buckets")
 
 
 def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +217,7 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     half = length // 2
     rows = stored(docs.where(F.octet_length("raw") >= length).mapInArrow(_anchor_rows(length), "kid long, at long, back int, ahead int, gram long, whole long, before long, after long"), "anchors")
     common = stored(rows.join(repeated(rows, ["gram"]), "gram", "left_semi"), "common-grams")
-    settled = common.groupBy("gram", "whole").agg(F.min(F.struct("kid", "at")).alias("a"), F.max(F.struct("kid", "at")).alias("z"))
+    settled = stored(common.groupBy("gram", "whole").agg(F.min(F.struct("kid", "at")).alias("a"), F.max(F.struct("kid", "at")).alias("z")), "refined-buckets")
     marked = stored(common.join(settled, ["gram", "whole"]).withColumn("sure", F.col("a") != F.col("z")), "marked")
     # A settled bucket sends one suffix on, for the other buckets of its gram to meet.
     some = marked.where(~F.col("sure") | (F.struct("kid", "at") == F.col("a"))).select("kid", "at", "back", "ahead", "before", "after", "sure").distinct()
@@ -230,12 +235,12 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     covered = repeated(cells.where("inside"), ["cell", "cover"]).withColumn("all", F.lit(True))
     met = cells.join(shared, ["cell", "share"], "left_semi").join(covered, ["cell", "cover"], "left")
     state = stored(met.withColumn("all", F.col("inside") & F.coalesce("all", F.lit(False))).select("kid", "at", "cell", "share", "all", "lo", "hi"), "cell-states")
-    full = state.where("all").groupBy("kid", "at").agg(F.min("cell").alias("first"), F.max("cell").alias("last"))
+    full = stored(state.where("all").groupBy("kid", "at").agg(F.min("cell").alias("first"), F.max("cell").alias("last")), "repeating-cells")
     # All windows of an anchor overlap, so what lies between two repeats is covered.
     outer = F.col("first").isNull() | (F.col("cell") < F.col("first")) | (F.col("cell") > F.col("last"))
     judged = stored(state.join(full, ["kid", "at"], "left").withColumn("rest", ~F.col("all") & outer).select("kid", "at", "cell", "share", "lo", "hi", "rest"), "cells-to-split")
     # Their windows are held against those of all cells in the same buckets, settled or not.
-    split = judged.join(judged.where("rest").select("cell", "share").distinct(), ["cell", "share"], "left_semi")
+    split = judged.join(stored(judged.where("rest").select("cell", "share").distinct(), "cells-in-doubt"), ["cell", "share"], "left_semi")
     lists = split.groupBy("kid").agg(F.collect_list(F.struct("at", "lo", "hi", "share", "rest")).alias("found"))
     windows = stored(texts.join(lists, "kid").select("kid", "raw", "found").mapInArrow(_window_rows(length), "kid long, at long, d int, share long, one long, rest boolean"), "windows")
     twice = repeated(windows, ["d", "share", "one"])
