@@ -3,10 +3,11 @@
 Three base kinds are found in each whole text. On top of them the method looks
 for weak parts that mean little alone: identifiers of an access key, long mixed
 strings that may be its secret, and endpoints. Weak parts are reported only when
-all three meet: an identifier and an endpoint must each lie within ``reach`` code
-points of the candidate secret, in one scope (a text). The parts of all texts are
-joined by intervals: each part stands in a cell of ``reach`` code points, and a
-secret looks in its own and the two neighbouring cells.
+all three meet: between the candidate secret and an identifier, and between it and
+an endpoint, there must be at most ``REACH`` code points (from the end of the first
+to the start of the later one), in one scope (a text). The parts of all texts are
+joined by intervals: each part stands in all cells of ``REACH`` code points that it
+covers, and looks in those and the neighbouring ones.
 
 Positions come from splitting at the matches, so each text is scanned once for
 each kind and stays where it is; only parts of texts that hold all three kinds
@@ -82,17 +83,23 @@ def linked_parts(parts: DataFrame) -> DataFrame:
 
     parts has ROW and one array of spans for each weak kind.
     """
-    cell = lambda c: F.floor(F.col(c) / REACH)
     flat = []
     for i, (kind, *_) in enumerate(WEAK):
         one = parts.select(*ROW, F.explode(kind).alias("x")).select(*ROW, F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.lit(len(BASE) + i).alias("o"), F.lit(kind).alias("k"))
         flat.append(one.distinct())
     ids, secrets, ends = flat
 
+    def in_cells(one: DataFrame, reach: int) -> DataFrame:
+        """A row for each cell that a part covers when it is longer by reach at both ends."""
+        return one.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("s") - reach) / REACH), F.floor((F.col("e") + reach) / REACH))))
+
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        r = right.select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.col("s").alias("_rs"), F.explode(F.array(cell("s") - 1, cell("s"), cell("s") + 1)).alias("_cell"))
-        met = (left["_k1"] == r["_r1"]) & (left["_k2"] == r["_r2"]) & (F.floor(left["s"] / REACH) == r["_cell"]) & (F.abs(left["s"] - r["_rs"]) <= REACH)
-        return left.join(r, met, "left_semi")
+        """left's parts with at most REACH code points between them and one of right's."""
+        names, a = left.columns, in_cells(left, 0)
+        r = in_cells(right, REACH).select(F.col("_k1").alias("_r1"), F.col("_k2").alias("_r2"), F.col("_cell").alias("_rcell"), F.col("s").alias("_rs"), F.col("e").alias("_re"))
+        gap = F.greatest(a["s"] - r["_re"], r["_rs"] - a["e"])
+        met = (a["_k1"] == r["_r1"]) & (a["_k2"] == r["_r2"]) & (a["_cell"] == r["_rcell"]) & (gap <= REACH)
+        return a.join(r, met, "left_semi").select(*names).distinct()
 
     met = near(near(secrets, ids), ends)
     every = met.unionByName(near(ids, met)).unionByName(near(ends, met))

@@ -329,6 +329,15 @@ def test_spans_and_redaction(spark):
     assert clean[2].endswith("é x [SECRET] [SECRET] pw")
 
 
+def test_reach_is_the_gap_between_parts(spark):
+    key, link = "AKIA" + "B" * 16, "https://h.example.com/" + "a" * 900
+    texts = [f"{key} {link} " + "Zx9" * 14, "Zx9" * 400 + f" {key} https://a.b/c", f"{key} https://a.b/c " + "q " * 150 + "Zx9" * 300]
+    far = f"{key} https://a.b/c " + "q " * 250 + "Zx9" * 300
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate([*texts, far])), "doc_id long, text string")).collect()}
+    assert all(all(k in got[i] for k in ("part_id:", "part_secret:", "part_endpoint:")) for i in range(3)), got
+    assert "part" not in got[3]
+
+
 def test_secret_defined_cases(odd, empty):
     assert secret_scan.scan(odd).count() == odd.count() and secret_scan.scan(empty).count() == 0
     # Only the long run of a's is a span.
