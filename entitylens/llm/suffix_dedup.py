@@ -36,7 +36,6 @@ other; empty input gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,25 +179,28 @@ def _window_rows(length: int):
     return run
 
 
-def kept_bytes(raw: bytes, spans: list[dict]) -> tuple[int, int, str]:
-    """Bytes removed, maximal removed runs and the digest of what is kept."""
+def kept_bytes(raw: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
+    """The maximal removed runs, and what is kept."""
     edge = np.zeros(len(raw) + 1, np.int64)
     np.add.at(edge, [x["s"] for x in spans], 1)
     np.add.at(edge, [x["e"] for x in spans], -1)
     gone = np.cumsum(edge)[:-1] > 0
-    kept = np.frombuffer(raw, np.uint8)[~gone]
-    runs = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
-    return int(gone.sum()), runs, hashlib.sha256(kept.tobytes()).hexdigest()
+    change = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
+    runs = list(zip(np.flatnonzero(change == 1).tolist(), np.flatnonzero(change == -1).tolist(), strict=True))
+    return runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-def _kept_rows(keep_bytes: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [kept_bytes(t.as_py(), s) for t, s in zip(b.column(1), b.column(2).to_pylist(), strict=True)]
-            n, runs, digest = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], names=["kid", "n_removed", "n_spans", "kept_sha256"])
+SPANS = "array<struct<s:bigint,e:bigint>>"
 
-    return run
+
+def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            out = [kept_bytes(t.as_py(), s) for t, s in zip(part.column(1), part.column(2).to_pylist(), strict=True)]
+            runs = [[{"s": s, "e": e} for s, e in x] for x, _ in out]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(runs, kind), pa.array([k for _, k in out], pa.binary())], names=["kid", "spans", "kept"])
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -252,28 +254,36 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return texts, stored(refined.select("kid", "s", "e"), "repeats")
 
 
-def dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
+def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, the removed runs (``spans``, of bytes) and ``kept``, the bytes that stay, of each row."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
-    digest = F.sha2("raw", 256)
     # 63 bits of the digest name a text.
-    rows = rows.select("doc_id", "raw", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("kid"), digest.alias("sha"))
+    rows = rows.select("doc_id", "raw", F.conv(F.substring(F.sha2("raw", 256), 1, 15), 16, 10).cast("long").alias("kid"))
     texts, spans = repeated_spans(rows.select("kid", "raw"), length)
     by_text = spans.groupBy("kid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    cut = texts.join(by_text, "kid").select("kid", "raw", "spans").mapInArrow(_kept_rows(False), "kid long, n_removed long, n_spans long, kept_sha256 string")
-    base = stored(rows.select("doc_id", "kid", "sha", F.octet_length("raw").cast("long").alias("n_bytes")), "text-keys")
-    copies = base.where(F.col("n_bytes") >= length).groupBy("kid").agg(F.count("*").alias("n")).where("n > 1").select("kid", F.lit(True).alias("_copied"))
-    out = base.join(copies, "kid", "left").join(cut, "kid", "left")
+    cut = texts.join(by_text, "kid").select("kid", "raw", "spans").mapInArrow(_kept_rows, f"kid long, spans {SPANS}, kept binary")
+    size = F.octet_length("raw").cast("long")
+    copies = rows.where(size >= length).groupBy("kid").agg(F.count("*").alias("n")).where("n > 1").select("kid", F.lit(True).alias("_copied"))
+    # A text that is all repeats has nothing left, whatever else was found in it.
+    changes = stored(cut.join(copies, "kid", "full_outer").select("kid", "_copied", F.when(F.col("_copied").isNull(), F.col("spans")).alias("spans"), F.when(F.col("_copied").isNull(), F.col("kept")).alias("kept")), "changed-texts")
+    out = rows.withColumn("n_bytes", size).join(changes, "kid", "left")
     copied = F.col("_copied").isNotNull()
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
     return out.select(
         "doc_id",
         "n_bytes",
-        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
-        F.when(copied, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(copied, all_of_it).otherwise(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"),
+        F.when(copied, F.lit("").cast("binary")).otherwise(F.coalesce("kept", "raw")).alias("kept"),
     )
 
 
+def dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, n_removed, n_spans and kept_sha256 of each row, from its text without repeats."""
+    out = without_repeats(df, length, id_col, text_col)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))

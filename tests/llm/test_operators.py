@@ -219,6 +219,18 @@ def test_repeats_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def test_texts_without_repeats_are_given(spark, odd):
+    r = random.Random(5)
+    block = "".join(r.choice("abcdefgé ") for _ in range(500))
+    texts = ["x" * 50 + block + "y" * 60, block + "z", block, block, "short", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in suffix_dedup.without_repeats(df).collect()}
+    n = len(block.encode())
+    assert [bytes(got[i]["kept"]) for i in range(7)] == [b"x" * 50 + b"y" * 60, b"z", b"", b"", b"short", b"", b""]
+    assert [[tuple(s) for s in got[i]["spans"]] for i in range(7)] == [[(50, 50 + n)], [(0, n)], [(0, n)], [(0, n)], [], [], []]
+    assert suffix_dedup.without_repeats(odd).count() == odd.count()
+
+
 def test_repeats_defined_cases(odd, empty):
     got = Counter(tuple(x) for x in suffix_dedup.dedup(odd).collect())
     rows = texts_of(odd)
