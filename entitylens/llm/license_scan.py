@@ -6,7 +6,9 @@ how rare they are among all lines of all files; the weights of the templates'
 words are counted on the whole corpus (a table of the templates' vocabulary,
 whatever the corpus's size), and other words weigh as unseen ones. The template
 with the greatest cosine names the file's own licence, if it reaches the
-threshold. A line without any of a template's heavy words can't reach it, by the
+threshold. Standard headers, short licence texts and the titles of long ones
+(``license_headers``) are held against every run of lines that is about as long;
+a run weighs words by the same line counts. A line without any of a template's heavy words can't reach it, by the
 Cauchy-Schwarz inequality, and is passed over.
 
 A file without a licence of its own inherits from the nearest directory above
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylens.llm.common import stored, table
+from entitylens.llm.license_headers import HEADERS
 
 TEMPLATES = {
     "agpl-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
@@ -88,6 +91,44 @@ class Templates:
         return found
 
 
+class Headers(Templates):
+    """Vectors of longer texts, each held against runs of lines with about as many words."""
+
+    def __init__(self, headers: list[tuple[str, str]], df: dict[str, int], n: int, threshold: float):
+        self.licenses = {f"{i:03}": k for i, (k, _) in enumerate(headers)}
+        texts = {f"{i:03}": t for i, (_, t) in enumerate(headers)}
+        super().__init__(texts, df, n, threshold)
+        self.sizes = sorted({len(words_of(t)) for t in texts.values()})
+
+    def best_run(self, lines: list[list[str]]) -> tuple[float, str] | None:
+        """The best of all runs of lines that reach a template's length at their last line."""
+        lines = [x for x in lines if x]
+        # By the Cauchy-Schwarz inequality again, for all words of the text at once.
+        words = self.idf.keys() & set().union(*lines)
+        if not any(sum(x * x for w, x in v.items() if w in words) >= ((self.threshold - 1e-5) * self.norms[k]) ** 2 for k, v in self.vectors.items()):
+            return None
+        marked = [i for i, x in enumerate(lines) if not self.heavy.isdisjoint(x)]
+        found = None
+        for size in self.sizes if marked else ():
+            starts = set()
+            for i in marked:
+                before = 0
+                while i >= 0 and i not in starts and before < size:
+                    starts.add(i)
+                    i -= 1
+                    before += len(lines[i]) if i >= 0 else 0
+            for i in starts:
+                words, end = [], i
+                while end < len(lines) and len(words) < size:
+                    words += lines[end]
+                    end += 1
+                h = self.best(words)
+                # Of equal scores the first name.
+                if h and (found is None or (-h[0], self.licenses[h[1]]) < (-found[0], found[1])):
+                    found = (h[0], self.licenses[h[1]])
+        return found
+
+
 def line_counts(df: DataFrame, text_col: str, templates: dict[str, str]) -> tuple[dict[str, int], int]:
     """Lines that hold each of the templates' words, and all lines; collects the vocabulary's counts."""
     vocabulary = frozenset(w for t in templates.values() for w in words_of(t))
@@ -108,10 +149,10 @@ def line_counts(df: DataFrame, text_col: str, templates: dict[str, str]) -> tupl
     return counts, counts.get("", 0)
 
 
-def own_licenses(df: DataFrame, text_col: str, path: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def own_licenses(df: DataFrame, text_col: str, path: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, headers: list[tuple[str, str]] = HEADERS) -> DataFrame:
     """df without its text, with _path, own_license and score."""
-    df_counts, n = line_counts(df, text_col, templates)
-    vectors = Templates(templates, df_counts, n, threshold)
+    df_counts, n = line_counts(df, text_col, templates | {f"_header{i}": t for i, (_, t) in enumerate(headers)})
+    vectors, runs = Templates(templates, df_counts, n, threshold), Headers(headers, df_counts, n, threshold)
     names = [c for c in df.columns if c not in (text_col, "own_license", "score", "_path", "_whole")]
     path = F.coalesce(path, F.lit(""))
     rows = df.select(*names, path.alias("_path"), path.rlike(LICENSE_FILE).alias("_whole"), F.col(text_col).alias("_text"))
@@ -123,7 +164,9 @@ def own_licenses(df: DataFrame, text_col: str, path: Column, templates: dict[str
             for text, whole in zip(b.column(b.num_columns - 1), b.column(b.num_columns - 2).to_pylist(), strict=True):
                 text = text.as_py() or ""
                 # Of equal scores the first name.
-                hits = [h for part in (text.split("\n") + [text] * whole) if (h := vectors.best(words_of(part)))]
+                lines = [words_of(part) for part in text.split("\n")]
+                hits = [h for words in (lines + [words_of(text)] * whole) if (h := vectors.best(words))]
+                hits += [h] if (h := runs.best_run(lines)) else []
                 found.append(min(hits, key=lambda h: (-h[0], h[1]), default=(None, None)))
             columns = b.columns[:-2] + [pa.array([k for _, k in found], pa.string()), pa.array([s for s, _ in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in fields], "own_license", "score"])

@@ -101,6 +101,19 @@ def test_nearest_ancestor_wins(spark):
     assert got["LICENSE"] == ("mit", None) and got[None] == ("mit", "")
 
 
+def test_headers_of_several_lines(spark):
+    from entitylens.llm.license_headers import HEADERS
+
+    def wrapped(text, width):
+        words = text.split()
+        return "\n".join(" * " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    rows = [(i, k, "/* Copyright 2020 A. Person\n" + wrapped(t, w) + "\n */\nint main() { return 0; }\nint f(int x) { return x; }\n" * 3) for i, ((k, t), w) in enumerate((h, w) for h in HEADERS if len(h[1]) > 200 for w in (7, 12))]
+    df = spark.createDataFrame([*rows, (99, None, "plain words of a story about a program\n" * 5)], "id long, want string, text string")
+    got = {r["id"]: (r["want"], r["own_license"]) for r in license_scan.own_licenses(df, "text", F.lit("x/y")).collect()}
+    assert all(want == found for want, found in got.values()), got
+
+
 def test_license_defined_cases(odd, empty):
     files = license_scan.own_licenses(odd, "text", F.lit("x/y"))
     assert license_scan.inherited(files, F.lit(True)).count() == odd.count()
