@@ -44,9 +44,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """The training sequences, in pieces: each one's ids and where it lies in its document and its sequence."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

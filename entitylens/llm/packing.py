@@ -18,7 +18,6 @@ repeated rows are packed each; empty input gives no pieces.
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,7 +113,8 @@ def tokenized(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
 def pack(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents: where each lies in its document and in its sequence.
 
-    keep_ids adds each piece's ids (binary, little-endian 32-bit).
+    Each piece's ids are cut (binary, little-endian 32-bit) and their checksum is taken
+    of them; keep_ids leaves them in the result.
     """
     docs = stored(tokenized(df, tokenizer, end_id, id_col, text_col), "token-ids")
     totals = docs.groupBy("_part").agg(F.sum("doc_tokens").alias("_total"))
@@ -123,10 +123,11 @@ def pack(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = 1024
     bases = totals.select("_part", F.coalesce(F.sum("_total").over(running), F.lit(0)).alias("_base"))
     placed = docs.join(bases, "_part").select("doc_id", (F.col("_base") + F.col("_before")).alias("_at"), "doc_tokens", "_ids")
     kind = placed.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # Ids of many documents at once would take much memory.
+        for b in (b.slice(i, j - i) for b in batches for i, j in _slices(np.asarray(b.column(2)), 1 << 20)):
             at, n = (np.asarray(b.column(i)) for i in (1, 2))
             pieces = (at + n - 1) // window - at // window + 1
             row = np.repeat(np.arange(len(n)), pieces)
@@ -135,18 +136,17 @@ def pack(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = 1024
             begin = np.maximum(at[row], sequence * window)
             end = np.minimum((at + n)[row], (sequence + 1) * window)
             ids = b.column(3)
-            cut, crc = [], np.empty(len(row), np.int64)
+            cut = []
             now, wide = -1, b""
-            for k, (r, i, j) in enumerate(zip(row.tolist(), (begin - at[row]).tolist(), (end - at[row]).tolist(), strict=True)):
+            for r, i, j in zip(row.tolist(), (begin - at[row]).tolist(), (end - at[row]).tolist(), strict=True):
                 if r != now:
                     now, wide = r, memoryview(np.frombuffer(ids[r].as_buffer(), "<u2").astype("<u4").tobytes())
-                crc[k] = zlib.crc32(wide[4 * i : 4 * j])
-                if keep_ids:
-                    cut.append(bytes(wide[4 * i : 4 * j]))
-            columns = [b.column(0).take(pa.array(row)), *map(pa.array, (begin - at[row], end - begin, crc, n[row], sequence, begin - sequence * window))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(cut, pa.binary())] * keep_ids, names=names)
+                cut.append(bytes(wide[4 * i : 4 * j]))
+            columns = [b.column(0).take(pa.array(row)), *map(pa.array, (begin - at[row], end - begin, n[row], sequence, begin - sequence * window))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], names=names)
 
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids)
+    pieces = placed.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -296,6 +296,19 @@ def test_pieces_rebuild_every_document(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_pipeline_ends_with_sequences(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    pieces = corpus_pipeline.packed(spark, docs, "").collect()
+    sequences = defaultdict(dict)
+    for p in pieces:
+        assert zlib.crc32(p["ids"]) == p["ids_crc32"]
+        sequences[p["sequence_id"]][p["offset"]] = np.frombuffer(p["ids"], "<u4")
+    whole = [np.concatenate([x for _, x in sorted(s.items())]) for _, s in sorted(sequences.items())]
+    assert all(len(x) == 1024 for x in whole[:-1]) and int(sum((x == 0).sum() for x in whole)) == odd.count()
+
+
 def test_ids_equal_the_librarys():
     from tokenizers import Tokenizer
 
