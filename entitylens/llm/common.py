@@ -37,21 +37,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark removes the shuffle files of a statement as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
-    Later stages restart from these files if executors are lost. The JVM
-    removes them when the session ends.
+    Later stages restart from these files if executors are lost. ``discard``
+    removes them once whatever reads them has been written; what is left then goes
+    when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/entitylens/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    # Shuffle files of what has just been written are of no more use; Spark removes them once their plan is collected.
-    jvm.System.gc()
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of stored tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylens.llm.common import stored
+from entitylens.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,12 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        # Stored, so that both sides of the join are plain exchanges and Spark can split the partition of a hot root.
+        least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least-neighbours")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
         hung = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stored(hung, "edges")
+        before, now = now, stored(hung, "edges")
+        discard(before, least)
         # Equal edges have equal sums of hashes.
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:

@@ -8,33 +8,46 @@ and level, lies below branching / size. Sets that share a sampled token meet in
 its bucket; a pair at the threshold does with probability 1 - exp(-0.8
 branching) in each run and level. Small buckets are compared by brute force.
 Larger ones are split by the next level's sampled tokens, so that sets which
-share only a common passage drift apart while similar ones stay together; what
-is still large at the last level is cut into blocks, and pairs of blocks are
-compared. With 14 runs the chance to miss a pair is below 1e-11 if its first
-buckets are small, and below 1e-6 if all of them go to the last level. A bucket that
-splitting doesn't shrink, as its sets are alike, is compared at once.
+share only a common passage drift apart while similar ones stay together. A
+bucket that splitting doesn't shrink, as its sets are alike, is compared at once.
+Runs are repeated until the target recall: ``runs_for`` gives their number from
+the chance that one run misses a pair although all its buckets reach the last
+level.
 
 Brute force looks at 256-bit sketches (one bit for each of 256 minimum hashes)
 and set sizes, and keeps pairs whose sketches agree as pairs at the threshold do
-but for a chance below 1e-7. It never lists a group's pairs: a block gives at
-most a spanning tree of what passes. The trees' components hold all links;
-inside each component, exact set intersections are counted in blocks. Results
-are counts and spanning trees again, so a group of any size stays linear.
+but for a chance below 1e-7. What passes is only ever reduced to a forest
+(``forest``): a bucket is compared block by block; each block sends its most
+central sets on, as leaders, to join the blocks; then only sets outside the
+bucket's main class are held against all its blocks. So a bucket of g alike sets
+makes g edges and one pass over its rows. After the first runs, buckets that lie
+in one class are left out, and others give edges between classes only.
+
+The forest's components hold all links; inside each component, exact set
+intersections decide, by the same kind of forest (classes) or, where the number
+of links of each row is asked for, by counting in pairs of large blocks. That
+count is the one step whose work grows with the square of a component's
+different sets; ``keep_first``, which needs classes only, doesn't do it.
+
+Texts and sets are named by 256- and 128-bit digests.
 
 Defined cases: a text with fewer than five words is one run of all its words;
 null texts and texts without words have no set, are alone in their class and
-have no links; repeated rows and equal sets link each other; empty input gives
-no rows; other columns are ignored.
+have no links; very long texts are taken whole, one at a time; a null id counts
+as any other value; repeated rows and equal sets link each other; empty input
+gives no rows; other columns, whatever their names, are ignored (``keep_first``
+passes them through).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylens.llm.common import mix, scrambled, stored, table
@@ -42,21 +55,35 @@ from entitylens.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
-RUNS = 14
 LEVELS = 3
 BRANCHING = 2.5
+#: The least chance to find a pair at the threshold whose buckets all reach the last level.
+RECALL = 1 - 1e-6
+#: Runs before buckets within one class are left out.
+FIRST_RUNS = 2
 #: Sets in a bucket that is compared at once.
 SMALL = 48
 #: A bucket whose large children would hold this share of its rows is not split; judged by so many of its sets.
 DENSE, JUDGED = 0.8, 64
-#: Sets in a block of a larger bucket, and n-grams in a block of a component.
-BLOCK = 1024
-BLOCK_GRAMS = 400_000
+#: Sets in a block of sketches; sets and n-grams in a block of exact sets.
+BLOCK = 4096
+BLOCK_SETS, BLOCK_GRAMS = 2048, 1_000_000
+#: Classes of a block that send a leader on have this share of its sets at least.
+LED = 1 / 8
 SKETCH_BITS = 256
 #: Of 256 bits, a pair at 0.8 agrees in 230.4 on average, with a deviation of 4.8.
 AGREE = 204
 
 
+def runs_for(recall: float, similarity: float = SIMILARITY) -> int:
+    """Runs until a pair at the threshold is found with this chance."""
+    missed = 1 - (1 - math.exp(-similarity * BRANCHING)) ** LEVELS
+    return max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
+
+
+RUNS = runs_for(RECALL)
+
+
 class WordIds(dict):
     """64-bit identifiers of words; emptied when large."""
 
@@ -117,29 +144,31 @@ def sampled(grams: np.ndarray) -> list[list[list[int]]]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, kid, text -> doc_id, kid, sid, n, and what a set needs where this task meets it first."""
+    """doc_id, text_key, text -> doc_id, text_key, set_key, n, and what a set needs where this task meets it first."""
     ids, seen = WordIds(), set()
-    for b in batches:
-        sid, n, bits = [], [], []
+    kind = pa.list_(pa.list_(pa.int64()))
+    for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+        keys, n, bits = [], [], []
         levels: list[list] = [[] for _ in range(LEVELS)]
         for text in b.column(2):
             grams = gram_set((text.as_py() or "").encode(), ids)
             n.append(len(grams))
-            name = int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little") >> 1 if len(grams) else None
-            sid.append(name)
-            if name is None or name in seen:
+            key = hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None
+            keys.append(key)
+            if key is None or key in seen:
                 bits.append(None)
                 for x in levels:
                     x.append(None)
                 continue
-            seen.add(name)
+            if len(seen) > 100_000:
+                seen.clear()
+            seen.add(key)
             bits.append(bits_of(grams).tobytes())
             for x, tokens in zip(levels, sampled(grams), strict=True):
                 x.append(tokens)
-        kind = pa.list_(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), *[pa.array(x, kind) for x in levels]],
-            names=["doc_id", "kid", "sid", "n", "bits", *[f"level{i}" for i in range(LEVELS)]],
+            [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), *[pa.array(x, kind) for x in levels]],
+            names=["doc_id", "text_key", "set_key", "n", "bits", *[f"level{i}" for i in range(LEVELS)]],
         )
 
 
@@ -172,47 +201,133 @@ def _alike(n1: np.ndarray, s1: np.ndarray, n2: np.ndarray, s2: np.ndarray) -> np
     return sizes & (differ <= SKETCH_BITS - AGREE)
 
 
-def _bits(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SKETCH_BITS // 64)
+def _bits(column: pa.ChunkedArray | bytes) -> np.ndarray:
+    raw = column if isinstance(column, bytes) else b"".join(column.to_pylist())
+    return np.frombuffer(raw, "<u8").reshape(-1, SKETCH_BITS // 64)
+
+
+def united(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The names in pairs (rows of two), sorted, and the least name of each one's component."""
+    names, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    least = np.arange(len(names))
+    while len(a):
+        np.minimum.at(least, a, least[b])
+        np.minimum.at(least, b, least[a])
+        least = least[least]
+        if (least[a] == least[b]).all():
+            break
+    return names, names[least]
+
+
+def edge_rows(names: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+    out = names != roots
+    return pa.RecordBatch.from_arrays([pa.array(roots[out].astype(np.int64)), pa.array(names[out].astype(np.int64))], names=["a", "b"])
 
 
 def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets that pass, from small buckets; a bucket's rows stand together."""
+    """A forest of the pairs of sets that pass, from small buckets; a bucket's rows stand together."""
     for t in _runs(batches, ["k"]):
         k, sid, n, bits = np.asarray(t["k"]), np.asarray(t["sid"]), np.asarray(t["n"]), _bits(t["bits"])
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for d in range(1, SMALL):
             at = np.flatnonzero(k[d:] == k[:-d])
             if not len(at):
                 break
             at = at[_alike(n[at], bits[at], n[at + d], bits[at + d])]
-            found.append(np.stack([np.minimum(sid[at], sid[at + d]), np.maximum(sid[at], sid[at + d])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
-
-def tree(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least name in the component of each left and right name; links is a boolean matrix."""
-    l, r = left.copy(), right.copy()
-    i, j = np.nonzero(links)
-    while len(i):
-        before = l.copy(), r.copy()
-        np.minimum.at(r, j, l[i])
-        np.minimum.at(l, i, r[j])
-        if (l == before[0]).all() and (r == before[1]).all():
-            break
-    return l, r
+            found.append(np.stack([sid[at], sid[at + d]], 1))
+        yield edge_rows(*united(np.concatenate(found)))
+
+
+#: Whether each of the given rows of one block is linked to each row of another.
+Against = Callable[[np.ndarray], np.ndarray]
+Kernel = Callable[[dict, dict], Against]
+
+
+def sketched(a: dict, b: dict) -> Against:
+    """Links by sizes and sketches."""
+    return lambda rows: _alike(a["n"][rows, None], a["bits"][rows, None], b["n"][None], b["bits"][None])
+
+
+def exact(a: dict, b: dict) -> Against:
+    """Links of sets: intersection / union >= 0.8, in whole numbers. A row's link to itself is left open."""
+    every, owner = np.concatenate(b["grams"]), np.repeat(np.arange(len(b["sid"])), b["n"])
+    width = 4096
+
+    def against(rows: np.ndarray) -> np.ndarray:
+        asked = [a["grams"][i] for i in rows]
+        names, own = np.unique(np.concatenate(asked), return_inverse=True)
+        at = np.minimum(np.searchsorted(names, every), len(names) - 1)
+        hit = names[at] == every
+        column, holder = at[hit], owner[hit]
+        # Of a block against itself, n-grams of one set only say nothing.
+        useful = np.bincount(column, minlength=len(names)) > (a is b)
+        place = np.cumsum(useful) - 1
+        left = (np.repeat(np.arange(len(rows)), [len(x) for x in asked]), own)
+        sides = []
+        for row, col in (left, (holder, column)):
+            keep = useful[col]
+            row, col = row[keep], place[col[keep]]
+            order = np.argsort(col, kind="stable")
+            sides.append((row[order], col[order]))
+        both = np.zeros((len(rows), len(b["sid"])), np.float32)
+        for c in range(0, int(useful.sum()), width):
+            m = [np.zeros((n, width), np.float32) for n in both.shape]
+            for (row, col), x in zip(sides, m, strict=True):
+                i, j = np.searchsorted(col, [c, c + width])
+                x[row[i:j], col[i:j] - c] = 1
+            both += m[0] @ m[1].T
+        return 9 * both.astype(np.int64) >= 4 * (a["n"][rows, None] + b["n"][None])
+
+    return against
+
+
+def most_central(bits: np.ndarray) -> int:
+    """The set whose sketch is nearest to the majority's bits."""
+    bits = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1)
+    return int((bits != (2 * bits.sum(0, dtype=np.int64) > len(bits))).sum(1).argmin())
+
+
+def joined(a: dict, b: dict, kernel: Kernel, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Classes (``root``) of two blocks that the kernel's links unite: their names, and the least name of what they are now in.
+
+    A block against itself (a is b) begins with its most central set. Rows that are in that
+    one's class need no look of their own: whatever is outside is held against all rows.
+    """
+    roots = np.unique(np.concatenate([a["root"], b["root"]]))
+    now = roots.copy()
+    left, right = np.searchsorted(roots, a["root"]), np.searchsorted(roots, b["root"])
+    against, todo = kernel(a, b), np.arange(len(left))
+    centre = most_central(a["bits"]) if a is b else None
+    while len(todo):
+        rows, todo = (todo[:step], todo[step:]) if centre is None or len(todo) < len(left) else (np.array([centre]), np.delete(todo, centre))
+        i, j = np.nonzero(against(rows) & (now[left[rows]][:, None] != now[right][None]))
+        if len(i):
+            names, least = united(np.unique(np.stack([now[left[rows]][i], now[right][j]], 1), axis=0))
+            place = np.minimum(np.searchsorted(names, now), len(names) - 1)
+            now = np.where(names[place] == now, least[place], now)
+        if centre is not None:
+            todo = todo[now[left[todo]] != now[left[centre]]]
+    return roots, now
+
+
+def leaders(block: dict, roots: np.ndarray, now: np.ndarray) -> list[int]:
+    """The most central set of each class that holds much of a block."""
+    cls = now[np.searchsorted(roots, block["root"])]
+    names, size = np.unique(cls, return_counts=True)
+    members = [np.flatnonzero(cls == name) for name in names[size >= max(2, LED * len(cls))]]
+    return [int(at[most_central(block["bits"][at])]) for at in members]
 
 
 def _packed(names: list[str], keys: list[str]):
-    """One row for each block: its columns' values, packed. Rows come sorted by the keys, then blk."""
+    """One row for each block: its columns' values, packed. Rows come sorted by the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, [*keys, "blk"]):
-            cols = {c: np.asarray(t[c]) for c in [*keys, "blk", "nb"]}
+        for t in _runs(batches, keys):
+            cols = {c: np.asarray(t[c]) for c in keys}
             change = np.zeros(t.num_rows, bool)
-            for c in [*keys, "blk"]:
-                change[1:] |= cols[c][1:] != cols[c][:-1]
+            for v in cols.values():
+                change[1:] |= v[1:] != v[:-1]
             starts = np.concatenate([[0], np.flatnonzero(change)])
             ends = np.concatenate([starts[1:], [t.num_rows]])
             out = {c: pa.array(v[starts]) for c, v in cols.items()}
@@ -228,44 +343,87 @@ def _packed(names: list[str], keys: list[str]):
     return run
 
 
-def block_pairs(rows: DataFrame, keys: list[str], names: list[str], compare, schema: str) -> DataFrame:
-    """compare() over each pair of blocks of each key. rows: keys, blk, nb and the columns in names.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time, as packed rows are large."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {c: v[i].as_py() for c, v in zip(b.schema.names, b.columns, strict=True)}
 
-    Blocks are packed into one row each before they are paired, so what is repeated
-    is a row for each pair of blocks, not for each pair of sets.
-    """
-    order = [*keys, "blk"]
-    packed = rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_packed(names, keys), ", ".join([*[f"{k} long" for k in keys], "blk int, nb int", *[f"{n} binary" for n in names]]))
-    paired = packed.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"_lo": F.least("blk", "_with"), "_hi": F.greatest("blk", "_with")})
-    at = [*keys, "_lo", "_hi"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpacked(row: dict) -> dict:
+    block = {c: np.frombuffer(row[c], "<i8") for c in ("sid", "n", "root", "rows") if c in row} | {"bits": _bits(row["bits"])}
+    if "grams" in row:
+        block["grams"] = np.split(np.frombuffer(row["grams"], "<u8"), np.cumsum(block["n"])[:-1])
+    return block
+
+
+def _packed_blocks(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """rows by their blocks (keys), one row each, with the columns in names packed."""
+    packed = rows.repartition(*keys).sortWithinPartitions(*keys)
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return packed.mapInArrow(_packed(names, keys), ", ".join([*[f"{k} {kind[k]}" for k in keys], *[f"{n} binary" for n in names]]))
+
+
+def _paired(left: DataFrame, right: DataFrame, at: list[str], run, schema: str) -> DataFrame:
+    """run(left row, right row) over rows of two frames with the same columns that agree in ``at``."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in batches:
-            for row in b.to_pylist():
-                now = tuple(row[c] for c in at)
-                if row["_lo"] == row["_hi"]:
-                    yield from compare(row, row)
-                elif held and held[0] == now:
-                    yield from compare(held[1], row)
-                    held = None
-                else:
-                    held = (now, row)
+        for row in _rows(batches):
+            now = tuple(row[c] for c in at)
+            if held and held[0] == now:
+                yield from run(held[1], row)
+                held = None
+            else:
+                held = (now, row)
 
-    return paired.repartition(*at).sortWithinPartitions(*at, "blk").mapInArrow(run, schema)
+    both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    return both.repartition(*at).sortWithinPartitions(*at, "_side").mapInArrow(over, schema)
 
 
-def _wide_pairs(x: dict, y: dict) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs that pass between two blocks (or within one)."""
-    a, b = ({c: np.frombuffer(r[c], "<i8") for c in ("sid", "n")} | {"bits": np.frombuffer(r["bits"], "<u8").reshape(-1, SKETCH_BITS // 64)} for r in (x, y))
-    step = 128
-    links = np.concatenate([_alike(a["n"][i : i + step, None], a["bits"][i : i + step, None], b["n"][None], b["bits"][None]) for i in range(0, len(a["n"]), step)])
-    if x is y:
-        np.fill_diagonal(links, False)
-    l, r = tree(links, a["sid"], b["sid"])
-    name, root = np.concatenate([a["sid"], b["sid"]]), np.concatenate([l, r])
-    out = np.flatnonzero(name != root)
-    yield pa.RecordBatch.from_arrays([pa.array(root[out]), pa.array(name[out])], names=["a", "b"])
+def forest(rows: DataFrame, kernel: Kernel, block: int, name: str) -> DataFrame:
+    """Edges (a, b) between classes that join whatever the kernel's links join within each bucket.
+
+    rows: k, nb (blocks of the bucket), sid, root (the class so far), n, bits and what else the kernel reads.
+    """
+    names = [c for c in rows.columns if c not in ("k", "nb")]
+    placed = rows.withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            x = _unpacked(row)
+            roots, now = joined(x, x, kernel)
+            edges = edge_rows(roots, now)
+            led = x["sid"][leaders(x, roots, now)] if row["nb"] > 1 else np.zeros(0, np.int64)
+            k = [None] * edges.num_rows + [row["k"]] * len(led)
+            columns = [pa.array(k, pa.int64()), *[pa.array(np.concatenate([np.asarray(c), led])) for c in edges.columns]]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "a", "b"])
+
+    first = stored(_packed_blocks(placed, ["k", "blk", "nb"], names).mapInArrow(within, "k long, a long, b long"), f"{name}-blocks")
+    edges = first.where("k is null").select("a", "b")
+    wide = rows.where("nb > 1")
+    if wide.limit(1).count() == 0:
+        return edges
+    # Leaders of the blocks of a bucket are a bucket of their own, far smaller.
+    led = first.where("k is not null").select("k", F.col("a").alias("sid"))
+    many = led.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    edges = edges.unionByName(forest(stored(wide.drop("nb").join(led, ["k", "sid"]).join(many, "k"), f"{name}-leaders"), kernel, block, name))
+    # Sets outside the bucket's main class meet all its blocks.
+    classes = components(edges).select(F.col("node").alias("root"), F.col("root").alias("_now"))
+    wide = wide.join(classes, "root", "left").withColumn("root", F.coalesce("_now", "root")).drop("_now")
+    main = wide.groupBy("k", "root").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "root"))["root"].alias("_main"))
+    wide = stored(wide.join(stored(main, f"{name}-main"), "k"), f"{name}-wide")
+    rest = wide.where("root <> _main")
+    extent = stored(rest.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("xnb")), f"{name}-rest")
+    asked = rest.join(extent, "k").withColumn("xblk", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("xnb")).cast("int"))
+    held = wide.join(extent, "k").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+    left = _packed_blocks(asked, ["k", "xblk", "nb"], names).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+    right = _packed_blocks(held, ["k", "blk", "xnb"], names).withColumn("xblk", F.explode(F.sequence(F.lit(0), F.col("xnb") - 1))).drop("xnb")
+
+    def across(x: dict, y: dict) -> Iterator[pa.RecordBatch]:
+        yield edge_rows(*joined(_unpacked(x), _unpacked(y), kernel))
+
+    return edges.unionByName(stored(_paired(left, right, ["k", "xblk", "blk"], across, "a long, b long"), f"{name}-across"))
 
 
 def dense_buckets(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
@@ -305,11 +463,16 @@ def candidates(sets: DataFrame) -> DataFrame:
         else:
             kept = large
         wide = kept if wide is None else wide.unionByName(kept)
-    pairs = small.join(traits, "sid").repartition("k").sortWithinPartitions("k").mapInArrow(_small_pairs, "a long, b long")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    last = wide.join(traits, "sid").withColumns({"nb": blocks, "blk": F.pmod(F.xxhash64("sid"), blocks).cast("int")})
-    trees = block_pairs(last.select("k", "blk", "nb", "sid", "n", "bits"), ["k"], ["sid", "n", "bits"], _wide_pairs, "a long, b long")
-    return pairs.unionByName(trees)
+    pairs = stored(small.join(traits, "sid").repartition("k").sortWithinPartitions("k").mapInArrow(_small_pairs, "a long, b long"), "small-buckets")
+    wide = stored(wide.join(traits, "sid").withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).drop("c"), "wide-buckets")
+    columns = ["k", "nb", "sid", "root", "n", "bits"]
+    # The classes of the small buckets and the first runs spare later runs most of their work.
+    now = wide.where(F.col("r") < FIRST_RUNS).withColumn("root", F.col("sid"))
+    edges = pairs.unionByName(forest(now.select(*columns), sketched, BLOCK, "sketches"))
+    classes = components(edges).select(F.col("node").alias("sid"), "root")
+    known = stored(wide.where(F.col("r") >= FIRST_RUNS).join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "known-classes")
+    mixed = stored(known.groupBy("k").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("k"), "mixed-buckets")
+    return edges.unionByName(forest(known.join(mixed, "k", "left_semi").select(*columns), sketched, BLOCK, "sketches"))
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,73 +482,68 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(grams, pa.binary())], names=[*b.schema.names[1:], "grams"])
 
 
-def shared_counts(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
-    """Sizes of the intersections of all sets of a with all of b (a itself if None)."""
-    every = np.concatenate([*a, *(b or [])])
-    names, inverse, often = np.unique(every, return_inverse=True, return_counts=True)
-    useful = np.cumsum(often > 1) - 1
-    owner = np.repeat(np.arange(len(a) + len(b or [])), [len(x) for x in [*a, *(b or [])]])
-    keep = often[inverse] > 1
-    owner, column = owner[keep], useful[inverse[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(a), len(b) if b is not None else len(a)), np.float64)
-    width = 4096
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        i, j = np.searchsorted(column, [c, c + width])
-        m = np.zeros((len(a) + len(b or []), width), np.float32)
-        m[owner[i:j], column[i:j] - c] = 1
-        out += m[: len(a)] @ (m if b is None else m[len(a) :]).T
-    return np.rint(out).astype(np.int64)
-
-
-def _exact_pairs(x: dict, y: dict) -> Iterator[pa.RecordBatch]:
-    """For each set of two blocks: how many rows it links to there, and its tree's root."""
-    sides = []
-    for r in (x,) if x is y else (x, y):
-        sid, n, rows = (np.frombuffer(r[c], "<i8") for c in ("sid", "n", "rows"))
-        sides.append((sid, n, rows, np.split(np.frombuffer(r["grams"], "<u8"), np.cumsum(n)[:-1])))
-    a, b = sides[0], sides[-1]
-    both = shared_counts(a[3], None if x is y else b[3])
-    # intersection / union >= 0.8, in whole numbers
-    links = 9 * both >= 4 * (a[1][:, None] + b[1][None])
-    if x is y:
+def _counts(x: dict, y: dict) -> Iterator[pa.RecordBatch]:
+    """For each set of two blocks (or of one): how many rows it links to in the other."""
+    a, b = _unpacked(x), None if x is y else _unpacked(y)
+    links = exact(a, b or a)(np.arange(len(a["sid"])))
+    if b is None:
         np.fill_diagonal(links, False)
-    l, r = tree(links, a[0], b[0])
-    sid, mate, n = [a[0]], [np.minimum(l, r) if x is y else l], [links.astype(np.int64) @ b[2]]
-    if x is not y:
-        sid, mate, n = [*sid, b[0]], [*mate, r], [*n, links.T.astype(np.int64) @ a[2]]
-    columns = [pa.array(np.concatenate(c)) for c in (sid, mate, n)]
-    yield pa.RecordBatch.from_arrays(columns, names=["sid", "mate", "links"])
+    sid, n = [a["sid"]], [links.astype(np.float64) @ (b or a)["rows"].astype(np.float64)]
+    if b is not None:
+        sid, n = [*sid, b["sid"]], [*n, links.T.astype(np.float64) @ a["rows"].astype(np.float64)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sid)), pa.array(np.concatenate(n).astype(np.int64))], names=["sid", "links"])
+
 
+def link_counts(placed: DataFrame) -> DataFrame:
+    """sid, links: the rows that each set links to; placed: k, nb, sid, n, rows, bits, grams."""
+    names = ["sid", "n", "rows", "bits", "grams"]
+    blocks = stored(_packed_blocks(placed.withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int")), ["k", "blk", "nb"], names), "blocks-of-sets")
+    one = blocks.mapInArrow(lambda batches: (t for row in _rows(batches) for t in _counts(row, row)), "sid long, links long")
+    at = ["k", "_lo", "_hi"]
+    wide = blocks.where("nb > 1")
+    low = wide.withColumns({"_lo": F.col("blk"), "_hi": F.explode(F.sequence(F.col("blk") + 1, F.col("nb")))}).where("_hi < nb")
+    high = wide.where("blk > 0").withColumns({"_hi": F.col("blk"), "_lo": F.explode(F.sequence(F.lit(0), F.greatest(F.col("blk") - 1, F.lit(0))))})
+    pairs = _paired(low.select(*at, *names), high.select(*at, *names), at, _counts, "sid long, links long")
+    return one.unionByName(pairs).groupBy("sid").agg(F.sum("links").alias("links"))
 
-def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kid (a name of the text), class_id (the least id of its component) and n_links of each row."""
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
+    """doc_id, text_key, class_id (the least id of its component), n_links (if count) and whether it is the first of its class, of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kid = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), kid.alias("kid"), text.alias("_text"))
-    levels = ", ".join(f"level{i} array<array<long>>" for i in range(LEVELS))
-    rows = stored(docs.mapInArrow(_set_rows, f"doc_id long, kid long, sid long, n int, bits binary, {levels}"), "gram-sets")
-    sets = rows.where(F.col("bits").isNotNull()).dropDuplicates(["sid"])
-    groups = components(candidates(sets)).select(F.col("node").alias("sid"), F.col("root").alias("grp"))
-    # One text stands for each set; equal texts are merged before they meet their group.
-    sizes = stored(rows.where("sid is not null").groupBy("sid").agg(F.count("*").alias("rows"), F.min("kid").alias("kid"), F.max("n").alias("n")), "set-sizes")
-    chosen = sizes.join(groups, "sid")
-    members = docs.dropDuplicates(["kid"]).join(chosen, "kid").select("_text", "grp", "sid", "rows", F.col("n").cast("long").alias("n"))
-    grams = stored(members.mapInArrow(_gram_rows, "grp long, sid long, rows long, n long, grams binary"), "group-sets")
-    extent = grams.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK)).cast("int").alias("nb"))
-    placed = grams.join(extent, "grp").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-    found = stored(block_pairs(placed, ["grp"], ["sid", "n", "rows", "grams"], _exact_pairs, "sid long, mate long, links long"), "links")
-    links = stored(found.groupBy("sid").agg(F.sum("links").alias("links")), "link-counts")
-    classes = components(found.where("sid <> mate").select(F.col("sid").alias("a"), F.col("mate").alias("b"))).select(F.col("node").alias("sid"), F.col("root").alias("cls"))
-    every = rows.select("doc_id", "kid", "sid").join(sizes.select("sid", "rows"), "sid", "left").join(links, "sid", "left").join(classes, "sid", "left")
-    named = stored(every.select("doc_id", "kid", F.coalesce("cls", "sid").alias("cls"), F.coalesce(F.coalesce("links", F.lit(0)) + F.col("rows") - 1, F.lit(0)).alias("n_links")), "linked-rows")
-    least = stored(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "kid")).alias("first")), "classes")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("_text"))
+    levels = [f"level{i}" for i in range(LEVELS)]
+    kinds = ", ".join(f"{x} array<array<long>>" for x in levels)
+    rows = stored(docs.mapInArrow(_set_rows, f"doc_id long, text_key binary, set_key binary, n int, bits binary, {kinds}"), "gram-sets")
+    # One row for each set, with a number of its own; one text stands for it.
+    once = lambda c: F.first(c, ignorenulls=True).alias(c)
+    merged = rows.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("rows"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), once("bits"), *map(once, levels))
+    sets = stored(merged.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    groups = components(candidates(sets.select("sid", "n", "bits", *levels))).select(F.col("node").alias("sid"), F.col("root").alias("k"))
+    # Equal texts are merged before they meet their group.
+    chosen = sets.select("sid", "text_key", "rows", F.col("n").cast("long").alias("n"), "bits").join(groups, "sid")
+    members = docs.dropDuplicates(["text_key"]).join(stored(chosen, "grouped-sets"), "text_key").select("_text", "k", "sid", "rows", "n", "bits")
+    grams = stored(members.mapInArrow(_gram_rows, "k long, sid long, rows long, n long, bits binary, grams binary"), "group-sets")
+    extent = stored(grams.groupBy("k").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("nb")), "group-blocks")
+    placed = grams.join(extent, "k")
+    classes = components(forest(placed.select("k", "nb", "sid", F.col("sid").alias("root"), "n", "bits", "grams"), exact, BLOCK_SETS, "links")).select(F.col("node").alias("sid"), F.col("root").alias("cls"))
+    info = sets.select("set_key", "sid", "rows").join(classes, "sid", "left").withColumn("cls", F.coalesce("cls", "sid"))
+    n_links = F.lit(None).cast("long")
+    if count:
+        info = info.join(link_counts(placed), "sid", "left")
+        n_links = F.coalesce(F.coalesce("links", F.lit(0)) + F.col("rows") - 1, F.lit(0))
+    every = rows.select("doc_id", "text_key", "set_key").join(stored(info, "set-classes"), "set_key", "left")
+    named = stored(every.select("doc_id", "text_key", "cls", n_links.alias("n_links")), "linked-rows")
+    least = stored(named.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_key")).alias("first")), "classes")
     out = named.join(least, "cls", "left")
-    return out.select("doc_id", "kid", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", (F.col("cls").isNull() | (F.col("first") == F.struct("doc_id", "kid"))).alias("first"))
+    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links", (F.col("cls").isNull() | (F.col("first") == F.struct("doc_id", "text_key"))).alias("first"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """Each document's class of near duplicates and number of links."""
     return linked(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
@@ -408,12 +566,14 @@ FROM documents d LEFT JOIN grams USING (doc_id) LEFT JOIN sets s ON s.g = grams.
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: that with the least id. Rows that repeat id and text are one."""
-    found = linked(df, id_col, text_col)
-    drop = found.where(~F.col("first")).select(F.col("doc_id").alias("_id"), F.col("kid").alias("_kid")).distinct()
-    kid = F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256), 1, 15), 16, 10).cast("long")
-    left = df.withColumn("_kid0", kid)
-    stay = left.join(drop, (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.col("_kid0") == F.col("_kid")), "left_anti")
-    again = found.where("first").groupBy("doc_id", "kid").count().where("count > 1").limit(1).count()
-    out = stay.dropDuplicates([id_col, "_kid0"]) if again else stay
+    """One row of each class: that with the least id. Rows that repeat id and text are one.
+
+    Columns named ``_near_key``, ``_near_id`` or ``_near_text`` can't be passed through.
+    """
+    found = linked(df, id_col, text_col, count=False)
+    drop = found.where(~F.col("first")).select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_text")).distinct()
+    left = df.withColumn("_near_key", text_key(F.coalesce(F.col(text_col), F.lit(""))))
+    stay = left.join(drop, (F.col(id_col).cast("long").eqNullSafe(F.col("_near_id"))) & (F.col("_near_key") == F.col("_near_text")), "left_anti")
+    again = found.where("first").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    out = stay.dropDuplicates([id_col, "_near_key"]) if again else stay
     return out.select(*df.columns)

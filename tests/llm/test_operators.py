@@ -454,19 +454,61 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_wide_buckets_go_through_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
     monkeypatch.setattr(ngram_join, "SMALL", 8)
     r = random.Random(6)
     base = [f"w{r.randrange(300)}" for _ in range(100)]
     texts = []
-    for _ in range(60):
+    for i in range(120):
         x = list(base)
-        x[r.randrange(100)] = f"new{r.random()}"
+        # Some are linked to the centre, some to others only, some to none.
+        for _ in range(1 if i < 60 else r.randint(1, 12)):
+            x[r.randrange(100)] = f"new{r.random()}"
+        texts.append(" ".join(x))
+    x = texts[70].split()
+    for i in range(0, 96, 3):
+        x[i] = f"step{i}"
         texts.append(" ".join(x))
     rows = list(enumerate(texts))
     got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_links(rows)
 
 
+@pytest.mark.parametrize("size", [1000, 13_000])
+def test_large_groups_stay_linear(spark, size):
+    """A group of more than three blocks: one class, and about an edge for each set, whatever its size."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(size):
+        x = list(base)
+        x[r.randrange(120)] = f"new{i}"
+        texts.append(" ".join(x))
+    chain = list(base)
+    for i in range(40):
+        chain[3 * i] = f"chain{i}"
+        texts.append(" ".join(chain))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    made = []
+    whole = ngram_join.candidates
+
+    def counted(sets):
+        made.append(whole(sets))
+        return made[-1]
+
+    ngram_join.candidates = counted
+    try:
+        found = ngram_join.linked(df, count=False).groupBy("class_id").count().collect()
+    finally:
+        ngram_join.candidates = whole
+    assert [tuple(x) for x in found] == [(0, size + 40)]
+    assert made[0].count() <= 8 * (size + 40)
+
+
+def test_runs_follow_the_recall():
+    assert [ngram_join.runs_for(x) for x in (0.5, 0.9, 0.999999)] == [1, 3, 14] and ngram_join.RUNS == 14
+
+
 def test_near_duplicate_defined_cases(odd, empty):
     assert ngram_join.linked(odd).count() == odd.count() and ngram_join.linked(empty).count() == 0
     kept = ngram_join.keep_first(odd).collect()
