@@ -4,21 +4,26 @@ All documents' ids form one stream, which is cut every ``window`` ids. The first
 pass tokenizes each partition, stores its ids (two bytes each) with the count of
 ids before each document in its partition, and so the partition totals. A prefix
 sum over the totals gives every partition's offset in the stream; the second
-pass cuts each document at the windows' borders it spans. A document that lies
-on a border gives one record on each side. Only the last sequence needs padding,
-and every id lies in exactly one piece.
+pass reads the stored ids where they lie and cuts each document at the windows'
+borders it spans. A document that lies on a border gives one record on each
+side. Only the last sequence needs padding, and every id lies in exactly one
+piece. Ids are never shuffled: only the offsets, one row for an input partition,
+are sent to the tasks, up to MOST_OFFSETS of them; beyond that they are joined.
 
 The stream's order is that of the stored table, which restarts read again, so
 lost executors change nothing.
 
-Defined cases: a null text is an empty one, whose only id is the closing 0;
-repeated rows are packed each; empty input gives no pieces.
+Defined cases: a null text is an empty one, whose only id is the closing 0; very
+long texts are encoded whole, one at a time; a null id stays null; repeated rows
+are packed each; empty input gives no pieces; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,40 +34,65 @@ from pyspark.sql import functions as F
 from entitylens.llm.common import stored, table
 from entitylens.llm.token_counts import path_of
 
-#: Vocabularies that are also there as merge ranks: the same ids, found several times faster.
-RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
+#: Offsets of input partitions that are broadcast at most: 16 bytes each.
+MOST_OFFSETS = 250_000
+#: How a byte-level tokenizer of the library cuts texts before it merges.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The library writes bytes as letters: printable ones as themselves, the others from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
+
+
+def merge_ranks(path: str, model) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer file as ranks by which merging gives the same ids; None if that isn't certain.
+
+    Certain means: plain byte-level BPE without normalizer, with all 256 bytes; the merges stand in the order of
+    the ids of what they make, each makes one token, and all tokens beyond the bytes are made so; and merging the
+    bytes of each token by the file's own rules gives that token. Then two parts that make a token when put
+    together stand side by side only if they are that token's own merge, so merging by rank takes the same steps.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe, cut = spec["model"], spec["pre_tokenizer"] or {}
+    odd = [bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")]
+    if bpe["type"] != "BPE" or any(odd) or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    special, letters = {t["content"] for t in spec["added_tokens"]}, byte_letters()
+    vocab = {w: i for w, i in bpe["vocab"].items() if w not in special}
+    if any(not set(w) <= letters.keys() for w in vocab) or not letters.keys() <= vocab.keys():
+        return None
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in bpe["merges"]]
+    order = [vocab.get(w, -1) for w in made]
+    whole = sorted(vocab, key=vocab.get) == sorted(letters, key=vocab.get) + made and all(a < b for a, b in zip(order, order[1:], strict=False))
+    if not whole or any([t.value for t in model.tokenize(w)] != [w] for w in vocab):
+        return None
+    return {bytes(letters[c] for c in w): i for w, i in vocab.items()}
 
 
 class IdEncoder:
     """Ids of whole texts, as little-endian 16-bit numbers, as the tokenizers library gives them.
 
-    Where the vocabulary is at hand as merge ranks, and each rank proves to be the
-    library's id of the same bytes, texts are encoded by the ranks; those that hold
-    a special token's string, and any other vocabulary, go through the library.
+    Where merging by rank is certain to give the library's ids, texts are encoded so,
+    which is several times faster; those that hold a special token's string, and
+    any other vocabulary, go through the library.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path_of(name))
+        self.model = Tokenizer.from_file(path)
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.fast = self._ranked(RANKS[name]) if name in RANKS else None
-
-    def _ranked(self, name: str):
-        import public_tokenizers
-        import tiktoken
-
-        with open(path_of(name), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        # The library writes bytes as letters: printable ones as themselves, the others from 256 on.
-        printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(printable)))}
-        ids = self.model.get_vocab(with_added_tokens=False)
-        same = all(ids.get("".join(letters[b] for b in token)) == rank for token, rank in ranks.items())
-        plain = self.model.normalizer is None and b'"ByteLevel"' in open(path_of("byte_bpe_50k.json"), "rb").read()
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if same and plain else None
+        ranks = merge_ranks(path, self.model.model)
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         library = [i for i, t in enumerate(texts) if self.fast is None or any(s in t for s in self.special)]
@@ -76,6 +106,12 @@ class IdEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(name: str) -> IdEncoder:
+    """One for each Python worker."""
+    return IdEncoder(path_of(name))
+
+
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(sizes):
@@ -97,7 +133,7 @@ def tokenized(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        model = IdEncoder(tokenizer)
+        model = encoder(tokenizer)
         for b in batches:
             texts = b.column(1)
             for i, j in _slices(np.asarray(pc.binary_length(texts)), 4 << 20):
@@ -120,7 +156,8 @@ def pack(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = 1024
     totals = docs.groupBy("_part").agg(F.sum("doc_tokens").alias("_total"))
     # One row for each input partition, not for each document.
     running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", F.coalesce(F.sum("_total").over(running), F.lit(0)).alias("_base"))
+    bases = stored(totals.select("_part", F.coalesce(F.sum("_total").over(running), F.lit(0)).alias("_base")), "offsets")
+    bases = F.broadcast(bases) if bases.count() <= MOST_OFFSETS else bases
     placed = docs.join(bases, "_part").select("doc_id", (F.col("_base") + F.col("_before")).alias("_at"), "doc_tokens", "_ids")
     kind = placed.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -150,4 +187,5 @@ def pack(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = 1024
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024."""
     return pack(table(spark, sf_dir, "documents"))

@@ -313,7 +313,7 @@ def test_ids_equal_the_librarys():
     from tokenizers import Tokenizer
 
     path = token_counts.path_of("byte_bpe_50k.json")
-    model, own = Tokenizer.from_file(path), packing.IdEncoder("byte_bpe_50k.json")
+    model, own = Tokenizer.from_file(path), packing.IdEncoder(path)
     r = random.Random(1)
     texts = ["".join(r.choice("ab  \n\n\t é'sĸ1 2!\x1c\x85\xa0 \r\x00漢") for _ in range(r.randint(0, 14))) for _ in range(5000)] + ["a<|endoftext|> b"]
     texts += ["".join(chr(r.choice([r.randrange(32, 0x250), r.randrange(0x250, 0x3100), r.randrange(0xE000, 0x11000), r.randrange(0x1F000, 0x1FA00)])) for _ in range(r.randint(0, 12))) for _ in range(5000)]
@@ -321,6 +321,39 @@ def test_ids_equal_the_librarys():
     assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_merges_go_through_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = token_counts.path_of("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def changed(name, change):
+        copy = json.loads(json.dumps(spec))
+        change(copy)
+        (tmp_path / name).write_text(json.dumps(copy))
+        return str(tmp_path / name)
+
+    def swap(x):
+        m = x["model"]["merges"]
+        m[2], m[900] = m[900], m[2]
+
+    # A token that is made of other parts than those that stand side by side in it.
+    def unmade(x):
+        m = x["model"]["merges"]
+        at = next(i for i, p in enumerate(m) if p == ["Ġt", "he"])
+        m[at] = ["Ġth", "e"]
+
+    texts = ["the other theory of that", " the hen then", "a hundred  words\n"]
+    for k, change in enumerate((swap, unmade, lambda x: x["model"].update(ignore_merges=True), lambda x: x["pre_tokenizer"].update(add_prefix_space=True), lambda x: x["model"]["merges"].pop(5))):
+        where = changed(f"{k}.json", change)
+        own = packing.IdEncoder(where)
+        assert own.fast is None
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [e.ids for e in Tokenizer.from_file(where).encode_batch(texts, add_special_tokens=False)]
+
+
 # -- 8 mixing ------------------------------------------------------------------------
 
 
