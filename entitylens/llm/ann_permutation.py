@@ -1,22 +1,27 @@
 """Approximate nearest neighbours with a permutation index.
 
-Every vector is represented by the order of its ``near`` nearest pivots. The
-index is cut into blocks of rows; each block holds one inverted file for each
-pivot: the rows that have the pivot among their nearest, with its place there.
-A query reads the files of its own nearest pivots and adds up the footrule
-distance (how far each pivot's place differs; a pivot that is missing counts as
-standing behind the last). The ``share`` of a block's rows with the smallest
-footrule distance are reranked by their distance to the query on the original
-vectors, in double precision, and each block gives its best k.
-
-Queries travel in blocks too, so neither side is ever collected or broadcast.
-Pivots are a bounded sample (``pivots`` distinct vectors, by hash); every row is
-indexed. Blocks are dealt by a hash of the id, so equal vectors are spread.
+Every vector is represented by the order of its ``near`` nearest pivots, an eighth
+of all; these codes are stored with the vectors. A block of rows holds one inverted
+file for each pivot: the rows that have the pivot among their nearest, with its
+place there. A query reads the files of its own nearest pivots, an eighth of the
+postings, and adds up the footrule distance (how far each pivot's place differs; a
+pivot that is missing counts as standing behind the last). The ``share`` of a
+block's rows with the smallest footrule distance, and ``least`` rows at least, are
+reranked by their distance to the query on the original vectors, in double
+precision, and each block gives its best k.
+
+The stated queries meet all rows in blocks: each block of rows meets each block of
+queries once, so neither side is ever collected or broadcast. Rows that repeat id
+and vector are merged first, and blocks are dealt by a hash of both, so neither a
+common id nor a common vector gathers in one block. Pivots are a bounded sample
+(``pivots`` distinct vectors, by hash); every row is indexed. A block has as many
+rows as give each core of the cluster work, and at most ``block_rows``.
 
 Defined cases: vectors that are null, of another than the most common length,
-all zero, or hold null or non-finite components take no part; equal distances go
-to the smaller id; fewer candidates than k give all of them; empty input gives
-no rows; other columns are ignored.
+all zero, or hold null or non-finite components take no part, nor do null ids;
+equal distances go to the smaller id; fewer candidates than k give all of them;
+queries that repeat an id share one list; empty input gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from entitylens.llm.common import stored, table
@@ -48,79 +53,99 @@ def sample_pivots(vectors: DataFrame, pivots: int) -> np.ndarray:
     return np.array([r["v"] for r in distinct.orderBy("h").limit(pivots).collect()], float)
 
 
-def nearest_places(x: np.ndarray, pivots: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest pivots of each row in order, and each pivot's place (near if it is not among them)."""
-    far = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T
-    order = np.argsort(far, axis=1, kind="stable")[:, :near]
-    place = np.full((len(x), len(pivots)), near, np.int16)
-    np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int16)[None].repeat(len(x), 0), 1)
-    return order, place
+def codes(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
+    """The nearest pivots of each row in order."""
+    far = (pivots**2).sum(1)[None] - 2 * x @ pivots.T
+    return np.argsort(far, axis=1, kind="stable")[:, :near].astype(np.int16)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, near: int, share: float, least: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+class InvertedFiles:
+    """For each pivot the rows of a block that have it in their code, and its place there."""
+
+    def __init__(self, code: np.ndarray, pivots: int):
+        self.rows, self.near = code.shape
+        by_pivot = np.argsort(code, axis=None, kind="stable")
+        self.row, self.place = (by_pivot // self.near).astype(np.int32), (by_pivot % self.near).astype(np.int32)
+        self.ends = np.searchsorted(code.ravel()[by_pivot], np.arange(pivots + 1))
+
+    def footrule(self, code: np.ndarray) -> np.ndarray:
+        # With no pivot in common, each one of either side counts by how far it is from behind the last.
+        score = np.full(self.rows, 2 * int((self.near - np.arange(self.near)).sum()), np.int64)
+        for at, p in enumerate(code.tolist()):
+            i, j = self.ends[p], self.ends[p + 1]
+            score[self.row[i:j]] += np.abs(self.place[i:j] - at) - (self.near - at) - (self.near - self.place[i:j])
+        return score
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, code: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, query_codes: np.ndarray, pivots: int, share: float, least: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The best k rows of one block for each query: (query, ids, distances)."""
     by_id = np.argsort(ids, kind="stable")
-    ids, x = ids[by_id], x[by_id]
-    order, place = nearest_places(x, pivots, near)
-    files = [np.flatnonzero(place[:, p] < near) for p in range(len(pivots))]
-    places = [place[rows, p] for p, rows in enumerate(files)]
-    # With no pivot in common, each place of the row counts by how far it is from behind the last.
-    alone = (near - np.arange(order.shape[1])).sum()
-    take = max(least, int(np.ceil(share * len(ids))))
-    q_order, _ = nearest_places(queries, pivots, near)
-    for q, query, pivots_of in zip(query_ids, queries, q_order, strict=True):
-        score = np.full(len(ids), alone, np.int32)
-        for at, p in enumerate(pivots_of):
-            # The pivot's share of the sum changes from (near - place) to |place - at|; others' near - at stays for rows outside the file.
-            score += near - at
-            score[files[p]] += np.abs(places[p] - at) - (near - places[p]) - (near - at)
-        found = np.argsort(score, kind="stable")[: take + 1]
+    ids, x, n = ids[by_id], x[by_id], len(ids)
+    files = InvertedFiles(code[by_id], pivots)
+    take = min(n, max(least, int(np.ceil(share * n))) + 1)
+    for q, query, own in zip(query_ids, queries, query_codes, strict=True):
+        # Equal footrules go to the smaller id.
+        order = files.footrule(own) * n + np.arange(n)
+        found = np.argpartition(order, take - 1)[:take]
         found = found[ids[found] != q]
         d = np.sqrt(((x[found] - query) ** 2).sum(1))
-        best = np.lexsort((ids[found], d))[:k]
-        yield int(q), ids[found][best], d[best]
+        best = np.lexsort((ids[found], d))
+        best = best[: 2 * k] if len(np.unique(ids[found][best[: 2 * k]])) >= k else best
+        hits = dict.fromkeys(zip(d[best].tolist(), ids[found][best].tolist(), strict=True))
+        top = list(hits)[:k]
+        yield int(q), np.array([i for _, i in top], np.int64), np.array([s for s, _ in top], float)
 
 
-def search(df: DataFrame, every: int = 100, k: int = 10, pivots: int = 64, near: int = 32, share: float = 0.45, least: int = 500, block_rows: int = 8192, query_block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest rows of each row whose id is divisible by ``every``."""
-    rows = stored(usable(df, id_col, vector_col), "vectors")
+def permutation_index(df: DataFrame, pivots: int, near: int, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
+    """vec_id, v and code (the places' pivots, 16 bits each) of every row that takes part, and how many pivots there are."""
+    rows = stored(usable(df, id_col, vector_col).distinct(), "vectors")
     ref = sample_pivots(rows, pivots)
-    near = min(near, len(ref))
-    n = rows.count()
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n // (every * query_block)))
-    # Each index block meets each query block once: the stated queries against all rows.
-    placed = rows.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    index = placed.withColumn("_query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    near = min(near, max(1, len(ref) // 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+            code = codes(np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1), ref, near)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "v", "code"])
+
+    return stored(rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, code binary"), "permutations"), len(ref)
+
+
+def search(df: DataFrame, every: int = 100, k: int = 10, pivots: int = 1024, near: int = 128, share: float = 0.1, least: int = 100, block_rows: int = 32_768, query_block: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k nearest rows of each row whose id is divisible by ``every``."""
+    index, held = permutation_index(df, pivots, near, id_col, vector_col)
+    n = index.count()
+    least_blocks = min(4 * df.sparkSession.sparkContext.defaultParallelism, n // 8192)
+    blocks, query_blocks = max(1, least_blocks, -(-n // block_rows)), max(1, -(-n // (every * query_block)))
+    # Each block of rows meets each block of queries once: the stated queries against all rows.
+    rows = index.withColumn("_block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("_query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = (
-        rows.where(F.col("vec_id") % every == 0)
+        index.where(F.col("vec_id") % every == 0)
         .withColumn("_query_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int"))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.asarray(t["vec_id"].combine_chunks(), np.int64)
-        return ids, np.asarray(pa.concat_arrays([c.flatten() for c in t["v"].chunks])).reshape(len(ids), -1)
+        vectors = np.asarray(pa.concat_arrays([c.flatten() for c in t["v"].chunks])).reshape(len(ids), -1)
+        return ids, vectors, np.frombuffer(b"".join(t["code"].to_pylist()), np.int16).reshape(len(ids), -1)
 
     def near_in(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: dict[tuple[int, int, float], None] = {}
         if left.num_rows and right.num_rows:
-            out = list(search_block(*matrix(left), *matrix(right), ref, near, share, least, k))
-        lengths = [len(ids) for _, ids, _ in out]
-        return pa.table({
-            "query_id": pa.array(np.repeat(np.array([q for q, _, _ in out], np.int64), lengths)),
-            "vec_id": pa.array(np.concatenate([ids for _, ids, _ in out]) if out else np.array([], np.int64)),
-            "score": pa.array(np.concatenate([d for _, _, d in out]) if out else np.array([], float)),
-        })
+            for q, ids, d in search_block(*arrays(left), *arrays(right), held, share, least, k):
+                out |= dict.fromkeys((q, i, s) for i, s in zip(ids.tolist(), d.tolist(), strict=True))
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+        return pa.table({c: pa.array(list(v), t) for (c, t), v in zip(kinds.items(), columns, strict=True)})
 
     keys = ["_block", "_query_block"]
-    found = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(near_in, "query_id long, vec_id long, score double")
-    # Query rows that repeat an id would repeat their neighbours.
-    best = F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "hit"))
-    return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(near_in, "query_id long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of each whose id is divisible by 100."""
     return search(table(spark, sf_dir, "embeddings"))
 
 

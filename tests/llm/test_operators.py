@@ -191,6 +191,22 @@ def test_recall_and_ties(spark):
     assert all(v == sorted(v) and len(v) == 10 for v in got.values())
 
 
+def test_recall_on_the_embeddings(spark):
+    """0.9 or more with a tenth of the rows reranked, on the table itself."""
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    want = brute_neighbours(rows, 100, 10)
+    got = defaultdict(set)
+    for h in ann_permutation.op5(spark, "/root/testdata/sf0.1").collect():
+        got[h["query_id"]].add(h["vec_id"])
+    assert sum(len(got[q] & {i for _, i in v}) for q, v in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_repeated_ids_and_vectors(spark):
+    rows = [(0, [1.0, 0.0])] * 3 + [(0, [0.0, 1.0])] + [(i, [1.0, 1.0]) for i in (1, 1, 1, 2)]
+    got = sorted(tuple(x) for x in ann_permutation.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0)]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (6, [1.0, 1.0]), (100, [float("inf"), 1.0]), (None, [1.0, 2.0])]
     got = ann_permutation.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
