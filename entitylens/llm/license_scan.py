@@ -15,7 +15,10 @@ A file without a licence of its own inherits from the nearest directory above
 it that declares one. Only distinct directories are joined with their
 ancestors, so a directory with a third of all files is one row there.
 
-Defined cases: a null or empty text has no licence of its own; a null path is
+Defined cases: a null or empty text has no licence of its own; very long texts are
+scanned whole, line by line; columns of df named ``own_license``, ``score``, ``license``,
+``license_dir`` or with the helpers' names (``_path``, ``_whole``, ``_text``, ``_dir``,
+``_declares``) are left out and replaced, all others pass through; a null path is
 the root; equal cosines go to the template named first in the alphabet; a
 directory that declares several takes the most frequent, then the first in the
 alphabet; repeated rows are scanned each; empty input gives no rows.
@@ -47,6 +50,8 @@ TEMPLATES = {
 }
 THRESHOLD = 0.6
 WORD = re.compile(r"[a-z]+|[0-9]+")
+#: Columns that the scan makes or needs for itself.
+MADE = ("own_license", "score", "license", "license_dir", "near", "_path", "_whole", "_text", "_dir", "_declares")
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying)[^/]*$"
 
 
@@ -153,7 +158,7 @@ def own_licenses(df: DataFrame, text_col: str, path: Column, templates: dict[str
     """df without its text, with _path, own_license and score."""
     df_counts, n = line_counts(df, text_col, templates | {f"_header{i}": t for i, (_, t) in enumerate(headers)})
     vectors, runs = Templates(templates, df_counts, n, threshold), Headers(headers, df_counts, n, threshold)
-    names = [c for c in df.columns if c not in (text_col, "own_license", "score", "_path", "_whole")]
+    names = [c for c in df.columns if c not in (text_col, *MADE)]
     path = F.coalesce(path, F.lit(""))
     rows = df.select(*names, path.alias("_path"), path.rlike(LICENSE_FILE).alias("_whole"), F.col(text_col).alias("_text"))
     fields = rows.schema.fields[:-2]
@@ -165,7 +170,7 @@ def own_licenses(df: DataFrame, text_col: str, path: Column, templates: dict[str
                 text = text.as_py() or ""
                 # Of equal scores the first name.
                 lines = [words_of(part) for part in text.split("\n")]
-                hits = [h for words in (lines + [words_of(text)] * whole) if (h := vectors.best(words))]
+                hits = [h for words in (lines + [[w for x in lines for w in x]] * whole) if (h := vectors.best(words))]
                 hits += [h] if (h := runs.best_run(lines)) else []
                 found.append(min(hits, key=lambda h: (-h[0], h[1]), default=(None, None)))
             columns = b.columns[:-2] + [pa.array([k for _, k in found], pa.string()), pa.array([s for s, _ in found], pa.float64())]
@@ -192,12 +197,26 @@ def inherited(files: DataFrame, declares: Column) -> DataFrame:
     }).drop("_dir", "_declares", "near")
 
 
+def document_paths(doc_id: Column, source: Column, lang: Column) -> Column:
+    """Places for documents, which have none: source/language/(id // 512)/(id // 64)/name.
+
+    One in four is a licence file, a third of them in each of the three lower directories; so directories at
+    several depths declare, and many don't.
+    """
+    i = F.coalesce(doc_id, F.lit(0))
+    level = F.when(i % 4 != 0, F.lit(0)).otherwise(F.floor(i / 4) % 3)
+    top = F.concat_ws("/", F.coalesce(source, F.lit("?")), F.coalesce(lang, F.lit("?")))
+    upper, lower = F.floor(i / 512).cast("string"), F.floor(i / 64).cast("string")
+    name = F.concat(F.when(i % 4 == 0, F.lit("LICENSE-")).otherwise(F.lit("file-")), i.cast("string"))
+    return F.when(level == 0, F.concat_ws("/", top, upper, lower, name)).when(level == 1, F.concat_ws("/", top, upper, name)).otherwise(F.concat_ws("/", top, name))
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
-    """documents as files source/language/id, each with a header declaring for its directory."""
+    """The licence of each document as a file among others, its own or the nearest declaring ancestor's."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?")), F.floor(F.col("doc_id") / 64).cast("string"), F.col("doc_id").cast("string"))
+    path = document_paths(F.col("doc_id"), F.col("source"), F.col("lang"))
     files = stored(own_licenses(docs, "text", path), "own-licenses")
-    return inherited(files, F.lit(True)).select("doc_id", "own_license", "score", "license", "license_dir")
+    return inherited(files, F.col("_path").rlike(LICENSE_FILE)).select("doc_id", "own_license", "score", "license", "license_dir")
 
 
 _VALUES = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
@@ -206,16 +225,20 @@ WITH t(name, txt) AS (VALUES {_VALUES}),
 tw AS (SELECT name, w, count(*) AS tf FROM (SELECT name, unnest(regexp_extract_all(lower(txt), '[a-z]+|[0-9]+')) AS w FROM t) GROUP BY ALL),
 line AS (SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+|[0-9]+') AS ws
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)),
-lw AS MATERIALIZED (SELECT doc_id, i, w, count(*) AS tf FROM (SELECT doc_id, i, unnest(ws) AS w FROM line) GROUP BY ALL),
+place AS (SELECT doc_id, coalesce(source, '?') || '/' || coalesce(lang, '?') AS d2, CASE WHEN doc_id % 4 <> 0 THEN 0 ELSE (doc_id // 4) % 3 END AS level,
+  CASE WHEN level < 2 THEN d2 || '/' || (doc_id // 512) END AS d3, CASE WHEN level = 0 THEN d3 || '/' || (doc_id // 64) END AS d4 FROM documents),
+flat AS MATERIALIZED (SELECT doc_id, i, w, count(*) AS tf FROM (SELECT doc_id, i, unnest(ws) AS w FROM line) GROUP BY ALL),
+lw AS MATERIALIZED (FROM flat UNION ALL SELECT doc_id, -1 - doc_id AS i, w, sum(tf) AS tf FROM flat WHERE doc_id % 4 = 0 GROUP BY ALL),
 total AS (SELECT count(*) AS n FROM line WHERE len(ws) > 0),
-idf AS (SELECT w, ln((1 + n)::DOUBLE / (1 + (SELECT count(*) FROM lw WHERE lw.w = v.w))) + 1 AS x FROM (SELECT DISTINCT w FROM tw) v, total),
+idf AS (SELECT w, ln((1 + n)::DOUBLE / (1 + (SELECT count(*) FROM flat WHERE flat.w = v.w))) + 1 AS x FROM (SELECT DISTINCT w FROM tw) v, total),
 tn AS (SELECT name, sqrt(sum((tf * x) ** 2)) AS norm FROM tw JOIN idf USING (w) GROUP BY name),
 dots AS (SELECT i, name, sum(lw.tf * tw.tf * x * x) AS dot FROM lw JOIN tw USING (w) JOIN idf USING (w) GROUP BY ALL),
 ln_ AS (SELECT doc_id, i, sqrt(sum((tf * coalesce(x, ln(1 + n) + 1)) ** 2)) AS norm FROM lw LEFT JOIN idf USING (w), total GROUP BY ALL),
 hit AS (SELECT doc_id, name, round(dot / ln_.norm / tn.norm, 6) AS score FROM dots JOIN ln_ USING (i) JOIN tn USING (name)),
 own AS (SELECT doc_id, name AS own_license, score FROM hit WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) = 1),
-file AS (SELECT d.doc_id, own_license, score, coalesce(source, '?') AS d1, d1 || '/' || coalesce(lang, '?') AS d2, d2 || '/' || (doc_id // 64) AS d3 FROM documents d LEFT JOIN own USING (doc_id)),
-said AS (SELECT d3, own_license AS license FROM (SELECT d3, own_license, count(*) AS n FROM file WHERE own_license IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY d3 ORDER BY n DESC, own_license) = 1)
-SELECT doc_id, own_license, score, coalesce(own_license, license) AS license, CASE WHEN own_license IS NULL AND license IS NOT NULL THEN d3 END AS license_dir
-FROM file LEFT JOIN said USING (d3)
+file AS (SELECT place.*, own_license, own.score AS score, coalesce(d4, d3, d2) AS d FROM place LEFT JOIN own USING (doc_id)),
+said AS (SELECT d, own_license AS license FROM (SELECT d, own_license, count(*) AS n FROM file WHERE own_license IS NOT NULL AND doc_id % 4 = 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC, own_license) = 1)
+SELECT doc_id, own_license, score, coalesce(own_license, s4.license, s3.license, s2.license) AS license,
+  CASE WHEN own_license IS NOT NULL THEN NULL WHEN s4.license IS NOT NULL THEN d4 WHEN s3.license IS NOT NULL THEN d3 WHEN s2.license IS NOT NULL THEN d2 END AS license_dir
+FROM file LEFT JOIN said s4 ON s4.d = d4 LEFT JOIN said s3 ON s3.d = d3 LEFT JOIN said s2 ON s2.d = d2
 """

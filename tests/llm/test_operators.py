@@ -114,6 +114,18 @@ def test_headers_of_several_lines(spark):
     assert all(want == found for want, found in got.values()), got
 
 
+def test_documents_inherit_from_several_depths(spark):
+    rows = license_scan.op3(spark, "/root/testdata/sf0.01").where("license_dir is not null").select(F.size(F.split("license_dir", "/")).alias("depth")).groupBy("depth").count().collect()
+    assert {r["depth"] for r in rows} >= {2, 3}
+
+
+def test_clashing_columns_are_replaced(spark):
+    rows = [("LICENSE", "Released under the MIT License.", "x", "y", "z"), ("a/b", "code", "x", "y", "z")]
+    df = spark.createDataFrame(rows, "path string, text string, license string, license_dir string, other string")
+    got = license_scan.inherited(license_scan.own_licenses(df, "text", F.col("path")), F.col("path").rlike(license_scan.LICENSE_FILE))
+    assert [(r["path"], r["license"], r["license_dir"], r["other"]) for r in got.orderBy("path").collect()] == [("LICENSE", "mit", None, "z"), ("a/b", "mit", "", "z")]
+
+
 def test_license_defined_cases(odd, empty):
     files = license_scan.own_licenses(odd, "text", F.lit("x/y"))
     assert license_scan.inherited(files, F.lit(True)).count() == odd.count()
