@@ -20,6 +20,12 @@ be found, and that by refining buckets:
 4. In cells that are neither, each window gets its own identifier. Only cells
    outside the known ones matter, as all windows of an anchor overlap.
 
+This departs from the textbook's refinement in one point: the identifier of a
+bucket is not its rank after a sort of the whole corpus but a hash of the pointers
+below it, so that every task can look later offsets up in the text at hand instead
+of joining a table of all suffixes; rounds 2 to 4 are the refinement's rounds, and
+only suffixes whose buckets still hold several go on to the next.
+
 An identifier is a 64-bit hash of the pointers below it, and a refined bucket is
 keyed together with its gram's, so 128 bits decide. Buckets are only ever
 counted, by their least and greatest place, before they are shuffled; no bucket
@@ -27,11 +33,13 @@ is gathered, whatever its size. Equal texts count as one text while suffixes are
 sorted; they repeat whole if they have ``length`` bytes.
 
 Texts cross the network once, those with a common gram only after equal ones
-have been merged.
+have been merged. A text is named by 60 bits of its digest; names that two
+digests share are found beforehand and replaced, so no two texts are mixed up.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` keep
-all bytes; overlapping and periodic repeats count; repeated rows repeat each
-other; empty input gives no rows; other columns are ignored.
+all bytes; very long texts are taken whole, in overlapping stretches; a null id
+stays null; overlapping and periodic repeats count; repeated rows repeat each
+other; empty input gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +51,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entitylens.llm.common import mix, scrambled, stored, table
+from entitylens.llm.common import discard, mix, scrambled, stored, table
 
+#: Hexadecimal digits of a text's digest that name it.
+NAME_DIGITS = 15
+#: Replaced names that are broadcast at most.
+MOST_RENAMED = 100_000
 GRAM = 32
 CELL = 16
 #: Bytes looked at together; longer texts are cut into overlapping stretches of this size.
@@ -219,8 +231,10 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     half = length // 2
     rows = stored(docs.where(F.octet_length("raw") >= length).mapInArrow(_anchor_rows(length), "kid long, at long, back int, ahead int, gram long, whole long, before long, after long"), "anchors")
     common = stored(rows.join(repeated(rows, ["gram"]), "gram", "left_semi"), "common-grams")
+    discard(rows)
     settled = stored(common.groupBy("gram", "whole").agg(F.min(F.struct("kid", "at")).alias("a"), F.max(F.struct("kid", "at")).alias("z")), "refined-buckets")
     marked = stored(common.join(settled, ["gram", "whole"]).withColumn("sure", F.col("a") != F.col("z")), "marked")
+    discard(common, settled)
     # A settled bucket sends one suffix on, for the other buckets of its gram to meet.
     some = marked.where(~F.col("sure") | (F.struct("kid", "at") == F.col("a"))).select("kid", "at", "back", "ahead", "before", "after", "sure").distinct()
     flag = lambda c: repeated(some.where(F.col(c) != 0), [c]).withColumn(f"{c}_met", F.lit(True))
@@ -237,29 +251,47 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     covered = repeated(cells.where("inside"), ["cell", "cover"]).withColumn("all", F.lit(True))
     met = cells.join(shared, ["cell", "share"], "left_semi").join(covered, ["cell", "cover"], "left")
     state = stored(met.withColumn("all", F.col("inside") & F.coalesce("all", F.lit(False))).select("kid", "at", "cell", "share", "all", "lo", "hi"), "cell-states")
+    discard(cells)
     full = stored(state.where("all").groupBy("kid", "at").agg(F.min("cell").alias("first"), F.max("cell").alias("last")), "repeating-cells")
     # All windows of an anchor overlap, so what lies between two repeats is covered.
     outer = F.col("first").isNull() | (F.col("cell") < F.col("first")) | (F.col("cell") > F.col("last"))
     judged = stored(state.join(full, ["kid", "at"], "left").withColumn("rest", ~F.col("all") & outer).select("kid", "at", "cell", "share", "lo", "hi", "rest"), "cells-to-split")
+    discard(state)
     # Their windows are held against those of all cells in the same buckets, settled or not.
     split = judged.join(stored(judged.where("rest").select("cell", "share").distinct(), "cells-in-doubt"), ["cell", "share"], "left_semi")
     lists = split.groupBy("kid").agg(F.collect_list(F.struct("at", "lo", "hi", "share", "rest")).alias("found"))
     windows = stored(texts.join(lists, "kid").select("kid", "raw", "found").mapInArrow(_window_rows(length), "kid long, at long, d int, share long, one long, rest boolean"), "windows")
+    discard(judged)
     twice = repeated(windows, ["d", "share", "one"])
     start = F.col("at") - F.col("d")
     ones = windows.where("rest").join(twice, ["d", "share", "one"], "left_semi").select("kid", "at", start.alias("s"), (start + length).alias("e"))
     blocks = full.select("kid", "at", (F.col("at") - F.col("last") * CELL - (CELL - 1)).alias("s"), (F.col("at") - F.col("first") * CELL + length).alias("e"))
     # One span for each anchor: its first to its last repeat.
     refined = ones.unionByName(blocks).unionByName(sure).groupBy("kid", "at").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return texts, stored(refined.select("kid", "s", "e"), "repeats")
+    spans = stored(refined.select("kid", "s", "e"), "repeats")
+    discard(windows, full, marked)
+    return texts, spans
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """rows (with raw) with kid, a long that names the text. Names that two texts share are replaced by negative ones."""
+    digest = F.sha2("raw", 256)
+    rows = rows.withColumn("kid", F.conv(F.substring(digest, 1, NAME_DIGITS), 16, 10).cast("long"))
+    seen = rows.select("kid", digest.alias("digest"))
+    shared = stored(seen.groupBy("kid").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("kid"), "shared-names")
+    if shared.limit(1).count() == 0:
+        return rows
+    renamed = stored(seen.join(shared, "kid", "left_semi").select(F.col("digest").alias("_digest")).distinct().withColumn("_kid", -1 - F.monotonically_increasing_id()), "renamed")
+    renamed = F.broadcast(renamed) if renamed.count() <= MOST_RENAMED else renamed
+    out = rows.withColumn("_digest", digest).join(renamed, "_digest", "left")
+    return out.withColumn("kid", F.coalesce("_kid", "kid")).drop("_kid", "_digest")
 
 
 def without_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, the removed runs (``spans``, of bytes) and ``kept``, the bytes that stay, of each row."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
-    # 63 bits of the digest name a text.
-    rows = rows.select("doc_id", "raw", F.conv(F.substring(F.sha2("raw", 256), 1, 15), 16, 10).cast("long").alias("kid"))
+    rows = named(rows)
     texts, spans = repeated_spans(rows.select("kid", "raw"), length)
     by_text = spans.groupBy("kid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     cut = texts.join(by_text, "kid").select("kid", "raw", "spans").mapInArrow(_kept_rows, f"kid long, spans {SPANS}, kept binary")
@@ -286,4 +318,5 @@ def dedup(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: st
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """What each document loses to byte strings of 400 that stand elsewhere too."""
     return dedup(table(spark, sf_dir, "documents"))

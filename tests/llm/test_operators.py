@@ -260,6 +260,16 @@ def test_repeats_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def test_texts_with_one_name_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "NAME_DIGITS", 1)
+    r = random.Random(8)
+    block = "".join(r.choice("abcdefg ") for _ in range(600))
+    texts = ["".join(r.choice("hijklm ") for _ in range(r.randint(300, 900))) + block * (i % 7 == 0) for i in range(60)]
+    texts += texts[:3]
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
 def test_texts_without_repeats_are_given(spark, odd):
     r = random.Random(5)
     block = "".join(r.choice("abcdefgé ") for _ in range(500))
