@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,31 +36,94 @@ def corpus_stats(indexed: DataFrame, wanted: list[list[str]]) -> DataFrame:
     return indexed.agg(F.count("*").alias("n_rows"), (F.sum("n_words") / F.count("*")).alias("mean_words"), *holds)
 
 
+def _parts(frequencies: list[Column]) -> list[Column]:
+    """Each phrase's share of the score, from its frequency, n_words and the columns of the statistics."""
+    parts = []
+    for i, f in enumerate(frequencies):
+        df = F.col(f"df{i}")
+        idf = F.greatest(F.log((F.col("n_rows") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        parts.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_words") / F.col("mean_words"))))
+    return parts
+
+
 def bm25(indexed: DataFrame, terms: list[str], mask: Column) -> DataFrame:
-    """id and bm25 of the rows in mask that hold a phrase. Statistics ignore the mask; it comes before any ranking."""
+    """id and bm25 of the rows in mask that hold a phrase, by a scan. Statistics ignore the mask; it comes before any ranking."""
     wanted = phrases(terms)
     if not wanted:
         return indexed.where(F.lit(False)).select("id", F.lit(0.0).alias("bm25"))
     stats = F.broadcast(corpus_stats(indexed, wanted))
-    parts = []
-    for i, p in enumerate(wanted):
-        f, df = frequency(p), F.col(f"df{i}")
-        idf = F.greatest(F.log((F.col("n_rows") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-        parts.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_words") / F.col("mean_words"))))
+    parts = _parts([frequency(p) for p in wanted])
     held = total([frequency(p) for p in wanted]) > 0
     return indexed.where(mask & held).crossJoin(stats).select("id", F.round(total(parts), DECIMALS).alias("bm25"))
 
 
+#: Places of words are numbered so that those of two columns are never neighbours.
+APART = 40
+
+
+def postings(indexed: DataFrame) -> DataFrame:
+    """The inverted table: term, id, n_words and the term's places there."""
+    each = [
+        indexed.select("id", "n_words", F.posexplode(F.regexp_extract_all(c, F.lit("[^ ]+"), F.lit(0))).alias("pos", "term")).select("term", "id", "n_words", (F.lit(k << APART) + F.col("pos")).alias("place"))
+        for k, c in enumerate(WEIGHTS)
+    ]
+    flat = each[0].unionByName(each[1]).unionByName(each[2])
+    return flat.groupBy("term", "id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def _shifted(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def weight_of(places: Column) -> Column:
+    """Places counted, each weighed by its column."""
+    weights = F.array(*map(F.lit, WEIGHTS.values()))
+    return F.aggregate(places, F.lit(0.0), lambda s, x: s + F.element_at(weights, F.shiftright(x, APART).cast("int") + 1))
+
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Stored postings, clustered by term, and the corpus figures that scores need. A search reads its words' rows only."""
+
+    postings: DataFrame
+    n_rows: int
+    mean_words: float
+
+    @staticmethod
+    def figures(indexed: DataFrame) -> dict:
+        row = indexed.agg(F.count("*").alias("n"), (F.sum("n_words") / F.count("*")).alias("mean")).first()
+        return {"n_rows": row["n"], "mean_words": row["mean"] or 0.0}
+
+    @staticmethod
+    def of(indexed: DataFrame) -> KeywordIndex:
+        return KeywordIndex(postings(indexed), **KeywordIndex.figures(indexed))
+
+    def bm25(self, entities: DataFrame, terms: list[str], mask: Column) -> DataFrame:
+        """What bm25() gives for the entities that were indexed."""
+        wanted = phrases(terms)
+        words = sorted({w for p in wanted for w in p})
+        if not wanted:
+            return entities.where(F.lit(False)).select("id", F.lit(0.0).alias("bm25"))
+        # A row for each entity that holds one of the words.
+        places = [F.max(F.when(F.col("term") == w, F.col("places"))).alias(f"p{i}") for i, w in enumerate(words)]
+        held = self.postings.where(F.col("term").isin(words)).groupBy("id").agg(F.max("n_words").alias("n_words"), *places)
+        found = []
+        for p in wanted:
+            starts = F.col(f"p{words.index(p[0])}")
+            for k, w in enumerate(p[1:], 1):
+                starts = F.array_intersect(starts, _shifted(F.col(f"p{words.index(w)}"), k))
+            found.append(F.coalesce(weight_of(starts), F.lit(0.0)))
+        counted = held.select("id", "n_words", *[f.alias(f"f{i}") for i, f in enumerate(found)])
+        frequencies = [F.col(f"f{i}") for i in range(len(wanted))]
+        stats = counted.agg(*[F.count_if(f > 0).alias(f"df{i}") for i, f in enumerate(frequencies)])
+        stats = F.broadcast(stats.withColumns({"n_rows": F.lit(self.n_rows).cast("long"), "mean_words": F.lit(float(self.mean_words))}))
+        hits = counted.where(total(frequencies) > 0).join(entities.where(mask).select("id"), "id", "left_semi")
+        return hits.crossJoin(stats).select("id", F.round(total(_parts(frequencies)), DECIMALS).alias("bm25"))
+
+
 def top_ranked(scored: DataFrame, score: str, rank: str, pool: int) -> DataFrame:
     """The pool best rows with their rank from 0; equal scores by id."""
     best = scored.orderBy(F.desc(score), "id").limit(pool)
     # pool rows at most.
     order = Window.orderBy(F.desc(score), "id")
     return best.withColumn(rank, (F.row_number().over(order) - 1).cast("long"))
-
-
-def postings(indexed: DataFrame) -> DataFrame:
-    """term, id, and the term's weighted count there: the inverted table of single words."""
-    each = [indexed.select("id", F.explode(F.regexp_extract_all(c, F.lit("[^ ]+"), F.lit(0))).alias("term"), F.lit(w).alias("w")) for c, w in WEIGHTS.items()]
-    flat = each[0].unionByName(each[1]).unionByName(each[2])
-    return flat.groupBy("term", "id").agg(F.sum("w").alias("weight"))

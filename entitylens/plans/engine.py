@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from entitylens.operators import rank
 from entitylens.operators.filters import Explicit, Filters
-from entitylens.operators.lexical import bm25, phrases, top_ranked
+from entitylens.operators.lexical import KeywordIndex, bm25, phrases, top_ranked
 from entitylens.operators.metrics import Metrics
 from entitylens.operators.vectors import LEAST_COVERAGE, cosine, coverage
 from entitylens.plans.nlq import Parsed, parse
@@ -67,11 +67,12 @@ class Engine:
     """Searches over one snapshot: entities (indexed, enriched) and optionally vectors (id, embedding).
 
     vectors are left out if they cover too few entities. embed turns a question
-    into a vector; without it, or without vectors, only words are searched.
+    into a vector; without it, or without vectors, only words are searched. Words
+    are looked up in the index; without one, all entities are scanned for them.
     """
 
-    def __init__(self, entities: DataFrame, vectors: DataFrame | None = None, embed=None, check_coverage: bool = True):
-        self.entities, self.embed, self.metrics = entities, embed, Metrics()
+    def __init__(self, entities: DataFrame, vectors: DataFrame | None = None, embed=None, check_coverage: bool = True, index: KeywordIndex | None = None):
+        self.entities, self.embed, self.metrics, self.index = entities, embed, Metrics(), index
         if vectors is not None and check_coverage:
             share = coverage(entities, vectors).first()
             vectors = vectors if share["n"] and share["coverage"] >= LEAST_COVERAGE else None
@@ -102,7 +103,8 @@ class Engine:
         terms = parsed.lexical_terms()
         keyword = vector = None
         if mode != "semantic" and phrases(terms):
-            keyword = top_ranked(bm25(self.entities, terms, mask), "bm25", "keyword_rank", pool)
+            scored = self.index.bm25(self.entities, terms, mask) if self.index else bm25(self.entities, terms, mask)
+            keyword = top_ranked(scored, "bm25", "keyword_rank", pool)
         if mode != "keyword":
             vector = top_ranked(cosine(self._with_vectors(), list(self.embed(parsed.semantic_text)), mask), "cosine", "vector_rank", pool)
         fallback = keyword is None and vector is None

@@ -69,8 +69,8 @@ _KEEP = "(" + ", ".join(f"'{w}'" for w in KEEP) + ")"
 
 def _sql_tokens(x: str) -> str:
     return (
-        f"list_transform(string_split({_sql_norm(x)}, ' '), lambda w: CASE WHEN len(w) <= 3 OR w IN {_KEEP} OR NOT ends_with(w, 's') OR ends_with(w, 'ss') THEN w "
-        "WHEN ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN ends_with(w, 'sses') THEN w[:-3] ELSE w[:-2] END)"
+        f"list_transform(string_split({_sql_norm(x)}, ' '), lambda w: CASE WHEN len(w) > 3 AND ends_with(w, 'ies') THEN w[:-4] || 'y' WHEN len(w) > 3 AND ends_with(w, 'sses') THEN w[:-3] "
+        f"WHEN len(w) <= 3 OR w IN {_KEEP} OR NOT ends_with(w, 's') OR ends_with(w, 'ss') THEN w ELSE w[:-2] END)"
     )
 
 
@@ -287,7 +287,7 @@ def metrics_counters(spark, d):
 
 @query("SELECT event_type AS stage, median(value) AS median FROM events GROUP BY event_type")
 def stage_median(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("stage")).agg(F.median("value").alias("median"))
+    return metrics.median(spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("event_type", "stage"), "stage", "value")
 
 
 @query("SELECT count(*) AS read, count(*) FILTER (c_custkey % 11 <> 0) AS written, count(*) FILTER (c_custkey % 11 = 0) AS invalid FROM customer")
@@ -339,6 +339,13 @@ def keyword_bm25(spark, d):
     return lexical.bm25(entities(spark, d), FRAUD, F.lit(True)).select("id", F.round("bm25", 6).alias("bm25"))
 
 
+@query(_bm_select([*FRAUD, "payments"], "industry = 'Fintech'", "SELECT id, round(bm25, 6) AS bm25 FROM bm"))
+def keyword_index_bm25(spark, d):
+    """The same scores from the inverted table."""
+    e = entities(spark, d)
+    return lexical.KeywordIndex.of(e).bm25(e, [*FRAUD, "payments"], Filters(industries=("Fintech",)).predicate()).select("id", F.round("bm25", 6).alias("bm25"))
+
+
 @query(_bm_select(FRAUD, "location = 'Finland'", "SELECT id, round(bm25, 6) AS bm25 FROM bm"))
 def keyword_filtered(spark, d):
     return lexical.bm25(entities(spark, d), FRAUD, Filters(locations=("Finland",)).predicate()).select("id", F.round("bm25", 6).alias("bm25"))
@@ -379,7 +386,7 @@ def join_semi_candidates(spark, d):
 
 @query(_select("SELECT term, count(DISTINCT id) AS df, sum(w) AS weight FROM (SELECT id, unnest(regexp_extract_all(wn, '[^ ]+')) AS term, 2.0::DOUBLE AS w FROM words UNION ALL SELECT id, unnest(regexp_extract_all(wd, '[^ ]+')), 1.0 FROM words UNION ALL SELECT id, unnest(regexp_extract_all(wt, '[^ ]+')), 4.0 FROM words) GROUP BY term"))
 def fts_postings(spark, d):
-    return lexical.postings(entities(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("weight").alias("weight"))
+    return lexical.postings(entities(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum(lexical.weight_of(F.col("places"))).alias("weight"))
 
 
 # -- vectors -----------------------------------------------------------------

@@ -1,7 +1,11 @@
-"""Immutable snapshots of the entity table, swapped by one small pointer file.
-
-Each write makes a new snapshot; readers keep the one they opened. All files go
-through the Hadoop file system, so a store can lie wherever Spark can write.
+"""Immutable snapshots of the entity table, published by small numbered pointer files.
+
+Each write makes a new snapshot and then a pointer with the next number, which is
+only ever created, never replaced; the highest one that can be read whole counts.
+So a write that stops anywhere leaves the snapshot before it, and of two writers
+that began at one snapshot the second fails instead of hiding the first. Readers
+keep the snapshot they opened. All files go through the Hadoop file system, so a
+store can lie wherever Spark can write.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitylens.operators.ingest import embedding_text, enriched, indexed, ingest_stats, latest, numbered, upserted, validated
+from entitylens.operators.lexical import KeywordIndex, postings
 from entitylens.operators.vectors import HashEmbedder, embedded
 from entitylens.plans.engine import Engine, NotFound
 from entitylens.shipping import ship
@@ -25,10 +30,18 @@ LIVE_ROWS = 5000
 SHOWN_ERRORS = 20
 
 
+#: Pointer files that are kept; snapshots themselves are never removed here.
+KEPT_POINTERS = 10
+
+
+class Conflict(RuntimeError):
+    """Another writer published a snapshot meanwhile."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, embedder: type[HashEmbedder] = HashEmbedder, dim: int = 384):
         self.spark, self.path = ship(spark), path.rstrip("/")
-        self.model = embedder(dim)
+        self.model, self.dim = embedder(dim), dim
         self._make = lambda: embedder(dim)
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -46,24 +59,49 @@ class Store:
         finally:
             stream.close()
 
-    def _replace(self, name: str, text: str) -> None:
-        """The old file or the new one is there at any time that a rename takes no time."""
-        new = self._path(f"{self.path}/.{name}-{uuid.uuid4().hex}")
-        out = self._fs.create(new, True)
-        out.write(text.encode())
+    def _pointers(self) -> list[str]:
+        """Names of the pointer files, the newest first."""
+        top = self._path(self.path)
+        names = [f.getPath().getName() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return sorted((n for n in names if n.startswith("pointer-") and n.endswith(".json")), reverse=True)
+
+    def _point(self, now: dict, before: dict) -> dict:
+        """Publishes a snapshot's record; before is the one that the writer began with."""
+        now = now | {"version": before.get("version", 0) + 1}
+        latest = self.meta().get("version", 0)
+        # Left by a write that stopped midway: it counts for nothing, but its number is taken.
+        taken = max([int(n[8:-5]) for n in self._pointers()], default=0)
+        if latest >= now["version"]:
+            raise Conflict(f"snapshot {latest} was published meanwhile")
+        now["version"] = max(now["version"], taken + 1)
+        target = self._path(f"{self.path}/pointer-{now['version']:012}.json")
+        try:
+            out = self._fs.create(target, False)
+        except Exception as e:
+            raise Conflict(f"snapshot {now['version']} was published meanwhile") from e
+        out.write(json.dumps(now).encode())
         out.close()
-        target = self._path(f"{self.path}/{name}")
-        if not self._fs.rename(new, target):
-            self._fs.delete(target, False)
-            self._fs.rename(new, target)
+        for old in self._pointers()[KEPT_POINTERS:]:
+            self._fs.delete(self._path(f"{self.path}/{old}"), False)
+        return now
 
     def meta(self) -> dict:
         """The current snapshot's name and figures; empty before the first write."""
-        found = self._read("current.json")
-        return json.loads(found) if found else {}
+        for name in self._pointers():
+            try:
+                return json.loads(self._read(name) or "")
+            except ValueError:
+                continue
+        return {}
+
+    def set_meta(self, key: str, value) -> dict:
+        """Keeps a value of one's own with the snapshot, and with those that follow."""
+        now = self.meta()
+        return self._point(now | {"own": now.get("own", {}) | {key: value}}, now)
 
     def get_meta(self, key: str):
-        return self.meta().get(key)
+        now = self.meta()
+        return now.get("own", {}).get(key, now.get(key))
 
     # -- tables ------------------------------------------------------------
 
@@ -72,20 +110,32 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{now['snapshot']}/entities") if now else None
 
     def vectors(self, model: str | None = None) -> DataFrame | None:
-        """The vectors, or None if there are none or another model made them."""
+        """The vectors, or None if there are none, another model made them, or they can't be read whole."""
         now = self.meta()
         if not now.get("vectors") or model is not None and now.get("model") != model:
             return None
-        return self.spark.read.parquet(f"{self.path}/{now['vectors']}")
+        try:
+            found = self.spark.read.parquet(f"{self.path}/{now['vectors']}")
+            whole = found.agg(F.count("*"), F.count_if(F.size("embedding") != now.get("dim", self.dim))).first()
+        except Exception:  # noqa: BLE001  a search by words goes on without them
+            return None
+        return found if tuple(whole) == (now.get("vector_rows", whole[0]), 0) else None
 
-    def _publish(self, entities: DataFrame, vectors: str | None) -> dict:
+    def index(self) -> KeywordIndex | None:
+        """The inverted table of the current snapshot."""
+        now = self.meta()
+        return KeywordIndex(self.spark.read.parquet(f"{self.path}/{now['snapshot']}/postings"), **now["index"]) if now.get("index") else None
+
+    def _publish(self, entities: DataFrame, before: dict, **more) -> dict:
         name = f"snapshot-{uuid.uuid4().hex}"
         # Rows of one place and industry lie together, so that their row groups can be skipped.
         entities.repartitionByRange("location", "industry").sortWithinPartitions("location", "industry").write.parquet(f"{self.path}/{name}/entities")
-        n = self.spark.read.parquet(f"{self.path}/{name}/entities").count()
-        now = {"snapshot": name, "rows": n, "vectors": vectors, "model": self.model.name, "at": datetime.now(timezone.utc).isoformat()}
-        self._replace("current.json", json.dumps(now))
-        return now
+        rows = self.spark.read.parquet(f"{self.path}/{name}/entities")
+        # By term, so that a search reads its words' row groups; by id too, so that a common word is split.
+        postings(rows).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/{name}/postings")
+        figures = KeywordIndex.figures(rows)
+        now = {"snapshot": name, "rows": figures["n_rows"], "index": figures, "model": self.model.name, "at": datetime.now(timezone.utc).isoformat()}
+        return self._point(before | now | more, before)
 
     # -- writes ------------------------------------------------------------
 
@@ -99,30 +149,39 @@ class Store:
         records = indexed(enriched(latest(numbered(good, highest)))).withColumn("updated_at", F.current_timestamp())
         return checked, records
 
-    def ingest(self, raw: DataFrame, live: bool = False) -> dict:
-        """Upserts raw records; invalid ones are counted and reported, never written."""
+    def ingest(self, raw: DataFrame, live: bool = False, batch: tuple[str, int] | None = None) -> dict:
+        """Upserts raw records; invalid ones are counted and reported, never written.
+
+        batch: a stream's name and the batch's number in it. The number is published with
+        the snapshot, and a batch that comes again is passed over.
+        """
+        now = self.meta()
+        done = now.get("batches", {})
+        if batch and done.get(batch[0], -1) >= batch[1]:
+            return {"read": 0, "written": 0, "invalid": 0, "errors": [], "corpus_size": now["rows"], "snapshot": now["snapshot"]}
         raw = raw.persist()
         try:
             if live and raw.limit(LIVE_ROWS + 1).count() > LIVE_ROWS:
                 raise ValueError(f"at most {LIVE_ROWS} records in one call")
-            old, now = self.entities(), self.meta()
+            old = self.entities()
             highest = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if old is not None else 0
             checked, records = self.prepared(raw, highest)
             stats = ingest_stats(checked).first().asDict()
             stats["errors"] = [r["error"] for r in checked.where("error is not null").select("error").limit(SHOWN_ERRORS).collect()]
-            made = self._publish(records if old is None else upserted(old, records.select(*old.columns)), now.get("vectors"))
+            made = self._publish(records if old is None else upserted(old, records.select(*old.columns)), now, batches=done | dict([batch] if batch else []))
             return stats | {"corpus_size": made["rows"], "snapshot": made["snapshot"]}
         finally:
             raw.unpersist()
 
     def delete(self, key: int) -> dict:
-        old = self.entities()
+        now, old = self.meta(), self.entities()
         if old is None or not old.where(F.col("id") == key).limit(1).count():
             raise NotFound(f"no entity has id {key}")
-        return self._publish(old.where(F.col("id") != key), self.meta().get("vectors"))
+        return self._publish(old.where(F.col("id") != key), now)
 
     def embed(self) -> dict:
         """Vectors of all entities whose text has none of the current model; others are kept."""
+        now = self.meta()
         rows = self.entities().withColumn("_text", embedding_text()).withColumn("hash", F.xxhash64("_text"))
         old = self.vectors(self.model.name)
         todo = rows if old is None else rows.join(old.select("id", "hash"), ["id", "hash"], "left_anti")
@@ -131,9 +190,8 @@ class Store:
             made = made.unionByName(old.join(rows.select("id", "hash"), ["id", "hash"], "left_semi").select(*made.columns))
         name = f"vectors-{uuid.uuid4().hex}"
         made.write.parquet(f"{self.path}/{name}")
-        now = self.meta() | {"vectors": name, "model": self.model.name}
-        self._replace("current.json", json.dumps(now))
-        return now
+        n = self.spark.read.parquet(f"{self.path}/{name}").count()
+        return self._point(now | {"vectors": name, "vector_rows": n, "dim": self.dim, "model": self.model.name}, now)
 
     def engine(self) -> Engine:
         """An engine on the current snapshot; later writes don't touch it."""
@@ -141,7 +199,7 @@ class Store:
         if found is None:
             raise NotFound("nothing was ingested yet")
         vectors = self.vectors(self.model.name)
-        return Engine(found, None if vectors is None else vectors.select("id", "embedding"), self.model.query)
+        return Engine(found, None if vectors is None else vectors.select("id", "embedding"), self.model.query, index=self.index())
 
     def try_engine(self) -> tuple[Engine | None, str | None]:
         """The engine, or why there is none."""

@@ -13,14 +13,14 @@ from entitylens.store import Store
 def ingest_folder(store: Store, folder: str, checkpoint: str, once: bool = True, files: int = 64) -> StreamingQuery:
     """Upserts JSON lines files as they arrive. With once, takes all there are and stops.
 
-    A batch that runs again writes the same rows under the same ids where they
-    have ids; the checkpoint keeps finished batches from running again.
+    A batch's number is published with its snapshot, under the checkpoint's name, so
+    one that runs again after a stop is passed over and stores nothing twice.
     """
     source = store.spark.readStream.schema(RAW_SCHEMA).option("columnNameOfCorruptRecord", CORRUPT).option("maxFilesPerTrigger", files).json(folder)
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    def upsert(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.ingest(batch.withColumn("_seq", F.monotonically_increasing_id()))
+            store.ingest(batch.withColumn("_seq", F.monotonically_increasing_id()), batch=(checkpoint, number))
 
     writer = source.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

@@ -9,11 +9,12 @@ from entitylens.functions.text import normalize, normalize_col, tokens, tokens_c
 from entitylens.operators import rank
 from entitylens.operators.filters import Filters, Range
 from entitylens.operators.ingest import enriched, indexed
-from entitylens.operators.lexical import bm25
+from entitylens.operators.lexical import KeywordIndex, bm25
 from entitylens.operators.metrics import Metrics, nearest_rank
 from entitylens.operators.vectors import HashEmbedder
 from entitylens.plans.engine import Engine, InvalidRequest, NotFound, Request
-from entitylens.store import Store
+from entitylens.sources.companies import RAW_SCHEMA
+from entitylens.store import Conflict, Store
 from entitylens.streaming.ingest import ingest_folder
 
 TOPICS = ["fraud detection", "diagnostics", "drug discovery", "5g analytics", "smart grid"]
@@ -151,6 +152,73 @@ def test_stream_ingests_what_arrives(spark, tmp_path):
     assert {r["id"]: r["name"] for r in store.entities().collect()} == {1: "A", 2: "B2"}
 
 
+def test_index_gives_the_scores_of_a_scan(entities):
+    index = KeywordIndex.of(entities)
+    for terms in (["fraud detection"], ["smart-grid", "x", "renewable energy"], ["platform for", "a"], ["nowhere at all"], []):
+        for mask in (F.lit(True), F.col("location") == "Finland"):
+            scan, found = ({r["id"]: r["bm25"] for r in df.collect()} for df in (bm25(entities, terms, mask), index.bm25(entities, terms, mask)))
+            assert scan == found
+
+
+def test_phrases_stay_within_a_column_and_may_overlap(spark):
+    rows = spark.createDataFrame([(1, " go  go  go ", " fish ", " ", 4), (2, " a ", " go  go ", " go ", 4)], "id long, w_name string, w_description string, w_topics string, n_words long")
+    index = KeywordIndex.of(rows)
+    for terms in (["go go"], ["go fish"], ["fish", "go go go"]):
+        assert {tuple(r) for r in index.bm25(rows, terms, F.lit(True)).collect()} == {tuple(r) for r in bm25(rows, terms, F.lit(True)).collect()}
+
+
+def test_index_follows_updates_and_deletes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    raw = lambda *rows: spark.createDataFrame(rows, "id string, name string, description string").transform(lambda df: df.withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in df.columns}))
+    found = lambda q: {r["id"] for r in store.engine().search(Request(q, mode="keyword")).results.collect()}
+    store.ingest(raw(("1", "Zebra", "zebra crossing"), ("2", "Lion", "lion den")))
+    assert store.engine().index is not None and found("zebra") == {1}
+    store.ingest(raw(("1", "Tiger", "tiger lair")))
+    assert found("tiger") == {1} and 1 not in found("zebra crossing lion")
+    store.delete(1)
+    assert found("tiger lion") == {2}
+
+
+def test_a_write_that_stops_leaves_the_snapshot_before(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    rows = spark.createDataFrame([("1", "A")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
+    first = store.ingest(rows)
+    # A pointer that was begun and not finished.
+    (tmp_path / "store" / "pointer-000000000002.json").write_text('{"snapshot": "sna')
+    assert store.meta()["snapshot"] == first["snapshot"]
+    store.set_meta("note", [1, 2])
+    assert store.get_meta("note") == [1, 2] and store.meta()["snapshot"] == first["snapshot"]
+    again = store.ingest(rows)
+    assert again["corpus_size"] == 1 and store.get_meta("note") == [1, 2]
+
+
+def test_two_writers_do_not_hide_each_other(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    store.set_meta("a", 1)
+    began = store.meta()
+    store.set_meta("b", 2)
+    with pytest.raises(Conflict):
+        store._point(began | {"snapshot": "late"}, began)
+
+
+def test_a_batch_that_comes_again_stores_nothing_twice(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    rows = spark.createDataFrame([(None, "A"), (None, "B")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
+    for number, size in ((0, 2), (0, 2), (1, 4), (1, 4)):
+        assert store.ingest(rows, batch=("s", number))["corpus_size"] == size
+    assert store.entities().count() == 4
+
+
+def test_vectors_that_are_not_whole_are_left_out(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    rows = spark.createDataFrame([("1", "A"), ("2", "B")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
+    store.ingest(rows)
+    now = store.embed()
+    assert store.engine().semantic
+    store._point(now | {"vector_rows": 3}, now)
+    assert not store.engine().semantic
+
+
 def test_metrics():
     m = Metrics()
     m.incr("hits", mode="x", a=1)
