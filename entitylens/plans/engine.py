@@ -16,6 +16,8 @@ from entitylens.operators.vectors import LEAST_COVERAGE, cosine, coverage
 from entitylens.plans.nlq import Parsed, parse
 
 POOL = 400
+#: Rows from which words are looked up in the index. Below, a scan is faster than the lookup's shuffles; the scores are the same.
+INDEXED_FROM = 1_000_000
 PAGE_COLUMNS = ["id", "name", "description", "industry", "location", "founded_year", "employee_count", "revenue_range", "topics"]
 
 
@@ -68,7 +70,7 @@ class Engine:
 
     vectors are left out if they cover too few entities. embed turns a question
     into a vector; without it, or without vectors, only words are searched. Words
-    are looked up in the index; without one, all entities are scanned for them.
+    are looked up in the index; without one, or with few entities, all are scanned.
     """
 
     def __init__(self, entities: DataFrame, vectors: DataFrame | None = None, embed=None, check_coverage: bool = True, index: KeywordIndex | None = None):
@@ -103,7 +105,7 @@ class Engine:
         terms = parsed.lexical_terms()
         keyword = vector = None
         if mode != "semantic" and phrases(terms):
-            scored = self.index.bm25(self.entities, terms, mask) if self.index else bm25(self.entities, terms, mask)
+            scored = self.index.bm25(self.entities, terms, mask) if self.index and self.index.n_rows >= INDEXED_FROM else bm25(self.entities, terms, mask)
             keyword = top_ranked(scored, "bm25", "keyword_rank", pool)
         if mode != "keyword":
             vector = top_ranked(cosine(self._with_vectors(), list(self.embed(parsed.semantic_text)), mask), "cosine", "vector_rank", pool)

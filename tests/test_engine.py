@@ -167,7 +167,8 @@ def test_phrases_stay_within_a_column_and_may_overlap(spark):
         assert {tuple(r) for r in index.bm25(rows, terms, F.lit(True)).collect()} == {tuple(r) for r in bm25(rows, terms, F.lit(True)).collect()}
 
 
-def test_index_follows_updates_and_deletes(spark, tmp_path):
+def test_index_follows_updates_and_deletes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("entitylens.plans.engine.INDEXED_FROM", 0)
     store = Store(spark, str(tmp_path / "store"), dim=32)
     raw = lambda *rows: spark.createDataFrame(rows, "id string, name string, description string").transform(lambda df: df.withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in df.columns}))
     found = lambda q: {r["id"] for r in store.engine().search(Request(q, mode="keyword")).results.collect()}
