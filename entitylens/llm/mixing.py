@@ -117,6 +117,7 @@ def mixed(df: DataFrame, share: float = 0.8, max_epochs: int = 3, seed: int = 42
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """The documents picked for the target weights, with their copies."""
     picked = mixed(table(spark, sf_dir, "documents"))
     return picked.select("doc_id", "domain", "language", "origin", "n_tokens", "copies")
 

@@ -174,5 +174,6 @@ def keep_good(df: DataFrame, text_col: str = "text", threshold: float = 0.5) ->
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """Each document's figures, base check and joint verdict."""
     rows = judged(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))

@@ -11,12 +11,12 @@ covers, and looks in those and the neighbouring ones. Under the rule ``any`` (th
 pipeline's stage) one identifier, from a longer list, or one endpoint is enough for
 a secret of mixed characters that is not itself a piece of either.
 
-Positions come from splitting at the matches, so each text is scanned once for
-each kind and stays where it is; only parts of texts that hold the kinds
+Positions come from splitting at the matches, so each text is scanned a few
+times for each kind that it holds and stays where it is; only parts of texts that hold the kinds
 the rule asks for are shuffled. A position counts code points, and an end is exclusive.
 
 Defined cases: a null text is an empty one, with no spans; repeated rows are
-scanned each; rows with equal id and text get equal results; empty input gives
+scanned each; very long texts are scanned whole; rows with equal id and text get equal results; empty input gives
 no rows; other columns are left out by ``scan`` and kept by ``redacted``.
 """
 
@@ -197,6 +197,7 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """The secrets of each document, by kind and place."""
     return scan(table(spark, sf_dir, "documents"))
 
 

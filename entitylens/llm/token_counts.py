@@ -10,7 +10,8 @@ hold about equally many bytes.
 
 Defined cases: null counts as empty text, of 0 bytes and 0 tokens; repeated rows
 are counted each; special strings in texts are plain text, as the library has
-them by default.
+them by default; empty input gives no rows; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -136,4 +137,5 @@ def token_counts(df: DataFrame, model: str = "piece_bpe_32k.model", limit: int =
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """The tokens of each whole document."""
     return token_counts(table(spark, sf_dir, "documents"))
