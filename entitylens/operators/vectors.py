@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,8 @@ from entitylens.functions.scalars import dot
 from entitylens.functions.text import tokens
 from entitylens.operators.lexical import DECIMALS
 
+log = logging.getLogger("entitylens")
+
 #: Vectors are left out of a search if fewer of the rows than this have one.
 LEAST_COVERAGE = 0.5
 
@@ -32,37 +35,64 @@ def coverage(entities: DataFrame, vectors: DataFrame) -> DataFrame:
     return entities.select("id").join(have, "id", "left").agg(F.avg(F.col("_has").isNotNull().cast("double")).alias("coverage"), F.count("*").alias("n"))
 
 
-class HashEmbedder:
-    """Unit vectors from hashed tokens: deterministic, without a model."""
+class Embedder:
+    """What a store needs of a text model: a name, documents() in batches, and query() through a cache of the last ones.
 
-    name = "hashed-tokens"
+    A model trained with an instruction before queries names it in ``instruction``; documents never get it.
+    """
+
+    name = ""
+    instruction = ""
 
     def __init__(self, dim: int = 384, kept: int = 2048):
         self.dim, self.kept = dim, kept
         self._cache: OrderedDict[str, np.ndarray] = OrderedDict()
 
-    def _one(self, text: str) -> np.ndarray:
-        v = np.zeros(self.dim)
-        for t in tokens(text):
-            h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
-            v[h % self.dim] += 1.0 if h >> 63 else -1.0
-        return v / max(float(np.linalg.norm(v)), 1e-12)
-
     def documents(self, texts: list[str]) -> np.ndarray:
-        return np.stack([self._one(t) for t in texts]) if texts else np.zeros((0, self.dim))
+        raise NotImplementedError
 
     def query(self, text: str) -> np.ndarray:
         key = text.strip().casefold()
         if key in self._cache:
             self._cache.move_to_end(key)
         else:
-            self._cache[key] = self._one(text)
+            self._cache[key] = self.documents([self.instruction + text])[0]
             if len(self._cache) > self.kept:
                 self._cache.popitem(last=False)
         return self._cache[key]
 
 
-def embedded(rows: DataFrame, text: Column, make: Callable[[], HashEmbedder]) -> DataFrame:
+def try_embedder(make: Callable[[int], Embedder], dim: int) -> Embedder | None:
+    """The model, with the dimension that it really gives; None if it can't be made, and searches go on by words."""
+    try:
+        model = make(dim)
+        real = model.documents(["warm-up"]).shape[-1]
+    except Exception:  # noqa: BLE001  whatever a model's library raises
+        log.exception("no embedder; searching by words only")
+        return None
+    if real != model.dim:
+        log.warning("the embedder gives %d dimensions, not %d", real, model.dim)
+        model.dim = real
+    return model
+
+
+class HashEmbedder(Embedder):
+    """Unit vectors from hashed tokens: deterministic, without a model."""
+
+    name = "hashed-tokens"
+
+    def _one(self, text: str) -> np.ndarray:
+        v = np.zeros(self.dim)
+        for t in tokens(text):
+            h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
+            v[h % self.dim] += 1.0 if h >> 63 else -1.0
+        return v / max(float(np.linalg.norm(v)), 1e-12)
+
+    def documents(self, texts: list[str]) -> np.ndarray:
+        return np.stack([self._one(t) for t in texts]) if texts else np.zeros((0, self.dim))
+
+
+def embedded(rows: DataFrame, text: Column, make: Callable[[], Embedder]) -> DataFrame:
     """id and embedding of each row, made in batches on the executors."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -143,12 +143,11 @@ class Engine:
         )
         matches = self.entities.where(near.predicate()).count()
         requested = F.array(*map(F.lit, seed["topics"])) if seed["topics"] else F.array().cast("array<string>")
-        shared = F.array_intersect(requested, F.col("topics"))
+        shared = F.array_intersect(F.col("topics"), requested)
         reasons = F.transform(shared, lambda t: F.concat(F.lit("shared topic: "), t))
         if own:
             best = cosine(self._with_vectors(), list(own["embedding"]), near.predicate()).orderBy(F.desc("cosine"), "id").limit(limit)
             page = self.entities.select(*PAGE_COLUMNS).join(F.broadcast(best), "id")
             return page.select(*PAGE_COLUMNS, F.round("cosine", 6).alias("score"), reasons.alias("matched_on")).orderBy(F.desc("score"), "id"), matches
-        # Most shared topics first, then by id.
-        ranked = self.entities.where(near.predicate()).withColumn("_n", F.size(shared)).orderBy(F.desc("_n"), "id").limit(limit)
-        return ranked.select(*PAGE_COLUMNS, F.lit(1.0).alias("score"), reasons.alias("matched_on")), matches
+        first = self.entities.where(near.predicate()).orderBy("id").limit(limit)
+        return first.select(*PAGE_COLUMNS, F.lit(1.0).alias("score"), reasons.alias("matched_on")), matches

@@ -20,6 +20,7 @@ from entitylens.operators import ingest, lexical, metrics, rank, vectors
 from entitylens.operators.filters import Explicit, Filters, Range
 from entitylens.plans.engine import Engine, Request
 from entitylens.plans.nlq import parse
+from entitylens.plans.questions import QUESTIONS
 from entitylens.shipping import ship
 from entitylens.sources.companies import coalesced, customer_entities
 
@@ -304,10 +305,73 @@ def constraint_violations(spark, d):
     return metrics.violations(entities(spark, d), f)
 
 
-@query("""SELECT count(*) AS n, count(*) FILTER (m > 0) AS non_empty, sum(m)::BIGINT AS total FROM (SELECT event_type, count(*) FILTER (value > 50) AS m FROM events GROUP BY event_type)""")
+#: What the example questions ask for, written down by hand; bounds of numbers are inclusive.
+_ASKED = """asked(q, locations, industries, topics, founded_from, founded_to, employees_from, employees_to, buckets) AS (VALUES
+  (1, 'Finland', 'Fintech', 'fraud detection|banking analytics', NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, ''),
+  (2, 'Germany', 'Healthcare', 'diagnostics|patient monitoring', NULL, NULL, NULL, NULL, ''),
+  (3, 'Germany', 'Biotech', 'drug discovery', NULL, NULL, NULL, NULL, ''),
+  (4, 'Sweden', 'Energy', 'smart grid|energy forecasting', NULL, NULL, NULL, NULL, ''),
+  (5, 'USA', 'Technology', 'data pipelines|observability', NULL, NULL, NULL, NULL, ''),
+  (6, 'Finland', 'Healthcare', 'diagnostics', NULL, 2004, NULL, NULL, ''),
+  (7, 'UK', 'Telecom', '5g analytics', NULL, NULL, NULL, 19, ''),
+  (8, 'France', 'Retail', 'pricing optimization|demand forecasting', NULL, NULL, NULL, NULL, ''),
+  (9, 'UK', 'Education', 'personalized learning', NULL, NULL, NULL, NULL, ''),
+  (10, 'Germany', 'Automotive', 'autonomous driving', NULL, NULL, NULL, NULL, ''),
+  (11, 'Germany', 'Fintech', 'fraud detection', NULL, NULL, NULL, NULL, '500M+'),
+  (12, 'Sweden', '', 'energy forecasting', NULL, NULL, 50, 250, ''),
+  (13, 'Finland', 'Fintech', '', 2016, NULL, NULL, NULL, '10M-50M|50M-100M'),
+  (14, 'Germany', '', 'drug discovery', 2019, NULL, NULL, 99, ''),
+  (15, 'UK', 'Education', '', 2020, NULL, NULL, NULL, '0-1M|1M-10M'),
+  (16, 'Germany', 'Biotech', '', 2023, NULL, 501, NULL, ''),
+  (17, 'Norway', 'Retail', 'pricing optimization', NULL, NULL, NULL, NULL, '100M-500M|500M+'))"""
+
+
+@query(BASE + ", " + _ASKED + f""", met AS (
+  SELECT a.q, coalesce(employee_count BETWEEN coalesce(employees_from, 0) AND coalesce(employees_to, 1000000000), coalesce(employees_from, employees_to) IS NULL) AS e,
+    buckets = '' OR coalesce(list_contains(string_split(buckets, '|'), revenue_range), false) AS r,
+    coalesce(founded_year BETWEEN coalesce(founded_from, 0) AND coalesce(founded_to, 9999), coalesce(founded_from, founded_to) IS NULL) AS f,
+    industries = '' OR list_contains(string_split(industries, '|'), industry) AS i
+  FROM asked a JOIN companies c ON list_contains(string_split(a.locations, '|'), c.location) AND (a.topics = '' OR list_has_any(string_split(a.topics, '|'), c.topics))
+), steps AS (
+  SELECT a.q, count(*) FILTER (e AND r AND f AND i) AS s0, count(*) FILTER (r AND f AND i) AS s1, count(*) FILTER (f AND i) AS s2, count(*) FILTER (i) AS s3, count(met.q) AS s4
+  FROM asked a LEFT JOIN met ON met.q = a.q GROUP BY a.q
+), shown AS (SELECT s0, list_filter([s0, s1, s2, s3, s4], lambda s: s >= {rank.ENOUGH})[1] AS enough, s4 FROM steps)
+SELECT count(*) AS questions, count(*) FILTER (coalesce(enough, s4) > 0) AS non_empty, count(*) FILTER (coalesce(enough, s4) > s0) AS relaxed, sum(s0)::BIGINT AS exact_matches, sum(coalesce(enough, s4))::BIGINT AS shown_matches FROM shown""")
 def correctness_rollup(spark, d):
-    per = spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("m"))
-    return per.agg(F.count("*").alias("n"), F.count_if(F.col("m") > 0).alias("non_empty"), F.sum("m").alias("total"))
+    """The example questions searched in one pass: how many find something, how many are relaxed, and their matches."""
+    steps = [rank.relaxation_steps(parse(q).filters) for q in QUESTIONS]
+    count = lambda f: F.count_if(F.coalesce(f.predicate(), F.lit(False)))
+    per = entities(spark, d).agg(*[F.array(*[count(f) for _, f in s]).alias(f"q{i}") for i, s in enumerate(steps)])
+    counts = per.select(F.explode(F.array(*per.columns)).alias("c"))
+    shown = F.coalesce(F.get(F.filter("c", lambda n: n >= rank.ENOUGH), F.lit(0)), F.element_at("c", -1))
+    each = counts.select(F.element_at("c", 1).alias("exact"), shown.alias("shown"))
+    return each.agg(
+        F.count("*").alias("questions"), F.count_if(F.col("shown") > 0).alias("non_empty"), F.count_if(F.col("shown") > F.col("exact")).alias("relaxed"),
+        F.sum("exact").alias("exact_matches"), F.sum("shown").alias("shown_matches"),
+    )
+
+
+@query("WITH " + _ASKED + " SELECT q::BIGINT AS q, locations, industries, topics, founded_from, founded_to, employees_from, employees_to, buckets FROM asked")
+def parse_questions(spark, d):
+    """What the parser reads in each example question."""
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS, 1)), "q long, text string")
+
+    def bounds(found: list[Range]) -> tuple[list, list]:
+        low = [None if r.min is None else int(r.min) + (not r.min_inclusive) for r in found]
+        return low, [None if r.max is None else int(r.max) - (not r.max_inclusive) for r in found]
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            found = [parse(t).filters for t in frame["text"]]
+            out = {"q": frame["q"]} | {k: ["|".join(getattr(f, k)) for f in found] for k in ("locations", "industries", "topics")}
+            for k in ("founded", "employees"):
+                low, high = bounds([getattr(f, k) for f in found])
+                out |= {f"{k}_from": pd.array(low, dtype="Int64"), f"{k}_to": pd.array(high, dtype="Int64")}
+            yield pd.DataFrame(out | {"buckets": ["|".join(f.revenue_buckets or ()) for f in found]})
+
+    return asked.mapInPandas(run, "q long, locations string, industries string, topics string, founded_from long, founded_to long, employees_from long, employees_to long, buckets string")
 
 
 # -- words -------------------------------------------------------------------
@@ -603,7 +667,7 @@ def similar_excludes_seed(spark, d):
     return e.join(spark.createDataFrame([(5,)], "id long"), "id", "left_anti").select("id")
 
 
-@query(_select("SELECT c.id, array_to_string(list_filter(s.topics, lambda t: list_contains(c.topics, t)), '|') AS shared FROM companies c, (SELECT topics FROM companies WHERE id = 1) s WHERE c.id <> 1 AND list_has_any(c.topics, s.topics) ORDER BY len(list_intersect(c.topics, s.topics)) DESC, c.id LIMIT 10"))
+@query(_select("SELECT c.id, array_to_string(list_filter(c.topics, lambda t: list_contains(s.topics, t)), '|') AS shared FROM companies c, (SELECT topics FROM companies WHERE id = 1) s WHERE c.id <> 1 AND list_has_any(c.topics, s.topics) ORDER BY c.id LIMIT 10"))
 def similar_topic_fallback(spark, d):
     page = Engine(entities(spark, d)).similar(1)[0]
     return page.select("id", F.array_join(F.transform("matched_on", lambda m: F.replace(m, F.lit("shared topic: "), F.lit(""))), "|").alias("shared"))
@@ -659,11 +723,24 @@ def revenue_coerce(spark, d):
     return ingest.validated(raw).select("id", "revenue_range")
 
 
-@query("SELECT 0::BIGINT AS n")
+_ALIASES = [(t, p) for t, ps in vocab.TOPIC_PHRASES.items() for p in ps]
+
+
+@query(
+    "WITH aliases AS (SELECT topic, " + _sql_tokens("phrase") + " AS w FROM (VALUES " + ", ".join(f"('{t}', '{p.replace(chr(39), chr(39) * 2)}')" for t, p in _ALIASES) + ") v(topic, phrase)), "
+    "heads AS (SELECT " + _sql_tokens("m || ' ' || n") + f" AS t FROM (SELECT unnest({_sql_list(vocab.HEAD_MODIFIERS)}) AS m), (SELECT unnest({_sql_list(vocab.HEAD_NOUNS)}) AS n)), "
+    "starts AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM heads), runs AS (SELECT DISTINCT t[i:j] AS w FROM (SELECT t, i, unnest(range(i, len(t) + 1)) AS j FROM starts)) "
+    "SELECT topic, count(*) AS n_phrases, count(r.w) AS n_noisy, (SELECT count(*) FROM runs) AS n_runs FROM aliases a LEFT JOIN runs r ON r.w = a.w GROUP BY topic"
+)
 def alias_noise_audit(spark, d):
-    """Phrases of topics that any generated description holds: none may be left."""
-    found = spark.createDataFrame([*vocab.noise_phrases(), ("", "")], "topic string, phrase string").where("topic <> ''")
-    return found.agg(F.count("*").alias("n"))
+    """Each topic's phrases, and how many are word runs of a generated opening, which would fire on any description."""
+    aliases = spark.createDataFrame(_ALIASES, "topic string, phrase string").select("topic", tokens_col(F.col("phrase")).alias("w"))
+    words = lambda values: F.explode(F.array(*map(F.lit, values)))
+    heads = spark.range(1).select(words(vocab.HEAD_MODIFIERS).alias("m")).select("m", words(vocab.HEAD_NOUNS).alias("n")).select(tokens_col(F.concat_ws(" ", "m", "n")).alias("t"))
+    starts = heads.select("t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i"))
+    runs = starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("i") + 1), lambda n: F.slice("t", F.col("i"), n))).alias("w")).distinct()
+    per = aliases.join(runs.withColumn("_run", F.lit(True)), "w", "left").groupBy("topic").agg(F.count("*").alias("n_phrases"), F.count("_run").alias("n_noisy"))
+    return per.withColumn("n_runs", F.lit(runs.count()))
 
 
 @query()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from entitylens.operators.ingest import embedding_text, enriched, indexed, ingest_stats, latest, numbered, upserted, validated
 from entitylens.operators.lexical import KeywordIndex, postings
-from entitylens.operators.vectors import HashEmbedder, embedded
+from entitylens.operators.vectors import Embedder, HashEmbedder, embedded, try_embedder
 from entitylens.plans.engine import Engine, NotFound
 from entitylens.shipping import ship
 
@@ -39,9 +40,10 @@ class Conflict(RuntimeError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, embedder: type[HashEmbedder] = HashEmbedder, dim: int = 384):
+    def __init__(self, spark: SparkSession, path: str, embedder: Callable[[int], Embedder] = HashEmbedder, dim: int = 384):
         self.spark, self.path = ship(spark), path.rstrip("/")
-        self.model, self.dim = embedder(dim), dim
+        self.model = try_embedder(embedder, dim)
+        self.dim = self.model.dim if self.model else dim
         self._make = lambda: embedder(dim)
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -134,7 +136,7 @@ class Store:
         # By term, so that a search reads its words' row groups; by id too, so that a common word is split.
         postings(rows).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/{name}/postings")
         figures = KeywordIndex.figures(rows)
-        now = {"snapshot": name, "rows": figures["n_rows"], "index": figures, "model": self.model.name, "at": datetime.now(timezone.utc).isoformat()}
+        now = {"snapshot": name, "rows": figures["n_rows"], "index": figures, "model": self.model.name if self.model else before.get("model"), "at": datetime.now(timezone.utc).isoformat()}
         return self._point(before | now | more, before)
 
     # -- writes ------------------------------------------------------------
@@ -181,6 +183,8 @@ class Store:
 
     def embed(self) -> dict:
         """Vectors of all entities whose text has none of the current model; others are kept."""
+        if self.model is None:
+            raise RuntimeError("the embedder could not be made")
         now = self.meta()
         rows = self.entities().withColumn("_text", embedding_text()).withColumn("hash", F.xxhash64("_text"))
         old = self.vectors(self.model.name)
@@ -198,8 +202,8 @@ class Store:
         found = self.entities()
         if found is None:
             raise NotFound("nothing was ingested yet")
-        vectors = self.vectors(self.model.name)
-        return Engine(found, None if vectors is None else vectors.select("id", "embedding"), self.model.query, index=self.index())
+        vectors = self.vectors(self.model.name) if self.model else None
+        return Engine(found, None if vectors is None else vectors.select("id", "embedding"), self.model.query if self.model else None, index=self.index())
 
     def try_engine(self) -> tuple[Engine | None, str | None]:
         """The engine, or why there is none."""

@@ -11,7 +11,7 @@ from entitylens.operators.filters import Filters, Range
 from entitylens.operators.ingest import enriched, indexed
 from entitylens.operators.lexical import KeywordIndex, bm25
 from entitylens.operators.metrics import Metrics, nearest_rank
-from entitylens.operators.vectors import HashEmbedder
+from entitylens.operators.vectors import HashEmbedder, try_embedder
 from entitylens.plans.engine import Engine, InvalidRequest, NotFound, Request
 from entitylens.sources.companies import RAW_SCHEMA
 from entitylens.store import Conflict, Store
@@ -210,6 +210,36 @@ def test_a_batch_that_comes_again_stores_nothing_twice(spark, tmp_path):
     assert store.entities().count() == 4
 
 
+def test_an_embedder_that_fails_leaves_search_by_words(spark, tmp_path):
+    def broken(dim):
+        raise OSError("no model here")
+
+    store = Store(spark, str(tmp_path / "store"), embedder=broken)
+    rows = spark.createDataFrame([("1", "A")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
+    store.ingest(rows)
+    assert store.model is None and not store.engine().semantic
+    with pytest.raises(RuntimeError):
+        store.embed()
+
+
+def test_embedders_give_their_dimension_and_instruct_queries_only():
+    class Asked(HashEmbedder):
+        instruction = "query: "
+
+        def __init__(self, dim):
+            super().__init__(dim + 8)
+            self.dim_asked, self.seen = dim, []
+
+        def documents(self, texts):
+            self.seen += texts
+            return super().documents(texts)[:, : self.dim_asked // 2]
+
+    model = try_embedder(Asked, 32)
+    assert model.dim == 16
+    model.documents(["a"]), model.query("b"), model.query(" B ")
+    assert model.seen == ["warm-up", "a", "query: b"]
+
+
 def test_vectors_that_are_not_whole_are_left_out(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), dim=32)
     rows = spark.createDataFrame([("1", "A"), ("2", "B")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
