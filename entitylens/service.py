@@ -30,6 +30,27 @@ from entitylens.store import Store
 log = logging.getLogger("entitylens")
 
 
+class JsonLines(logging.Formatter):
+    """A log record as one JSON line, with what a caller gave as extra fields."""
+
+    KNOWN = frozenset(vars(logging.makeLogRecord({}))) | {"message", "asctime", "taskName"}
+
+    def format(self, record: logging.LogRecord) -> str:
+        line = {"at": self.formatTime(record, "%Y-%m-%dT%H:%M:%S%z"), "level": record.levelname, "logger": record.name, "message": record.getMessage()}
+        line |= {k: v for k, v in vars(record).items() if k not in self.KNOWN}
+        if record.exc_info:
+            line["error"] = self.formatException(record.exc_info)
+        return json.dumps(line, default=str)
+
+
+def log_json(level: int = logging.INFO) -> None:
+    """Writes this package's log to standard error as JSON lines."""
+    handler = logging.StreamHandler()
+    handler.setFormatter(JsonLines())
+    log.handlers, log.propagate = [handler], False
+    log.setLevel(level)
+
+
 class ServiceError(Exception):
     def __init__(self, status: int, code: str, message: str, detail: object = None):
         super().__init__(message)

@@ -8,7 +8,7 @@ import pytest
 from entitylens.build import build
 from entitylens.plans.engine import Request
 from entitylens.report import measure, render, write
-from entitylens.service import RateLimit, Service, ServiceError, serve
+from entitylens.service import JsonLines, RateLimit, Service, ServiceError, serve
 from entitylens.store import Store
 
 
@@ -77,3 +77,9 @@ def test_report(service, tmp_path):
     assert r["checks"] == {"questions": 2, "non_empty": 2, "relaxed": 0, "violations": 0}
     write(r, str(tmp_path))
     assert (tmp_path / "report.md").read_text() == render(r) and Request("x").limit == 10
+
+
+def test_log_lines_are_json():
+    record = logging.makeLogRecord({"name": "entitylens", "levelname": "INFO", "msg": "%s", "args": ("request",), "request_id": "r1", "status": 200})
+    line = json.loads(JsonLines().format(record))
+    assert line["message"] == "request" and line["request_id"] == "r1" and line["status"] == 200 and "args" not in line
