@@ -6,6 +6,12 @@ So a write that stops anywhere leaves the snapshot before it, and of two writers
 that began at one snapshot the second fails instead of hiding the first. Readers
 keep the snapshot they opened. All files go through the Hadoop file system, so a
 store can lie wherever Spark can write.
+
+A small write leaves the snapshot's files alone and lays a delta over them: its rows,
+their postings, and the ids that it touched. A row counts if no later layer touched
+its id. The touched ids are broadcast, so reading shuffles nothing; once they would be
+too many for that, or a write is a large share of the table, the next snapshot is
+written whole and its deltas are done with.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ SHOWN_ERRORS = 20
 
 #: Pointer files that are kept; snapshots themselves are never removed here.
 KEPT_POINTERS = 10
+#: Deltas over a snapshot, the ids in them, and the ids as a share of the rows, at most.
+MOST_DELTAS = 16
+MOST_TOUCHED = 500_000
+TOUCHED_SHARE = 0.1
 
 
 class Conflict(RuntimeError):
@@ -109,7 +119,24 @@ class Store:
 
     def entities(self) -> DataFrame | None:
         now = self.meta()
-        return self.spark.read.parquet(f"{self.path}/{now['snapshot']}/entities") if now else None
+        return self._layered(now, "entities") if now.get("snapshot") else None
+
+    def _layered(self, now: dict, part: str) -> DataFrame:
+        """The rows of a record's table, part, whose ids no later layer touched."""
+        base = self.spark.read.parquet(f"{self.path}/{now['snapshot']}/{part}")
+        deltas = list(enumerate(now.get("deltas", []), 1))
+        if not deltas:
+            return base
+        read = lambda name, sub, schema: self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{sub}")
+        rows, touched = base.withColumn("_layer", F.lit(0)), None
+        for k, delta in deltas:
+            if delta["rows"]:
+                rows = rows.unionByName(read(delta["name"], part, base.schema).withColumn("_layer", F.lit(k)))
+            ids = read(delta["name"], "touched", "id long").select(F.col("id").alias("_touched"), F.lit(k).alias("_by"))
+            touched = ids if touched is None else touched.unionByName(ids)
+        last = touched.groupBy("_touched").agg(F.max("_by").alias("_last"))
+        # MOST_TOUCHED rows at most.
+        return rows.join(F.broadcast(last), (F.col("id") == F.col("_touched")) & (F.col("_layer") < F.col("_last")), "left_anti").drop("_layer")
 
     def vectors(self, model: str | None = None) -> DataFrame | None:
         """The vectors, or None if there are none, another model made them, or they can't be read whole."""
@@ -126,18 +153,44 @@ class Store:
     def index(self) -> KeywordIndex | None:
         """The inverted table of the current snapshot."""
         now = self.meta()
-        return KeywordIndex(self.spark.read.parquet(f"{self.path}/{now['snapshot']}/postings"), **now["index"]) if now.get("index") else None
+        return KeywordIndex(self._layered(now, "postings"), **now["index"]) if now.get("index") else None
 
-    def _publish(self, entities: DataFrame, before: dict, **more) -> dict:
-        name = f"snapshot-{uuid.uuid4().hex}"
+    def _written(self, name: str, entities: DataFrame) -> DataFrame:
+        """Writes entities and their postings into a new folder, and reads the entities back."""
         # Rows of one place and industry lie together, so that their row groups can be skipped.
         entities.repartitionByRange("location", "industry").sortWithinPartitions("location", "industry").write.parquet(f"{self.path}/{name}/entities")
-        rows = self.spark.read.parquet(f"{self.path}/{name}/entities")
+        rows = self.spark.read.schema(entities.schema).parquet(f"{self.path}/{name}/entities")
         # By term, so that a search reads its words' row groups; by id too, so that a common word is split.
         postings(rows).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/{name}/postings")
+        return rows
+
+    def _record(self, now: dict, before: dict) -> dict:
+        """Publishes a record, with the figures of its rows; they need two columns of the table."""
+        rows = self._layered(now, "entities")
         figures = KeywordIndex.figures(rows)
-        now = {"snapshot": name, "rows": figures["n_rows"], "index": figures, "model": self.model.name if self.model else before.get("model"), "at": datetime.now(timezone.utc).isoformat()}
-        return self._point(before | now | more, before)
+        more = {"rows": figures["n_rows"], "index": figures, "model": self.model.name if self.model else before.get("model"), "at": datetime.now(timezone.utc).isoformat()}
+        return self._point(now | more, before)
+
+    def _publish(self, entities: DataFrame, before: dict, **more) -> dict:
+        """A snapshot with these rows alone."""
+        name = f"snapshot-{uuid.uuid4().hex}"
+        self._written(name, entities)
+        return self._record(before | {"snapshot": name, "deltas": []} | more, before)
+
+    def _fits(self, now: dict, touched: int) -> bool:
+        """Whether a write of that many ids can lie over the snapshot as a delta."""
+        deltas = now.get("deltas", [])
+        ids = sum(d["touched"] for d in deltas) + touched
+        return len(deltas) < MOST_DELTAS and ids <= min(MOST_TOUCHED, TOUCHED_SHARE * now["rows"])
+
+    def _lay(self, rows: DataFrame | None, ids: DataFrame | None, touched: int, before: dict, **more) -> dict:
+        """A delta over the snapshot: rows in place of those with their ids, or, with none, these ids deleted."""
+        name = f"delta-{uuid.uuid4().hex}"
+        if rows is not None:
+            ids = self._written(name, rows).select("id")
+        ids.write.parquet(f"{self.path}/{name}/touched")
+        delta = {"name": name, "touched": touched, "rows": rows is not None}
+        return self._record(before | {"deltas": [*before.get("deltas", []), delta]} | more, before)
 
     # -- writes ------------------------------------------------------------
 
@@ -170,7 +223,13 @@ class Store:
             checked, records = self.prepared(raw, highest)
             stats = ingest_stats(checked).first().asDict()
             stats["errors"] = [r["error"] for r in checked.where("error is not null").select("error").limit(SHOWN_ERRORS).collect()]
-            made = self._publish(records if old is None else upserted(old, records.select(*old.columns)), now, batches=done | dict([batch] if batch else []))
+            more = {"batches": done | dict([batch] if batch else [])}
+            if old is None:
+                made = self._publish(records, now, **more)
+            elif self._fits(now, stats["written"]):
+                made = self._lay(records.select(*old.columns), None, stats["written"], now, **more)
+            else:
+                made = self._publish(upserted(old, records.select(*old.columns)), now, **more)
             return stats | {"corpus_size": made["rows"], "snapshot": made["snapshot"]}
         finally:
             raw.unpersist()
@@ -179,6 +238,8 @@ class Store:
         now, old = self.meta(), self.entities()
         if old is None or not old.where(F.col("id") == key).limit(1).count():
             raise NotFound(f"no entity has id {key}")
+        if self._fits(now, 1):
+            return self._lay(None, self.spark.range(key, key + 1), 1, now)
         return self._publish(old.where(F.col("id") != key), now)
 
     def embed(self) -> dict:

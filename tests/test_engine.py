@@ -180,6 +180,37 @@ def test_index_follows_updates_and_deletes(spark, tmp_path, monkeypatch):
     assert found("tiger lion") == {2}
 
 
+def test_small_writes_lie_over_the_snapshot(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("entitylens.plans.engine.INDEXED_FROM", 0)
+    monkeypatch.setattr("entitylens.store.TOUCHED_SHARE", 10.0)
+    monkeypatch.setattr("entitylens.store.MOST_DELTAS", 5)
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    raw = lambda *rows: spark.createDataFrame(rows, "id string, name string, description string").transform(lambda df: df.withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in df.columns}))
+    have = lambda: {r["id"]: r["name"] for r in store.entities().collect()}
+    first = store.ingest(raw(("1", "Zebra", "zebra crossing"), ("2", "Lion", "lion den"), ("3", "Owl", "owl nest")))
+    old = store.engine()
+    steps = [
+        (lambda: store.ingest(raw(("2", "Tiger", "tiger lair"), (None, "Fox", "fox hole"))), {1: "Zebra", 2: "Tiger", 3: "Owl", 4: "Fox"}),
+        (lambda: store.delete(2), {1: "Zebra", 3: "Owl", 4: "Fox"}),
+        (lambda: store.ingest(raw(("2", "Lynx", "lynx tiger"), ("3", "Owl", "owl tower"))), {1: "Zebra", 2: "Lynx", 3: "Owl", 4: "Fox"}),
+        (lambda: store.ingest(raw(("9", " ", None))), {1: "Zebra", 2: "Lynx", 3: "Owl", 4: "Fox"}),
+        (lambda: store.delete(4), {1: "Zebra", 2: "Lynx", 3: "Owl"}),
+    ]
+    for n, (write, want) in enumerate(steps, 1):
+        write()
+        now, rows = store.meta(), store.entities()
+        assert have() == want and now["rows"] == len(want) and now["snapshot"] == first["snapshot"] and len(now["deltas"]) == n
+        for terms in (["tiger"], ["owl tower", "lion"]):
+            scan, found = ({r["id"]: r["bm25"] for r in df.collect()} for df in (bm25(rows, terms, F.lit(True)), store.index().bm25(rows, terms, F.lit(True))))
+            assert scan == found
+    with pytest.raises(NotFound):
+        store.delete(4)
+    # The sixth write makes a whole snapshot; ids go on from the highest.
+    store.ingest(raw((None, "Elk", "elk")))
+    assert have() == {1: "Zebra", 2: "Lynx", 3: "Owl", 4: "Elk"} and store.meta()["deltas"] == [] and store.meta()["snapshot"] != first["snapshot"]
+    assert {r["id"] for r in old.search(Request("lion", mode="keyword")).results.collect()} == {2}
+
+
 def test_a_write_that_stops_leaves_the_snapshot_before(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), dim=32)
     rows = spark.createDataFrame([("1", "A")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
