@@ -130,15 +130,23 @@ def bits_of(grams: np.ndarray) -> np.ndarray:
     return np.packbits((scrambled(least, 5) & np.uint64(1)).astype(np.uint8)).view("<u8")
 
 
+#: N-grams hashed for all runs at once, so that a very long text needs no more memory than others.
+SAMPLED_AT_ONCE = 8192
 SEEDS = scrambled(np.arange(RUNS * LEVELS, dtype=np.uint64), 10_000)
 
 
 def sampled(grams: np.ndarray) -> list[list[list[int]]]:
     """The tokens that a set samples, hashed: by level, then by run."""
-    h = scrambled(grams[None] ^ SEEDS[:, None], 10_001)
     most = BRANCHING / len(grams)
-    row, column = np.nonzero(h < np.uint64(int(most * 2**64))) if most < 1 else np.nonzero(np.ones(h.shape, bool))
-    found = np.split(h[row, column].view(np.int64), np.searchsorted(row, np.arange(1, len(SEEDS))))
+    rows, tokens = [], []
+    for at in range(0, len(grams), SAMPLED_AT_ONCE):
+        h = scrambled(grams[None, at : at + SAMPLED_AT_ONCE] ^ SEEDS[:, None], 10_001)
+        row, column = np.nonzero(h < np.uint64(int(most * 2**64))) if most < 1 else np.nonzero(np.ones(h.shape, bool))
+        rows.append(row)
+        tokens.append(h[row, column].view(np.int64))
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    found = np.split(np.concatenate(tokens)[order], np.searchsorted(row[order], np.arange(1, len(SEEDS))))
     each = [x.tolist() for x in found]
     return [each[i * RUNS : (i + 1) * RUNS] for i in range(LEVELS)]
 
