@@ -68,6 +68,8 @@ DENSE, JUDGED = 0.8, 64
 #: Sets in a block of sketches; sets and n-grams in a block of exact sets.
 BLOCK = 4096
 BLOCK_SETS, BLOCK_GRAMS = 2048, 1_000_000
+#: Blocks that are packed at once, as a batch of rows may hold many small ones.
+PACKED_AT_ONCE = 64
 #: Classes of a block that send a leader on have this share of its sets at least.
 LED = 1 / 8
 SKETCH_BITS = 256
@@ -338,15 +340,20 @@ def _packed(names: list[str], keys: list[str]):
                 change[1:] |= v[1:] != v[:-1]
             starts = np.concatenate([[0], np.flatnonzero(change)])
             ends = np.concatenate([starts[1:], [t.num_rows]])
-            out = {c: pa.array(v[starts]) for c, v in cols.items()}
-            for c in names:
-                if pa.types.is_binary(t[c].type):
-                    v = t[c].to_pylist()
-                    out[c] = pa.array([b"".join(v[i:j]) for i, j in zip(starts, ends, strict=True)], pa.binary())
-                else:
-                    v = np.asarray(t[c]).astype(np.int64)
-                    out[c] = pa.array([v[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            for at in range(0, len(starts), PACKED_AT_ONCE):
+                some = slice(at, at + PACKED_AT_ONCE)
+                out = {c: pa.array(v[starts[some]]) for c, v in cols.items()}
+                base = starts[at]
+                part = t.slice(base, ends[some][-1] - base)
+                edges = list(zip(starts[some] - base, ends[some] - base, strict=True))
+                for c in names:
+                    if pa.types.is_binary(t[c].type):
+                        v = part[c].to_pylist()
+                        out[c] = pa.array([b"".join(v[i:j]) for i, j in edges], pa.binary())
+                    else:
+                        v = np.asarray(part[c]).astype(np.int64)
+                        out[c] = pa.array([v[i:j].tobytes() for i, j in edges], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
@@ -365,11 +372,16 @@ def _unpacked(row: dict) -> dict:
     return block
 
 
-def _packed_blocks(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """rows by their blocks (keys), one row each, with the columns in names packed."""
-    packed = rows.repartition(*keys).sortWithinPartitions(*keys)
+def _packed_blocks(rows: DataFrame, keys: list[str], names: list[str], run=None, schema: str = "") -> DataFrame:
+    """rows by their blocks (keys), one row each, with the columns in names packed.
+
+    With run, what it makes of these rows: in the same worker, so that packed rows don't pass through the JVM.
+    """
+    packed, pack = rows.repartition(*keys).sortWithinPartitions(*keys), _packed(names, keys)
+    if run:
+        return packed.mapInArrow(lambda batches: run(pack(batches)), schema)
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return packed.mapInArrow(_packed(names, keys), ", ".join([*[f"{k} {kind[k]}" for k in keys], *[f"{n} binary" for n in names]]))
+    return packed.mapInArrow(pack, ", ".join([*[f"{k} {kind[k]}" for k in keys], *[f"{n} binary" for n in names]]))
 
 
 def _paired(left: DataFrame, right: DataFrame, at: list[str], run, schema: str) -> DataFrame:
@@ -407,7 +419,7 @@ def forest(rows: DataFrame, kernel: Kernel, block: int, name: str) -> DataFrame:
             columns = [pa.array(k, pa.int64()), *[pa.array(np.concatenate([np.asarray(c), led])) for c in edges.columns]]
             yield pa.RecordBatch.from_arrays(columns, names=["k", "a", "b"])
 
-    first = stored(_packed_blocks(placed, ["k", "blk", "nb"], names).mapInArrow(within, "k long, a long, b long"), f"{name}-blocks")
+    first = stored(_packed_blocks(placed, ["k", "blk", "nb"], names, within, "k long, a long, b long"), f"{name}-blocks")
     edges = first.where("k is null").select("a", "b")
     wide = rows.where("nb > 1")
     if wide.limit(1).count() == 0:
