@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entitylens.llm import ann_permutation, license_scan, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from entitylens.llm import ann_permutation, license_scan, merkle, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8,
     "op9_secret_scan": secret_scan.op9,
     "op10_ngram_join": ngram_join.op10,
+    "op11_merkle_manifest": merkle.op11,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op8_mixing": mixing.OP8_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
