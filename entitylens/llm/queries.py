@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entitylens.llm import ann_permutation, license_scan, merkle, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from entitylens.llm import ann_permutation, hard_negatives, license_scan, merkle, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": secret_scan.op9,
     "op10_ngram_join": ngram_join.op10,
     "op11_merkle_manifest": merkle.op11,
+    "op12_hard_negatives": hard_negatives.op12,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op9_secret_scan": secret_scan.OP9_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
