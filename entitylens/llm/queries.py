@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entitylens.llm import ann_permutation, hard_negatives, license_scan, merkle, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
+from entitylens.llm import ann_permutation, chat_format, hard_negatives, license_scan, merkle, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": ngram_join.op10,
     "op11_merkle_manifest": merkle.op11,
     "op12_hard_negatives": hard_negatives.op12,
+    "op13_chat_format": chat_format.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op10_ngram_join": ngram_join.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
     "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_chat_format": chat_format.OP13_SQL,
 }
