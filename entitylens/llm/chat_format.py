@@ -1,13 +1,14 @@
 """Chat formatting: heterogeneous layouts become canonical turns, by schema fingerprints.
 
 A fingerprint is the hash of a record's nested field paths, of those that any known
-layout reads, in order; other fields don't matter. Fingerprints select
-declarative mappings (``LAYOUTS``): which field is which role's text, or which list holds turns and
-what its keys and role names are. A fingerprint that is no layout's own, as one layout's fields stand
-beside some of another's, goes to the layout with the most fields of those that are wholly there. A table with columns of its own has one fingerprint,
-taken from its schema: rows by turn are renamed where they stand, and rows of nested
-columns become records. JSON records are fingerprinted each, so one column may mix
-layouts. Records that no layout fits come out of ``unmapped``, with their fingerprint.
+layout reads, in order; other fields don't matter. Fingerprints select declarative
+mappings (``LAYOUTS``): which field is which role's text, or which list holds turns
+and what its keys and role names are. A fingerprint that is no layout's own, as one
+layout's fields stand beside some of another's, goes to the layout with the most
+fields of those that are wholly there. A table with columns of its own has one
+fingerprint, taken from its schema: rows by turn are renamed where they stand, and
+rows of nested columns become records. JSON records are fingerprinted each, so one
+column may mix layouts. Records that no layout fits are counted by ``unmapped``.
 
 ``formatted`` writes each turn by the template
 
@@ -24,9 +25,10 @@ of any length needs little memory, though its digest, like any, is made in one t
 
 Defined cases: a null text or role is empty; turns go by number, null first, then role
 and text; rows of a null conversation are one conversation; repeated rows are turns
-each; very long texts are formatted whole; a record's text that is no string is
-written as JSON, and one that is missing or null is empty; empty input gives no rows; other columns and fields, whatever
-their names, are ignored.
+each; very long texts are formatted whole; a record's text that is a number or boolean
+is written as JSON, one that is missing or null is empty, and one that is an object has
+other paths, so its record is unmapped; empty input gives no rows; other columns and
+fields are ignored, whatever their names.
 """
 
 from __future__ import annotations
