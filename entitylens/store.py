@@ -1,11 +1,16 @@
 """Immutable snapshots of the entity table, published by small numbered pointer files.
 
-Each write makes a new snapshot and then a pointer with the next number, which is
-only ever created, never replaced; the highest one that can be read whole counts.
-So a write that stops anywhere leaves the snapshot before it, and of two writers
-that began at one snapshot the second fails instead of hiding the first. Readers
-keep the snapshot they opened. All files go through the Hadoop file system, so a
-store can lie wherever Spark can write.
+Each write makes a new snapshot and then a pointer with the next number. The pointer
+is written whole under another name and then gets its own in one step, which fails
+where that name is taken; the highest one counts. So a write that stops anywhere
+leaves the snapshot before it, a pointer is either absent or whole, and of two writers
+that began at one snapshot the second fails instead of hiding the first. All files go
+through the Hadoop file system, so a store can lie wherever Spark can write and a
+rename that never replaces is one step, as in HDFS or a local folder.
+
+Readers keep the snapshot they opened. Folders that no kept pointer names are removed
+by later writes once they are older than ``GRACE_S``, which must be longer than any
+write and any reading of an engine that lags behind ``KEPT_POINTERS`` writes.
 
 A small write leaves the snapshot's files alone and lays a delta over them: its rows,
 their postings, and the ids that it touched. A row counts if no later layer touched
@@ -17,6 +22,8 @@ written whole and its deltas are done with.
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -37,8 +44,9 @@ LIVE_ROWS = 5000
 SHOWN_ERRORS = 20
 
 
-#: Pointer files that are kept; snapshots themselves are never removed here.
+#: Pointer files that are kept, and the seconds that folders stay which none of these names.
 KEPT_POINTERS = 10
+GRACE_S = 24 * 3600
 #: Deltas over a snapshot, the ids in them, and the ids as a share of the rows, at most.
 MOST_DELTAS = 16
 MOST_TOUCHED = 500_000
@@ -77,33 +85,62 @@ class Store:
         names = [f.getPath().getName() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
         return sorted((n for n in names if n.startswith("pointer-") and n.endswith(".json")), reverse=True)
 
+    def _renamed(self, begun, target) -> None:
+        """Gives a file its name unless that is taken, in one step."""
+        if self._fs.getScheme() == "file":
+            # A local rename would replace; a second link to the file never does.
+            os.link(begun.toUri().getPath(), target.toUri().getPath())
+            self._fs.delete(begun, False)
+            return
+        jvm = self.spark.sparkContext._jvm
+        never = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = never
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(begun, target, options)
+
+    def _begun(self, now: dict):
+        """A record written whole, under a name that nobody reads."""
+        begun = self._path(f"{self.path}/begun-{uuid.uuid4().hex}.json")
+        out = self._fs.create(begun, False)
+        out.write(json.dumps(now).encode())
+        out.close()
+        return begun
+
     def _point(self, now: dict, before: dict) -> dict:
         """Publishes a snapshot's record; before is the one that the writer began with."""
         now = now | {"version": before.get("version", 0) + 1}
-        latest = self.meta().get("version", 0)
-        # Left by a write that stopped midway: it counts for nothing, but its number is taken.
-        taken = max([int(n[8:-5]) for n in self._pointers()], default=0)
-        if latest >= now["version"]:
-            raise Conflict(f"snapshot {latest} was published meanwhile")
-        now["version"] = max(now["version"], taken + 1)
-        target = self._path(f"{self.path}/pointer-{now['version']:012}.json")
+        begun = self._begun(now)
         try:
-            out = self._fs.create(target, False)
+            self._renamed(begun, self._path(f"{self.path}/pointer-{now['version']:012}.json"))
         except Exception as e:
+            self._fs.delete(begun, False)
             raise Conflict(f"snapshot {now['version']} was published meanwhile") from e
-        out.write(json.dumps(now).encode())
-        out.close()
-        for old in self._pointers()[KEPT_POINTERS:]:
-            self._fs.delete(self._path(f"{self.path}/{old}"), False)
+        self._expire()
         return now
 
+    def _named(self, record: dict) -> set[str]:
+        """The folders that a record reads."""
+        return {record.get("snapshot"), record.get("vectors"), *(d["name"] for d in record.get("deltas", []))} - {None}
+
+    def _expire(self) -> None:
+        """Removes pointers beyond the last ones, and old folders and files that none of these reads."""
+        pointers = self._pointers()
+        for old in pointers[KEPT_POINTERS:]:
+            self._fs.delete(self._path(f"{self.path}/{old}"), False)
+        kept = set().union(*(self._named(json.loads(text)) for n in pointers[:KEPT_POINTERS] if (text := self._read(n))))
+        limit = (time.time() - GRACE_S) * 1000
+        for f in self._fs.listStatus(self._path(self.path)):
+            name = f.getPath().getName()
+            if name.startswith(("snapshot-", "delta-", "vectors-", "begun-")) and name not in kept and f.getModificationTime() < limit:
+                self._fs.delete(f.getPath(), True)
+
     def meta(self) -> dict:
         """The current snapshot's name and figures; empty before the first write."""
-        for name in self._pointers():
+        for name in self._pointers()[:1]:
             try:
                 return json.loads(self._read(name) or "")
-            except ValueError:
-                continue
+            except ValueError as e:
+                raise RuntimeError(f"{self.path}/{name} is damaged; pointers are published whole") from e
         return {}
 
     def set_meta(self, key: str, value) -> dict:
@@ -207,7 +244,7 @@ class Store:
     def ingest(self, raw: DataFrame, live: bool = False, batch: tuple[str, int] | None = None) -> dict:
         """Upserts raw records; invalid ones are counted and reported, never written.
 
-        batch: a stream's name and the batch's number in it. The number is published with
+        batch: a stream's own id and the batch's number in it. The number is published with
         the snapshot, and a batch that comes again is passed over.
         """
         now = self.meta()

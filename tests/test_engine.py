@@ -215,8 +215,8 @@ def test_a_write_that_stops_leaves_the_snapshot_before(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), dim=32)
     rows = spark.createDataFrame([("1", "A")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
     first = store.ingest(rows)
-    # A pointer that was begun and not finished.
-    (tmp_path / "store" / "pointer-000000000002.json").write_text('{"snapshot": "sna')
+    # A record that was begun and not finished.
+    (tmp_path / "store" / "begun-0.json").write_text('{"snapshot": "sna')
     assert store.meta()["snapshot"] == first["snapshot"]
     store.set_meta("note", [1, 2])
     assert store.get_meta("note") == [1, 2] and store.meta()["snapshot"] == first["snapshot"]
@@ -233,6 +233,80 @@ def test_two_writers_do_not_hide_each_other(spark, tmp_path):
         store._point(began | {"snapshot": "late"}, began)
 
 
+def test_a_writer_that_is_overtaken_fails(spark, tmp_path):
+    """A has written its record and not yet published it; B publishes; A must not."""
+    a, b = (Store(spark, str(tmp_path / "store"), dim=32) for _ in range(2))
+    before = a.set_meta("x", 1)
+    begun = a._begun(before | {"version": 2, "own": {"x": "a"}})
+    assert b.meta() == before
+    b.set_meta("x", "b")
+    target = a._path(f"{a.path}/pointer-000000000002.json")
+    with pytest.raises(Exception, match="exist"):
+        a._renamed(begun, target)
+    with pytest.raises(Conflict):
+        a._point(before | {"own": {"x": "a"}}, before)
+    assert a.get_meta("x") == "b" and a.meta()["version"] == 2
+
+
+def test_racing_writers_publish_one_version_each(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    before = store.set_meta("n", 0)
+
+    def write(i):
+        try:
+            return store._point(before | {"own": {"n": i}}, before)["own"]["n"]
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [w for w in pool.map(write, range(24)) if w is not None]
+    assert won == [store.get_meta("n")] and store.meta()["version"] == 2
+    assert not list((tmp_path / "store").glob("begun-*"))
+
+
+def test_a_damaged_pointer_is_an_error(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    store.set_meta("a", 1)
+    (tmp_path / "store" / "pointer-000000000002.json").write_text('{"snapshot": "sna')
+    with pytest.raises(RuntimeError, match="damaged"):
+        store.meta()
+
+
+def test_folders_that_no_pointer_names_expire(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("entitylens.store.KEPT_POINTERS", 2)
+    store = Store(spark, str(tmp_path / "store"), dim=32)
+    rows = spark.createDataFrame([("1", "A"), ("2", "B")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
+    for _ in range(4):
+        store.ingest(rows)
+    folders = lambda: {p.name for p in (tmp_path / "store").iterdir() if p.is_dir()}
+    assert len(folders()) == 4  # all are younger than the grace time
+    monkeypatch.setattr("entitylens.store.GRACE_S", -60)
+    kept = {store.meta()["snapshot"]}
+    store.set_meta("a", 1), store.embed(), store.set_meta("b", 1)
+    assert folders() == kept | {store.meta()["vectors"]}
+    assert len(list((tmp_path / "store").glob("pointer-*"))) == 2 and store.engine().semantic and store.entities().count() == 2
+
+
+def test_a_fresh_checkpoint_hides_no_new_data(spark, tmp_path):
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    store, checkpoint = Store(spark, str(tmp_path / "store")), tmp_path / "cp"
+    (folder / "a.jsonl").write_text('{"id": 1, "name": "A"}\n')
+    ingest_folder(store, str(folder), str(checkpoint)).awaitTermination()
+    (folder / "a.jsonl").unlink()
+    checkpoint.rename(tmp_path / "old-cp")
+    (folder / "b.jsonl").write_text('{"id": 2, "name": "B"}\n')
+    ingest_folder(store, str(folder), str(checkpoint)).awaitTermination()
+    assert {r["id"] for r in store.entities().collect()} == {1, 2}
+    # The same stream goes on where it was: nothing is stored twice.
+    (folder / "c.jsonl").write_text('{"name": "C"}\n')
+    for _ in range(2):
+        ingest_folder(store, str(folder), str(checkpoint)).awaitTermination()
+    assert sorted(r["name"] for r in store.entities().collect()) == ["A", "B", "C"]
+
+
 def test_a_batch_that_comes_again_stores_nothing_twice(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), dim=32)
     rows = spark.createDataFrame([(None, "A"), (None, "B")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
