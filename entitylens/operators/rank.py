@@ -24,7 +24,11 @@ def fused(keyword: DataFrame | None, vector: DataFrame | None) -> DataFrame:
     none = {"bm25": "double", "keyword_rank": "long", "cosine": "double", "vector_rank": "long"}
     sides = [s.select("id", *[F.col(c) if c in s.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]) for s in (keyword, vector) if s is not None]
     both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
-    by_id = both.groupBy("id").agg(*[F.max(c).alias(c) for c in none])
+    return with_ranks(both.groupBy("id").agg(*[F.max(c).alias(c) for c in none]))
+
+
+def with_ranks(by_id: DataFrame) -> DataFrame:
+    """Adds what the ranks are worth; a score that a row lacks is 0."""
     part = lambda rank, w: F.coalesce(F.lit(w) / (RRF_K + F.col(rank)), F.lit(0.0))
     return by_id.withColumns({
         "keyword_score": part("keyword_rank", KEYWORD_WEIGHT),
