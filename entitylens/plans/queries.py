@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from entitylens.functions import vocab
 from entitylens.functions.scalars import bucket_for_amount, canonical, l2_normalized, literal_map, revenue_max, revenue_min
 from entitylens.functions.text import KEEP, index_text, normalize_col, singular_col, tokens_col
-from entitylens.operators import ingest, lexical, metrics, rank, vectors
+from entitylens.operators import bitmaps, ingest, lexical, metrics, rank, vectors
 from entitylens.operators.filters import Explicit, Filters, Range
+from entitylens.plans import batch
 from entitylens.plans.engine import Engine, Request
 from entitylens.plans.nlq import parse
 from entitylens.plans.questions import QUESTIONS
@@ -558,34 +559,34 @@ so AS (SELECT *, {_TOTAL} AS score FROM sc)
 
 
 _PAGE = "ORDER BY so.score DESC, bm25 DESC, cosine DESC, id LIMIT 10"
-_ASKED = "location IN ('Finland', 'Germany') AND industry = 'Fintech' AND list_has_any(topics, ['fraud detection']) AND founded_year > 2000"
+_FRAUD_ASKED = "location IN ('Finland', 'Germany') AND industry = 'Fintech' AND list_has_any(topics, ['fraud detection']) AND founded_year > 2000"
 
 
 def _page(response) -> DataFrame:
     return response.results.select("id", "name", "location", "industry", F.round("score", 6).alias("score"))
 
 
-@query(_sql_search(["fraud detection"], _ASKED, ["fraud detection"]) + f"SELECT id, name, location, industry, round(score, 6) AS score FROM so {_PAGE}")
+@query(_sql_search(["fraud detection"], _FRAUD_ASKED, ["fraud detection"]) + f"SELECT id, name, location, industry, round(score, 6) AS score FROM so {_PAGE}")
 def hybrid_search(spark, d):
     return _page(engine(spark, d).search(Request(QUESTION, allow_relaxation=False)))
 
 
-@query(_sql_search(["fraud detection"], _ASKED, ["fraud detection"], vector=False) + f"SELECT id, name, location, industry, round(score, 6) AS score FROM so {_PAGE}")
+@query(_sql_search(["fraud detection"], _FRAUD_ASKED, ["fraud detection"], vector=False) + f"SELECT id, name, location, industry, round(score, 6) AS score FROM so {_PAGE}")
 def mode_keyword(spark, d):
     return _page(engine(spark, d).search(Request(QUESTION, mode="keyword", allow_relaxation=False)))
 
 
-@query(_sql_search(["fraud detection"], _ASKED, ["fraud detection"], keyword=False) + f"SELECT id, name, location, industry, round(score, 6) AS score FROM so {_PAGE}")
+@query(_sql_search(["fraud detection"], _FRAUD_ASKED, ["fraud detection"], keyword=False) + f"SELECT id, name, location, industry, round(score, 6) AS score FROM so {_PAGE}")
 def mode_semantic(spark, d):
     return _page(engine(spark, d).search(Request(QUESTION, mode="semantic", allow_relaxation=False)))
 
 
-@query(_sql_search(["fraud detection"], _ASKED, ["fraud detection"]) + f"SELECT id, array_to_string(list_filter(['topic: fraud detection', 'location: ' || location, 'industry: ' || industry, 'keyword rank ' || (keyword_rank + 1), 'semantic rank ' || (vector_rank + 1)], lambda x: x IS NOT NULL), '|') AS matched_on FROM so {_PAGE}")
+@query(_sql_search(["fraud detection"], _FRAUD_ASKED, ["fraud detection"]) + f"SELECT id, array_to_string(list_filter(['topic: fraud detection', 'location: ' || location, 'industry: ' || industry, 'keyword rank ' || (keyword_rank + 1), 'semantic rank ' || (vector_rank + 1)], lambda x: x IS NOT NULL), '|') AS matched_on FROM so {_PAGE}")
 def explain_matched_on(spark, d):
     return flat(engine(spark, d).search(Request(QUESTION, allow_relaxation=False)).results, "id", "matched_on")
 
 
-@query(_sql_search(["fraud detection"], _ASKED, ["fraud detection"]) + f"SELECT id, round(keyword_score, 6) AS keyword, round(vector_score, 6) AS vector, round(topic_score, 6) AS topic, keyword_rank, vector_rank FROM so {_PAGE}")
+@query(_sql_search(["fraud detection"], _FRAUD_ASKED, ["fraud detection"]) + f"SELECT id, round(keyword_score, 6) AS keyword, round(vector_score, 6) AS vector, round(topic_score, 6) AS topic, keyword_rank, vector_rank FROM so {_PAGE}")
 def explain_breakdown(spark, d):
     return engine(spark, d).search(Request(QUESTION, allow_relaxation=False)).results.select("id", "score_breakdown.*")
 
@@ -760,6 +761,96 @@ def parse_batch(spark, d):
     return questions.mapInPandas(run, "item_id long, terms string, notes string")
 
 
+# -- bitmap index and many questions at once ------------------------------------
+
+
+@query(_select("SELECT count(*) FILTER (location = 'Germany' AND employee_count > 500) AS total FROM companies"))
+def bitmap_total(spark, d):
+    """An exact total from the bitmap index alone: OR of intervals, AND of constraints, a count of bits."""
+    a = bitmaps.asked(Filters(locations=("Germany",), employees=Range(500, None, False)))
+    keys = spark.createDataFrame([(0, *k) for k in a.keys], "q int, field string, value string, until int")
+    return bitmaps.step_counts(keys, bitmaps.bitmap_index(entities(spark, d)), "q").where("step = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+
+
+@query(_select("SELECT f.field, f.value, count(DISTINCT id) AS n FROM (SELECT id, unnest([{'field': 'location', 'value': location}, {'field': 'industry', 'value': industry}, {'field': 'revenue', 'value': revenue_range}] || list_transform(topics, lambda t: {'field': 'topic', 'value': t})) AS f FROM companies) WHERE f.value IS NOT NULL GROUP BY f.field, f.value"))
+def bitmap_values(spark, d):
+    """The rows of each value, added up over the index's blocks."""
+    index = bitmaps.bitmap_index(entities(spark, d)).where(F.col("field").isin("location", "industry", "revenue", "topic"))
+    return index.groupBy("field", "value").agg(F.sum(F.coalesce(F.bitmap_count("bits"), F.size("places").cast("long"))).alias("n"))
+
+
+@query(_select("SELECT count(*) FILTER (NOT list_contains(topics, 'fraud detection')) AS without, count(*) AS n FROM companies"))
+def bitmap_not(spark, d):
+    """Rows without a topic: the complement of its blocks, met with the set of all rows."""
+    index = bitmaps.bitmap_index(entities(spark, d))
+    asked = spark.createDataFrame([(0, bitmaps.ALL, ""), (1, "topic", "fraud detection")], "s int, field string, value string")
+    sets = bitmaps.any_of(asked, index, ["s"])
+    every, held = (sets.where(F.col("s") == s).select("layer", "block", F.col("bits").alias(f"bits{s}")) for s in (0, 1))
+    both = every.join(held, ["layer", "block"], "left").withColumn("bits", F.explode(F.filter(F.array("bits0", bitmaps.complement(F.col("bits1"))), lambda b: b.isNotNull())))
+    rest = both.groupBy("layer", "block").agg(F.bitmap_count(F.bitmap_and_agg("bits")).alias("without"), F.bitmap_count(F.first("bits0")).alias("n"))
+    return rest.agg(F.sum("without").alias("without"), F.sum("n").alias("n"))
+
+
+def asked_of_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each benchmark row: an example question, and the row's own words behind it."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet")
+    example = F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("item_id") % len(QUESTIONS)).cast("int"))
+    return items.select(F.col("item_id").alias("q"), F.concat_ws(" ", example, "text").alias("text"))
+
+
+_BATCH_PHRASES = ", ".join(f"({q}, {i}, '{'  '.join(p)}')" for q, text in enumerate(QUESTIONS, 1) for i, p in enumerate(lexical.phrases(parse(text).lexical_terms())))
+_BOUNDS = ", ".join("(" + ", ".join([str(q)] + ["NULL::DOUBLE" if x is None else f"{x}::DOUBLE" for x in (f.employees.min, f.employees.max, f.founded.min, f.founded.max)]) + ")" for q, f in ((q, parse(t).filters) for q, t in enumerate(QUESTIONS, 1)))
+
+
+#: Words of the rows that name a place.
+_PLACES = ", ".join(f"('{w[0]}', '{name}')" for w, name in vocab.LOCATION_TABLE.items() if len(w) == 1)
+
+
+def _far(c: str, low: str, high: str, scale: str | None) -> str:
+    unit = lambda b: f"{scale}::DOUBLE" if scale else f"greatest(abs({b}), 1.0::DOUBLE)"
+    return f"CASE WHEN {c} IS NULL THEN 0.0::DOUBLE ELSE 0.05::DOUBLE / (1.0::DOUBLE + CASE WHEN {high} IS NOT NULL AND {c} > {high} THEN ({c} - {high}) / {unit(high)} WHEN {low} IS NOT NULL AND {c} < {low} THEN ({low} - {c}) / {unit(low)} ELSE 0.0::DOUBLE END) END"
+
+
+@query(BASE + ", " + _ASKED + f""", phr(q, i, p) AS (VALUES {_BATCH_PHRASES}), bound(q, e0, e1, f0, f1) AS (VALUES {_BOUNDS}), place(word, location) AS (VALUES {_PLACES}),
+spoken AS (SELECT item_id, list(DISTINCT location) AS more FROM (SELECT item_id, unnest({_sql_tokens("text")}) AS word FROM benchmark) JOIN place USING (word) GROUP BY item_id),
+item AS (SELECT b.item_id, asked.*, string_split(asked.locations, '|') || coalesce(more, []) AS places FROM benchmark b JOIN asked ON asked.q = b.item_id % {len(QUESTIONS)} + 1 LEFT JOIN spoken USING (item_id)),
+met AS (
+  SELECT a.item_id, a.q, c.*, coalesce(employee_count BETWEEN coalesce(employees_from, 0) AND coalesce(employees_to, 1000000000), coalesce(employees_from, employees_to) IS NULL) AS e,
+    buckets = '' OR coalesce(list_contains(string_split(buckets, '|'), revenue_range), false) AS r,
+    coalesce(founded_year BETWEEN coalesce(founded_from, 0) AND coalesce(founded_to, 9999), coalesce(founded_from, founded_to) IS NULL) AS f,
+    a.industries = '' OR list_contains(string_split(a.industries, '|'), industry) AS i,
+    CASE WHEN a.topics = '' THEN [] ELSE string_split(a.topics, '|') END AS want, coalesce(employees_from, employees_to) IS NOT NULL AS by_e, coalesce(founded_from, founded_to) IS NOT NULL AS by_f
+  FROM item a JOIN companies c ON list_contains(a.places, c.location) AND (a.topics = '' OR list_has_any(string_split(a.topics, '|'), c.topics))
+), steps AS (
+  SELECT a.item_id, [count(*) FILTER (e AND r AND f AND i), count(*) FILTER (r AND f AND i), count(*) FILTER (f AND i), count(*) FILTER (i), count(met.q)] AS s FROM item a LEFT JOIN met USING (item_id) GROUP BY a.item_id
+), chosen AS (
+  SELECT item_id, s[1] AS strict_count, CASE WHEN s[lvl] > s[1] THEN s[lvl] ELSE s[1] END AS shown_count, CASE WHEN s[lvl] > s[1] THEN lvl - 1 ELSE 0 END AS lvl
+  FROM (SELECT item_id, s, coalesce(list_filter(range(1, 6), lambda k: s[k] >= {rank.ENOUGH})[1], 5) AS lvl FROM steps)
+), size AS (SELECT *, (len(regexp_extract_all(wn, '[^ ]+')) + len(regexp_extract_all(wd, '[^ ]+')) + len(regexp_extract_all(wt, '[^ ]+')))::DOUBLE AS nw FROM words
+), st AS (SELECT count(*)::DOUBLE AS n, sum(nw) / count(*) AS avgw FROM size),
+freq AS (SELECT p, id, nw, (2.0 * len(regexp_extract_all(wn, ' ' || p || ' ')) + 1.0 * len(regexp_extract_all(wd, ' ' || p || ' ')) + 4.0 * len(regexp_extract_all(wt, ' ' || p || ' ')))::DOUBLE AS f FROM (SELECT DISTINCT p FROM phr), size),
+df AS (SELECT p, count(*)::DOUBLE AS df FROM freq WHERE f > 0 GROUP BY p),
+part AS (SELECT p, id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * nw / avgw)) AS part FROM freq JOIN df USING (p), st WHERE f > 0),
+bm AS (SELECT q, id, round(list_sum(list(part ORDER BY i)), 9) AS bm25 FROM phr JOIN part USING (p) GROUP BY q, id),
+ranked AS (
+  SELECT m.*, c.lvl, bm25, row_number() OVER (PARTITION BY item_id ORDER BY bm25 DESC, id) - 1 AS kr FROM met m JOIN chosen c USING (item_id) JOIN bm USING (q, id)
+  WHERE (e OR lvl >= 1) AND (r OR lvl >= 2) AND (f OR lvl >= 3) AND (i OR lvl >= 4)
+), so AS (
+  SELECT item_id, id, bm25, round(1.0::DOUBLE / (60 + kr) + CASE WHEN len(want) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * (len(list_intersect(want, topics))::DOUBLE / len(want)) / 60 END + CASE WHEN lvl > 0 AND e AND r AND f AND i THEN 1.0 ELSE 0.0 END::DOUBLE
+    + CASE WHEN lvl >= 1 AND by_e THEN {_far("employee_count", "e0", "e1", None)} ELSE 0.0::DOUBLE END + CASE WHEN lvl >= 3 AND by_f THEN {_far("founded_year", "f0", "f1", "10.0")} ELSE 0.0::DOUBLE END, 9) AS score
+  FROM ranked JOIN bound USING (q) WHERE kr < 400
+), page AS (SELECT item_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY so.score DESC, bm25 DESC, id) AS place FROM so QUALIFY place <= 10)
+SELECT item_id, strict_count, shown_count, place::INTEGER AS place, id, round(score, 6) AS score
+FROM chosen LEFT JOIN page USING (item_id)""")
+def batch_search(spark, d):
+    """Each benchmark row's question answered in one plan, with its counts; one without results has one row."""
+    e = entities(spark, d)
+    found = batch.search(asked_of_benchmark(spark, d), e, lexical.KeywordIndex.of(e), bitmaps.bitmap_index(e), mode="keyword")
+    counts = found.questions.select(F.col("q").alias("item_id"), "strict_count", F.col("count").alias("shown_count"))
+    page = found.results.select(F.col("q").alias("item_id"), "place", "id", F.round("score", 6).alias("score"))
+    return counts.join(page, "item_id", "left").select("item_id", "strict_count", "shown_count", "place", "id", "score")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies working on fraud detection, the best ten by words."""
     asked = parse("companies working on fraud detection")
