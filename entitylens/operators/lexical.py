@@ -121,14 +121,19 @@ class KeywordIndex:
         return hits.crossJoin(stats).select("id", F.round(total(_parts(frequencies)), DECIMALS).alias("bm25"))
 
 
-def phrase_parts(wanted: DataFrame, index: KeywordIndex) -> DataFrame:
-    """p, id, part: each phrase's share of the score of every entity that holds it; wanted: p, words, a row for each phrase."""
+def phrase_hits(wanted: DataFrame, table: DataFrame) -> DataFrame:
+    """p, id, n_words, f: how often each phrase occurs in each entity that holds it; wanted: p, words, a row for each phrase."""
     words = wanted.select("p", F.size("words").alias("m"), F.posexplode("words").alias("k", "term"))
-    met = words.join(index.postings, "term").groupBy("p", "id").agg(F.max("n_words").alias("n_words"), F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("k", "places"))).alias("x"))
+    met = words.join(table, "term").groupBy("p", "id").agg(F.max("n_words").alias("n_words"), F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("k", "places"))).alias("x"))
     # Where a phrase starts: places of its words, each moved back by its own place in the phrase.
     moved = F.transform("x", lambda w: F.transform(w["places"], lambda at: at - w["k"]))
     starts = F.aggregate(F.slice("s", 2, F.size("s")), F.element_at("s", 1), lambda a, b: F.array_intersect(a, b))
-    held = met.where(F.size("x") == F.col("m")).withColumn("s", moved).select("p", "id", "n_words", weight_of(starts).alias("f")).where("f > 0")
+    return met.where(F.size("x") == F.col("m")).withColumn("s", moved).select("p", "id", "n_words", weight_of(starts).alias("f")).where("f > 0")
+
+
+def phrase_parts(wanted: DataFrame, index: KeywordIndex) -> DataFrame:
+    """p, id, part: each phrase's share of the score of every entity that holds it."""
+    held = phrase_hits(wanted, index.postings)
     df = held.groupBy("p").agg(F.count("*").alias("df0"))
     figures = {"n_rows": F.lit(index.n_rows).cast("long"), "mean_words": F.lit(float(index.mean_words))}
     return held.join(df, "p").withColumns(figures).select("p", "id", _parts([F.col("f")])[0].alias("part"))
