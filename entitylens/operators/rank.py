@@ -101,10 +101,10 @@ def relaxation_counts(entities: DataFrame, strict: Filters) -> DataFrame:
     return entities.agg(*[F.count_if(F.coalesce(f.predicate(), F.lit(False))).alias(f"step{i}") for i, (_, f) in enumerate(relaxation_steps(strict))])
 
 
-def relaxed(entities: DataFrame, strict: Filters, allowed: bool = True, enough: int = ENOUGH) -> Relaxation:
-    """Gives up constraints until enough rows match; reports what it gave up."""
+def relaxed(entities: DataFrame, strict: Filters, allowed: bool = True, enough: int = ENOUGH, counts: list[int] | None = None) -> Relaxation:
+    """Gives up constraints until enough rows match; reports what it gave up. counts: the matches of each step, if known."""
     steps = relaxation_steps(strict)
-    counts = relaxation_counts(entities, strict).first()
+    counts = counts or relaxation_counts(entities, strict).first()
     if not allowed or counts[0] >= enough or len(steps) == 1:
         return Relaxation(False, counts[0], counts[0], (), strict)
     at = next((i for i in range(1, len(steps)) if counts[i] >= enough), len(steps) - 1)

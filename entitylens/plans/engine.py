@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from time import perf_counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entitylens.operators import rank
+from entitylens.operators.bitmaps import counts_of
+from entitylens.operators.blocks import BlockIndex
 from entitylens.operators.filters import Explicit, Filters
 from entitylens.operators.lexical import KeywordIndex, bm25, phrases, top_ranked
 from entitylens.operators.metrics import Metrics
@@ -16,8 +18,6 @@ from entitylens.operators.vectors import LEAST_COVERAGE, cosine, coverage
 from entitylens.plans.nlq import Parsed, parse
 
 POOL = 400
-#: Rows from which words are looked up in the index. Below, a scan is faster than the lookup's shuffles; the scores are the same.
-INDEXED_FROM = 1_000_000
 PAGE_COLUMNS = ["id", "name", "description", "industry", "location", "founded_year", "employee_count", "revenue_range", "topics"]
 
 
@@ -70,11 +70,12 @@ class Engine:
 
     vectors are left out if they cover too few entities. embed turns a question
     into a vector; without it, or without vectors, only words are searched. Words
-    are looked up in the index; without one, or with few entities, all are scanned.
+    are looked up in the index, and matches counted in the bitmaps; without these, all
+    entities are scanned, with the same results.
     """
 
-    def __init__(self, entities: DataFrame, vectors: DataFrame | None = None, embed=None, check_coverage: bool = True, index: KeywordIndex | None = None):
-        self.entities, self.embed, self.metrics, self.index = entities, embed, Metrics(), index
+    def __init__(self, entities: DataFrame, vectors: DataFrame | None = None, embed=None, check_coverage: bool = True, index: KeywordIndex | BlockIndex | None = None, bitmaps: DataFrame | None = None):
+        self.entities, self.embed, self.metrics, self.index, self.bitmaps = entities, embed, Metrics(), index, bitmaps
         if vectors is not None and check_coverage:
             share = coverage(entities, vectors).first()
             vectors = vectors if share["n"] and share["coverage"] >= LEAST_COVERAGE else None
@@ -93,7 +94,9 @@ class Engine:
         strict = request.filters.over(parsed.filters) if request.filters else parsed.filters
         parse_ms = (perf_counter() - began) * 1000
         began = perf_counter()
-        relaxation = rank.relaxed(self.entities, strict, request.allow_relaxation)
+        # Excluded ids are no constraint that bitmaps hold.
+        counts = counts_of(self.bitmaps, strict) if self.bitmaps is not None and not strict.exclude_ids else None
+        relaxation = rank.relaxed(self.entities, strict, request.allow_relaxation, counts=counts)
         plan, mode, fallback = self.plan(parsed, strict, relaxation, request)
         self.metrics.incr("searches", mode=mode)
         return Response(parsed, strict, relaxation, plan, relaxation.count, mode, fallback, {"parse": parse_ms, "filter": (perf_counter() - began) * 1000})
@@ -105,8 +108,7 @@ class Engine:
         terms = parsed.lexical_terms()
         keyword = vector = None
         if mode != "semantic" and phrases(terms):
-            scored = self.index.bm25(self.entities, terms, mask) if self.index and self.index.n_rows >= INDEXED_FROM else bm25(self.entities, terms, mask)
-            keyword = top_ranked(scored, "bm25", "keyword_rank", pool)
+            keyword = top_ranked(self._by_words(terms, mask, relaxation, pool), "bm25", "keyword_rank", pool)
         if mode != "keyword":
             vector = top_ranked(cosine(self._with_vectors(), list(self.embed(parsed.semantic_text)), mask), "cosine", "vector_rank", pool)
         fallback = keyword is None and vector is None
@@ -118,6 +120,11 @@ class Engine:
         page = rank.in_order(found, request.limit, request.offset)
         return self.hydrated(page, parsed.filters, request.explain), mode, fallback
 
+    def _by_words(self, terms: list[str], mask: Column, relaxation: rank.Relaxation, pool: int) -> DataFrame:
+        if isinstance(self.index, BlockIndex):
+            return self.index.top(terms, pool, self.entities.where(mask) if relaxation.filters.parts() else None)
+        return self.index.bm25(self.entities, terms, mask) if self.index else bm25(self.entities, terms, mask)
+
     def hydrated(self, page: DataFrame, parsed: Filters, explain: bool) -> DataFrame:
         """The page with its entities' fields; one whose entity is gone is left out."""
         why = page.withColumn("matched_on", rank.matched_on(parsed)).withColumn("score_breakdown", rank.breakdown() if explain else F.lit(None).cast("string"))

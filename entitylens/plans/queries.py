@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from entitylens.functions import vocab
 from entitylens.functions.scalars import bucket_for_amount, canonical, l2_normalized, literal_map, revenue_max, revenue_min
 from entitylens.functions.text import KEEP, index_text, normalize_col, singular_col, tokens_col
-from entitylens.operators import bitmaps, ingest, lexical, metrics, rank, vectors
+from entitylens.operators import bitmaps, blocks, ingest, lexical, metrics, rank, vectors
 from entitylens.operators.filters import Explicit, Filters, Range
 from entitylens.plans import batch
 from entitylens.plans.engine import Engine, Request
@@ -426,6 +426,12 @@ def keyword_topk(spark, d):
     return lexical.bm25(entities(spark, d), FRAUD, F.lit(True)).orderBy(F.desc("bm25"), "id").limit(10).select("id", F.round("bm25", 6).alias("bm25"))
 
 
+@query(_bm_select(FRAUD, "true", "SELECT id, round(bm25, 6) AS bm25 FROM bm ORDER BY bm.bm25 DESC, id LIMIT 10"))
+def keyword_topk_blocks(spark, d):
+    """The same best rows from block-max postings."""
+    return blocks.BlockIndex.of(entities(spark, d)).top(FRAUD, 10).select("id", F.round("bm25", 6).alias("bm25"))
+
+
 @query(_bm_select(FRAUD, "industry = 'Fintech'", "SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) - 1 AS keyword_rank FROM bm ORDER BY keyword_rank LIMIT 50"))
 def keyword_rank(spark, d):
     scored = lexical.bm25(entities(spark, d), FRAUD, Filters(industries=("Fintech",)).predicate())

@@ -27,10 +27,13 @@ import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entitylens.operators import bitmaps
+from entitylens.operators.blocks import BlockIndex, block_postings
 from entitylens.operators.ingest import embedding_text, enriched, indexed, ingest_stats, latest, numbered, upserted, validated
 from entitylens.operators.lexical import KeywordIndex, postings
 from entitylens.operators.vectors import Embedder, HashEmbedder, embedded, try_embedder
@@ -53,6 +56,10 @@ MOST_TOUCHED = 500_000
 TOUCHED_SHARE = 0.1
 
 
+#: What a snapshot's folder holds: 2 has blocks of postings and bitmaps too.
+PARTS = 2
+
+
 class Conflict(RuntimeError):
     """Another writer published a snapshot meanwhile."""
 
@@ -187,10 +194,32 @@ class Store:
             return None
         return found if tuple(whole) == (now.get("vector_rows", whole[0]), 0) else None
 
-    def index(self) -> KeywordIndex | None:
-        """The inverted table of the current snapshot."""
+    def _layers(self, now: dict, part: str) -> list[DataFrame]:
+        """A part of the snapshot and of each delta over it, none merged."""
+        base = self.spark.read.parquet(f"{self.path}/{now['snapshot']}/{part}")
+        read = lambda d: self.spark.read.schema(base.schema).parquet(f"{self.path}/{d['name']}/{part}") if d["rows"] else base.where("false")
+        return [base, *map(read, now.get("deltas", []))]
+
+    def _touched(self, now: dict) -> list[DataFrame]:
+        return [self.spark.read.schema("id long").parquet(f"{self.path}/{d['name']}/touched") for d in now.get("deltas", [])]
+
+    def index(self) -> KeywordIndex | BlockIndex | None:
+        """The inverted tables of the current snapshot; one that was written without blocks has words only."""
+        now = self.meta()
+        if not now.get("index"):
+            return None
+        words = KeywordIndex(self._layered(now, "postings"), **now["index"])
+        if now.get("parts", 1) < PARTS:
+            return words
+        rows = [d.withColumn("layer", F.lit(k)) for k, d in enumerate(self._layers(now, "blocks"))]
+        touched = [d.withColumn("last", F.lit(k)) for k, d in enumerate(self._touched(now), 1)]
+        dead = reduce(DataFrame.unionByName, touched).groupBy("id").agg(F.max("last").alias("last")) if touched else None
+        return BlockIndex(reduce(DataFrame.unionByName, rows), words, dead)
+
+    def bitmaps(self) -> DataFrame | None:
+        """The bitmap index of the current snapshot, from which matches are counted."""
         now = self.meta()
-        return KeywordIndex(self._layered(now, "postings"), **now["index"]) if now.get("index") else None
+        return bitmaps.layered(self._layers(now, "bitmaps"), self._touched(now)) if now.get("parts", 1) >= PARTS else None
 
     def _written(self, name: str, entities: DataFrame) -> DataFrame:
         """Writes entities and their postings into a new folder, and reads the entities back."""
@@ -199,6 +228,8 @@ class Store:
         rows = self.spark.read.schema(entities.schema).parquet(f"{self.path}/{name}/entities")
         # By term, so that a search reads its words' row groups; by id too, so that a common word is split.
         postings(rows).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/{name}/postings")
+        block_postings(rows).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{self.path}/{name}/blocks")
+        bitmaps.bitmap_index(rows).repartitionByRange("field", "value", "block").sortWithinPartitions("field", "value", "block").write.parquet(f"{self.path}/{name}/bitmaps")
         return rows
 
     def _record(self, now: dict, before: dict) -> dict:
@@ -212,7 +243,7 @@ class Store:
         """A snapshot with these rows alone."""
         name = f"snapshot-{uuid.uuid4().hex}"
         self._written(name, entities)
-        return self._record(before | {"snapshot": name, "deltas": []} | more, before)
+        return self._record(before | {"snapshot": name, "deltas": [], "parts": PARTS} | more, before)
 
     def _fits(self, now: dict, touched: int) -> bool:
         """Whether a write of that many ids can lie over the snapshot as a delta."""
@@ -301,7 +332,7 @@ class Store:
         if found is None:
             raise NotFound("nothing was ingested yet")
         vectors = self.vectors(self.model.name) if self.model else None
-        return Engine(found, None if vectors is None else vectors.select("id", "embedding"), self.model.query if self.model else None, index=self.index())
+        return Engine(found, None if vectors is None else vectors.select("id", "embedding"), self.model.query if self.model else None, index=self.index(), bitmaps=self.bitmaps())
 
     def try_engine(self) -> tuple[Engine | None, str | None]:
         """The engine, or why there is none."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from entitylens.functions.text import normalize, normalize_col, tokens, tokens_col
 from entitylens.operators import rank
+from entitylens.operators.bitmaps import counts_of
 from entitylens.operators.filters import Filters, Range
 from entitylens.operators.ingest import enriched, indexed
 from entitylens.operators.lexical import KeywordIndex, bm25
@@ -167,8 +168,7 @@ def test_phrases_stay_within_a_column_and_may_overlap(spark):
         assert {tuple(r) for r in index.bm25(rows, terms, F.lit(True)).collect()} == {tuple(r) for r in bm25(rows, terms, F.lit(True)).collect()}
 
 
-def test_index_follows_updates_and_deletes(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("entitylens.plans.engine.INDEXED_FROM", 0)
+def test_index_follows_updates_and_deletes(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), dim=32)
     raw = lambda *rows: spark.createDataFrame(rows, "id string, name string, description string").transform(lambda df: df.withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in df.columns}))
     found = lambda q: {r["id"] for r in store.engine().search(Request(q, mode="keyword")).results.collect()}
@@ -181,7 +181,6 @@ def test_index_follows_updates_and_deletes(spark, tmp_path, monkeypatch):
 
 
 def test_small_writes_lie_over_the_snapshot(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("entitylens.plans.engine.INDEXED_FROM", 0)
     monkeypatch.setattr("entitylens.store.TOUCHED_SHARE", 10.0)
     monkeypatch.setattr("entitylens.store.MOST_DELTAS", 5)
     store = Store(spark, str(tmp_path / "store"), dim=32)
@@ -201,8 +200,11 @@ def test_small_writes_lie_over_the_snapshot(spark, tmp_path, monkeypatch):
         now, rows = store.meta(), store.entities()
         assert have() == want and now["rows"] == len(want) and now["snapshot"] == first["snapshot"] and len(now["deltas"]) == n
         for terms in (["tiger"], ["owl tower", "lion"]):
-            scan, found = ({r["id"]: r["bm25"] for r in df.collect()} for df in (bm25(rows, terms, F.lit(True)), store.index().bm25(rows, terms, F.lit(True))))
-            assert scan == found
+            scan = {r["id"]: r["bm25"] for r in bm25(rows, terms, F.lit(True)).collect()}
+            assert scan == {r["id"]: r["bm25"] for r in store.index().words.bm25(rows, terms, F.lit(True)).collect()}
+            assert scan == {r["id"]: r["bm25"] for r in store.index().top(terms, 100).collect()}
+        for f in (Filters(), Filters(topics=("lending",))):
+            assert counts_of(store.bitmaps(), f) == list(rank.relaxation_counts(rows, f).first())
     with pytest.raises(NotFound):
         store.delete(4)
     # The sixth write makes a whole snapshot; ids go on from the highest.
