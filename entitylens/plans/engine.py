@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from time import perf_counter
 
@@ -74,8 +75,10 @@ class Engine:
     entities are scanned, with the same results.
     """
 
-    def __init__(self, entities: DataFrame, vectors: DataFrame | None = None, embed=None, check_coverage: bool = True, index: KeywordIndex | BlockIndex | None = None, bitmaps: DataFrame | None = None):
+    def __init__(self, entities: DataFrame, vectors: DataFrame | None = None, embed=None, check_coverage: bool = True, index: KeywordIndex | BlockIndex | None = None, bitmaps: DataFrame | None = None, lookup: Callable[[list[int]], DataFrame] | None = None):
         self.entities, self.embed, self.metrics, self.index, self.bitmaps = entities, embed, Metrics(), index, bitmaps
+        #: The rows of some ids, from few files where the store knows them.
+        self.lookup = lookup or (lambda ids: entities.where(F.col("id").isin(ids)))
         if vectors is not None and check_coverage:
             share = coverage(entities, vectors).first()
             vectors = vectors if share["n"] and share["coverage"] >= LEAST_COVERAGE else None
@@ -134,11 +137,11 @@ class Engine:
         return full.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in rank.ORDER]).drop("bm25", "cosine")
 
     def get(self, key: int) -> DataFrame:
-        return self.entities.where(F.col("id") == key).select(*PAGE_COLUMNS)
+        return self.lookup([key]).select(*PAGE_COLUMNS)
 
     def similar(self, key: int, limit: int = 10, same_industry: bool = False, same_location: bool = False) -> tuple[DataFrame, int]:
         """Entities like one: by vector, or by shared topics where it has none. Results and how many could match."""
-        seed = self.entities.where(F.col("id") == key).first()
+        seed = self.lookup([key]).first()
         if seed is None:
             raise NotFound(f"no entity has id {key}")
         own = self.vectors.where(F.col("id") == key).first() if self.vectors is not None else None

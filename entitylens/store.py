@@ -12,6 +12,12 @@ Readers keep the snapshot they opened. Folders that no kept pointer names are re
 by later writes once they are older than ``GRACE_S``, which must be longer than any
 write and any reading of an engine that lags behind ``KEPT_POINTERS`` writes.
 
+Rows lie in files by ranges of ids. A manifest beside them names the least and greatest
+id of each file, its rows, and a small Bloom filter of its ids; looking ids up, the next
+page behind an id, and deletes read the manifest and then only files that can hold them.
+A snapshot's figures (rows, words, greatest id) are kept in its record: a small write adds
+its own and takes off those of the rows it replaced, which it looks up.
+
 A small write leaves the snapshot's files alone and lays a delta over them: its rows,
 their postings, and the ids that it touched. A row counts if no later layer touched
 its id. The touched ids are broadcast, so reading shuffles nothing; once they would be
@@ -27,7 +33,7 @@ import time
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +62,12 @@ MOST_TOUCHED = 500_000
 TOUCHED_SHARE = 0.1
 
 
-#: What a snapshot's folder holds: 2 has blocks of postings and bitmaps too.
-PARTS = 2
+#: What a snapshot's folder holds: 2 has blocks of postings and bitmaps too, 3 a manifest and rows by id.
+PARTS, BY_ID = 2, 3
+#: Bits of a file's Bloom filter, which tells small files of scattered ids apart.
+BLOOM = 32_768
+#: Ids that are looked up by the manifest at most; more are joined.
+LOOKED_UP = 1000
 
 
 class Conflict(RuntimeError):
@@ -223,27 +233,114 @@ class Store:
 
     def _written(self, name: str, entities: DataFrame) -> DataFrame:
         """Writes entities and their postings into a new folder, and reads the entities back."""
-        # Rows of one place and industry lie together, so that their row groups can be skipped.
-        entities.repartitionByRange("location", "industry").sortWithinPartitions("location", "industry").write.parquet(f"{self.path}/{name}/entities")
+        entities.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/{name}/entities")
         rows = self.spark.read.schema(entities.schema).parquet(f"{self.path}/{name}/entities")
+        files = rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.bitmap_construct_agg(F.pmod(F.xxhash64("id"), F.lit(BLOOM))).alias("bloom"))
+        files.repartitionByRange("low").sortWithinPartitions("low").write.parquet(f"{self.path}/{name}/manifest")
         # By term, so that a search reads its words' row groups; by id too, so that a common word is split.
         postings(rows).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/{name}/postings")
         block_postings(rows).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{self.path}/{name}/blocks")
         bitmaps.bitmap_index(rows).repartitionByRange("field", "value", "block").sortWithinPartitions("field", "value", "block").write.parquet(f"{self.path}/{name}/bitmaps")
         return rows
 
-    def _record(self, now: dict, before: dict) -> dict:
-        """Publishes a record, with the figures of its rows; they need two columns of the table."""
-        rows = self._layered(now, "entities")
-        figures = KeywordIndex.figures(rows)
-        more = {"rows": figures["n_rows"], "index": figures, "model": self.model.name if self.model else before.get("model"), "at": datetime.now(timezone.utc).isoformat()}
+    def _figures(self, rows: DataFrame) -> dict:
+        """What adds up over rows, and their greatest id."""
+        r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.max("id"), F.lit(0)).alias("max")).first()
+        return {"n": r["n"], "words": r["words"], "max_id": r["max"]}
+
+    def _retired(self, ids: DataFrame, before: dict) -> dict:
+        """The figures of the rows that a write replaces."""
+        some = [r["id"] for r in ids.limit(LOOKED_UP + 1).collect()]
+        if len(some) <= LOOKED_UP:
+            return self._figures(self._looked_up(before, some))
+        return self._figures(self._layered(before, "entities").join(F.broadcast(ids), "id", "left_semi"))  # MOST_TOUCHED rows at most
+
+    def _record(self, now: dict, before: dict, ids: DataFrame | None = None, rows: DataFrame | None = None) -> dict:
+        """Publishes a record with the figures of its rows: from before's, where ids were touched and rows written, else from all."""
+        if ids is None or "figures" not in before:
+            figures = self._figures(self._layered(now, "entities"))
+        else:
+            old, gone = before["figures"], self._retired(ids, before)
+            new = self._figures(rows) if rows is not None else {"n": 0, "words": 0, "max_id": 0}
+            figures = {k: old[k] - gone[k] + new[k] for k in ("n", "words")}
+            figures["max_id"] = max(old["max_id"], new["max_id"])
+            if gone["max_id"] == old["max_id"] > new["max_id"]:
+                # The greatest id was deleted: its files' column tells the next one.
+                figures["max_id"] = self._figures(self._layered(now, "entities").select("id", F.lit(0).alias("n_words")))["max_id"]
+        index = {"n_rows": figures["n"], "mean_words": figures["words"] / figures["n"] if figures["n"] else 0.0}
+        more = {"rows": figures["n"], "figures": figures, "index": index, "model": self.model.name if self.model else before.get("model"), "at": datetime.now(timezone.utc).isoformat()}
         return self._point(now | more, before)
 
+    # -- by id ---------------------------------------------------------------
+
+    def _manifests(self, now: dict) -> list[tuple[str, DataFrame]]:
+        """Folder and manifest of each layer that has rows."""
+        names = [(0, now["snapshot"])] + [(k, d["name"]) for k, d in enumerate(now.get("deltas", []), 1) if d["rows"]]
+        schema = "file string, low long, high long, n long, bloom binary"
+        return [(k, f"{self.path}/{name}/entities", self.spark.read.schema(schema).parquet(f"{self.path}/{name}/manifest")) for k, name in names]
+
+    def _looked_up(self, now: dict, ids: list[int]) -> DataFrame:
+        """The rows of these ids (LOOKED_UP at most), from files that can hold them."""
+        schema = self.spark.read.parquet(f"{self.path}/{now['snapshot']}/entities").schema
+        ids, found = sorted(set(ids)), []
+        if now.get("parts", 1) < BY_ID:
+            return self._layered(now, "entities").where(F.col("id").isin(ids))
+        last = dict.fromkeys(ids, 0)
+        for k, touched in enumerate(self._touched(now), 1):
+            last |= {r["id"]: k for r in touched.where(F.col("id").isin(ids)).collect()}
+        places = self.spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.pmod(F.xxhash64("id"), F.lit(BLOOM)).alias("p"))
+        place = {r["id"]: r["p"] for r in places.collect()}
+        for k, folder, manifest in self._manifests(now):
+            mine = [i for i in ids if last[i] == k]
+            if not mine:
+                continue
+            near = manifest.where((F.col("low") <= mine[-1]) & (F.col("high") >= mine[0]) & F.exists(F.lit(mine), lambda i: (i >= F.col("low")) & (i <= F.col("high"))))
+            held = lambda f, i: f["low"] <= i <= f["high"] and f["bloom"][place[i] // 8] >> place[i] % 8 & 1
+            files = [f"{folder}/{f['file']}" for f in near.collect() if any(held(f, i) for i in mine)]
+            if files:
+                found.append(self.spark.read.schema(schema).parquet(*files).where(F.col("id").isin(mine)))
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], schema)
+
+    def rows_of(self, ids: list[int]) -> DataFrame:
+        """The rows of some ids."""
+        if len(ids) > LOOKED_UP:
+            raise ValueError(f"at most {LOOKED_UP} ids are looked up at once")
+        return self._looked_up(self.meta(), ids)
+
+    def page_after(self, key: int, limit: int) -> DataFrame:
+        """The next rows by id behind an id: from the first files that hold enough of them."""
+        now = self.meta()
+        touched, up_to, found = sum(d["touched"] for d in now.get("deltas", [])), None, []
+        if now.get("parts", 1) < BY_ID:
+            return self._layered(now, "entities").where(F.col("id") > key).orderBy("id").limit(limit)
+        schema = self.spark.read.parquet(f"{self.path}/{now['snapshot']}/entities").schema
+        for k, folder, manifest in self._manifests(now):
+            near = manifest.where(F.col("high") > key).select("file", "low", "high", "n").orderBy("low")
+            if k == 0:
+                # Each row behind the id is in one of so many files, or was touched since.
+                files, rows = near.limit(limit + touched + 1).collect(), 0
+                for at, f in enumerate(files):
+                    rows += f["n"] if f["low"] > key else 0
+                    if rows >= limit + touched and at + 1 < len(files):
+                        files, up_to = files[: at + 1], f["high"]
+                        break
+            else:
+                files = near.collect()  # of one small write
+            if files:
+                part = self.spark.read.schema(schema).parquet(*[f"{folder}/{f['file']}" for f in files])
+                found.append(part.where((F.col("id") > key) & (F.lit(True) if up_to is None else F.col("id") <= up_to)).withColumn("_layer", F.lit(k)))
+        rows = reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], schema).withColumn("_layer", F.lit(0))
+        gone = [t.select(F.col("id").alias("_touched"), F.lit(k).alias("_last")) for k, t in enumerate(self._touched(now), 1)]
+        if gone:
+            # MOST_TOUCHED rows at most.
+            rows = rows.join(F.broadcast(reduce(DataFrame.unionByName, gone)), (F.col("id") == F.col("_touched")) & (F.col("_layer") < F.col("_last")), "left_anti")
+        return rows.drop("_layer").orderBy("id").limit(limit)
+
     def _publish(self, entities: DataFrame, before: dict, **more) -> dict:
         """A snapshot with these rows alone."""
         name = f"snapshot-{uuid.uuid4().hex}"
         self._written(name, entities)
-        return self._record(before | {"snapshot": name, "deltas": [], "parts": PARTS} | more, before)
+        return self._record(before | {"snapshot": name, "deltas": [], "parts": BY_ID} | more, before)
 
     def _fits(self, now: dict, touched: int) -> bool:
         """Whether a write of that many ids can lie over the snapshot as a delta."""
@@ -255,10 +352,11 @@ class Store:
         """A delta over the snapshot: rows in place of those with their ids, or, with none, these ids deleted."""
         name = f"delta-{uuid.uuid4().hex}"
         if rows is not None:
-            ids = self._written(name, rows).select("id")
+            rows = self._written(name, rows)
+            ids = rows.select("id")
         ids.write.parquet(f"{self.path}/{name}/touched")
         delta = {"name": name, "touched": touched, "rows": rows is not None}
-        return self._record(before | {"deltas": [*before.get("deltas", []), delta]} | more, before)
+        return self._record(before | {"deltas": [*before.get("deltas", []), delta]} | more, before, ids, rows)
 
     # -- writes ------------------------------------------------------------
 
@@ -287,7 +385,7 @@ class Store:
             if live and raw.limit(LIVE_ROWS + 1).count() > LIVE_ROWS:
                 raise ValueError(f"at most {LIVE_ROWS} records in one call")
             old = self.entities()
-            highest = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if old is not None else 0
+            highest = 0 if old is None else now["figures"]["max_id"] if "figures" in now else old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
             checked, records = self.prepared(raw, highest)
             stats = ingest_stats(checked).first().asDict()
             stats["errors"] = [r["error"] for r in checked.where("error is not null").select("error").limit(SHOWN_ERRORS).collect()]
@@ -304,7 +402,7 @@ class Store:
 
     def delete(self, key: int) -> dict:
         now, old = self.meta(), self.entities()
-        if old is None or not old.where(F.col("id") == key).limit(1).count():
+        if old is None or not self._looked_up(now, [key]).limit(1).count():
             raise NotFound(f"no entity has id {key}")
         if self._fits(now, 1):
             return self._lay(None, self.spark.range(key, key + 1), 1, now)
@@ -332,7 +430,7 @@ class Store:
         if found is None:
             raise NotFound("nothing was ingested yet")
         vectors = self.vectors(self.model.name) if self.model else None
-        return Engine(found, None if vectors is None else vectors.select("id", "embedding"), self.model.query if self.model else None, index=self.index(), bitmaps=self.bitmaps())
+        return Engine(found, None if vectors is None else vectors.select("id", "embedding"), self.model.query if self.model else None, index=self.index(), bitmaps=self.bitmaps(), lookup=partial(self._looked_up, self.meta()))
 
     def try_engine(self) -> tuple[Engine | None, str | None]:
         """The engine, or why there is none."""

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +214,49 @@ def test_small_writes_lie_over_the_snapshot(spark, tmp_path, monkeypatch):
     assert {r["id"] for r in old.search(Request("lion", mode="keyword")).results.collect()} == {2}
 
 
+def test_ids_are_looked_up_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("entitylens.store.TOUCHED_SHARE", 1.0)
+    rng = random.Random(5)
+    store, parts = Store(spark, str(tmp_path / "store"), dim=32), spark.conf.get("spark.sql.shuffle.partitions")
+    make = lambda rows: spark.createDataFrame(rows, "id string, name string, description string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name", "description")})
+    have = {}
+
+    def write(rows):
+        store.ingest(make([(str(i), n, f"smart grid {'x ' * (i % 5)}") for i, n in rows]))
+        have.update(rows)
+
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        write([(i, f"first {i}") for i in rng.sample(range(1, 4000), 800)])
+        files = lambda df: [f for f in df.inputFiles() if "/entities/" in f]
+        assert len(files(store.entities())) >= 12
+        some = sorted(have)[100]
+        assert store.rows_of([some]).first()["name"] == have[some] and len(files(store.rows_of([some]))) == 1
+        assert {r["id"] for r in store.rows_of([some, -1, 10**9]).collect()} == {some}
+        page = store.page_after(some, 20)
+        assert [r["id"] for r in page.collect()] == sorted(have)[101:121] and len(files(page)) <= 2
+        for step in range(4):
+            near = sorted(have)[100:110]
+            write([(i, f"step {step} {i}") for i in (*near[:2], rng.randrange(5000, 9000))])
+            store.delete(near[5])
+            del have[near[5]]
+            assert {r["id"]: r["name"] for r in store.rows_of([*near, 10**9]).collect()} == {i: have[i] for i in near if i in have}
+            assert len(files(store.rows_of([near[3]]))) == 1 and len(files(store.rows_of([near[0]]))) == 1 and store.rows_of([near[5]]).count() == 0
+            for key in (0, near[0], near[4], sorted(have)[-3]):
+                assert [(r["id"], r["name"]) for r in store.page_after(key, 15).collect()] == [(i, have[i]) for i in sorted(have) if i > key][:15]
+            now, rows = store.meta(), store.entities()
+            assert now["figures"] == store._figures(rows) and now["rows"] == len(have)
+        store.delete(max(have))
+        del have[max(have)]
+        assert store.meta()["figures"]["max_id"] == max(have) and store.engine().get(max(have)).count() == 1
+        with pytest.raises(ValueError, match="at most"):
+            store.rows_of(list(range(2000)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_a_write_that_stops_leaves_the_snapshot_before(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), dim=32)
     rows = spark.createDataFrame([("1", "A")], "id string, name string").withColumns({f.name: F.lit(None).cast("string") for f in RAW_SCHEMA.fields if f.name not in ("id", "name")})
