@@ -70,6 +70,12 @@ BLOCK = 4096
 BLOCK_SETS, BLOCK_GRAMS = 2048, 1_000_000
 #: Blocks that are packed at once, as a batch of rows may hold many small ones.
 PACKED_AT_ONCE = 64
+#: Words whose identifiers a worker holds.
+WORDS_HELD = 100_000
+#: Bytes of the rows that reach a worker at once; one row more where a single one is larger, as packed blocks are.
+BATCH_BYTES = 8 << 20
+#: N-grams by which two blocks of sets are multiplied at once.
+WIDTH = 1024
 #: Classes of a block that send a leader on have this share of its sets at least.
 LED = 1 / 8
 SKETCH_BITS = 256
@@ -92,7 +98,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > WORDS_HELD:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -211,8 +217,8 @@ def _alike(n1: np.ndarray, s1: np.ndarray, n2: np.ndarray, s2: np.ndarray) -> np
     return sizes & (differ <= SKETCH_BITS - AGREE)
 
 
-def _bits(column: pa.ChunkedArray | bytes) -> np.ndarray:
-    raw = column if isinstance(column, bytes) else b"".join(column.to_pylist())
+def _bits(column: pa.ChunkedArray | pa.Buffer) -> np.ndarray:
+    raw = b"".join(column.to_pylist()) if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(raw, "<u8").reshape(-1, SKETCH_BITS // 64)
 
 
@@ -262,7 +268,7 @@ def sketched(a: dict, b: dict) -> Against:
 def exact(a: dict, b: dict) -> Against:
     """Links of sets: intersection / union >= 0.8, in whole numbers. A row's link to itself is left open."""
     every, owner = np.concatenate(b["grams"]), np.repeat(np.arange(len(b["sid"])), b["n"])
-    width = 4096
+    width = WIDTH
 
     def against(rows: np.ndarray) -> np.ndarray:
         asked = [a["grams"][i] for i in rows]
@@ -359,10 +365,10 @@ def _packed(names: list[str], keys: list[str]):
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """One row at a time, as packed rows are large."""
+    """One row at a time, as packed rows are large; what is packed is read where it lies."""
     for b in batches:
         for i in range(b.num_rows):
-            yield {c: v[i].as_py() for c, v in zip(b.schema.names, b.columns, strict=True)}
+            yield {c: v[i].as_buffer() if pa.types.is_binary(v.type) else v[i].as_py() for c, v in zip(b.schema.names, b.columns, strict=True)}
 
 
 def _unpacked(row: dict) -> dict:
@@ -533,6 +539,19 @@ def text_key(text: Column) -> Column:
 
 def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
     """doc_id, text_key, class_id (the least id of its component), n_links (if count) and whether it is the first of its class, of each row."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    conf.set(key, min(BATCH_BYTES, int(before.removesuffix("b")) if before and before.removesuffix("b").isdigit() else BATCH_BYTES))
+    try:
+        return _linked(df, id_col, text_col, count)
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, count: bool) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("_text"))
     levels = [f"level{i}" for i in range(LEVELS)]
