@@ -217,11 +217,11 @@ OP9_SQL = (
     + "), part AS MATERIALIZED ("
     + " UNION ALL ".join(_sql_spans(k, 3 + i, *rest[:3]) for i, (k, *rest) in enumerate(WEAK))
     + f"""), met AS (
-  SELECT DISTINCT s.* FROM part s JOIN part a ON a.doc_id = s.doc_id AND a.o = 3 AND abs(a.s - s.s) <= {REACH}
-  JOIN part b ON b.doc_id = s.doc_id AND b.o = 5 AND abs(b.s - s.s) <= {REACH} WHERE s.o = 4
+  SELECT DISTINCT s.* FROM part s JOIN part a ON a.doc_id = s.doc_id AND a.o = 3 AND greatest(a.s - s.e, s.s - a.e) <= {REACH}
+  JOIN part b ON b.doc_id = s.doc_id AND b.o = 5 AND greatest(b.s - s.e, s.s - b.e) <= {REACH} WHERE s.o = 4
 ), added AS (
   SELECT * FROM met UNION
-  SELECT p.* FROM part p JOIN met ON met.doc_id = p.doc_id AND abs(met.s - p.s) <= {REACH} WHERE p.o <> 4
+  SELECT p.* FROM part p JOIN met ON met.doc_id = p.doc_id AND greatest(met.s - p.e, p.s - met.e) <= {REACH} WHERE p.o <> 4
 ), b AS (SELECT doc_id, string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, o) AS x, count(*) FILTER (o = 0) AS n0, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2 FROM base GROUP BY doc_id),
 a AS (SELECT doc_id, string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, o) AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex,
