@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from entitylens.functions.scalars import total
 from entitylens.operators import rank
-from entitylens.operators.bitmaps import asked, first_ids, places_in, step_counts, step_sets
+from entitylens.operators.bitmaps import BLOCK, asked, first_ids, places_in, step_counts, step_sets
 from entitylens.operators.lexical import DECIMALS, KeywordIndex, phrase_parts, phrases
 from entitylens.plans.engine import POOL
 from entitylens.plans.nlq import parse
@@ -137,7 +137,7 @@ def vector_scores(masks: DataFrame, vectors: DataFrame, asked_vectors: DataFrame
                 some = fit[at : at + AT_ONCE]
                 s = np.round(np.array([b["e"][i].as_py() for i in some]) @ v.T, DECIMALS)
                 for i, own in zip(some, s, strict=True):
-                    held = np.zeros(BLOCK_BITS, bool)
+                    held = np.zeros(BLOCK, bool)
                     held[places_in(bits[i])] = True
                     inside = np.flatnonzero(held[place])
                     best = inside[np.argsort(-own[inside], kind="stable")[:pool]]
@@ -151,9 +151,6 @@ def vector_scores(masks: DataFrame, vectors: DataFrame, asked_vectors: DataFrame
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, f"q {kind}, id long, cosine double")
 
 
-BLOCK_BITS = 32_768
-
-
 @dataclass(frozen=True)
 class Batch:
     """questions: q, strict_count, count, dropped, fallback; results: q, place, id, score and its parts."""
