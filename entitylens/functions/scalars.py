@@ -27,6 +27,13 @@ def bucket_label(label: Column) -> Column:
     return F.try_element_at(literal_map({b.upper(): b for b in REVENUE_BUCKETS}), squashed)
 
 
+def buckets_meeting(low: Column, high: Column) -> Column:
+    """The buckets that meet [low, high), null being open; a single amount meets the bucket that holds it."""
+    lo, hi = F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(float("inf")))
+    one = lambda b0, b1: F.when(lo == hi, (lo >= b0) & (lo < b1)).otherwise((lo < hi) & (hi > b0) & (lo < b1))
+    return F.array_compact(F.array(*[F.when(one(b0, b1), F.lit(b)) for b, (b0, b1) in REVENUE_BUCKETS.items()]))
+
+
 def revenue_min(bucket: Column) -> Column:
     return F.try_element_at(literal_map({b: lo for b, (lo, _) in REVENUE_BUCKETS.items()}), bucket)
 

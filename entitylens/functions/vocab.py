@@ -2,88 +2,95 @@
 
 Fixed values: canonical names, their order, the phrases that name them, the
 buckets' bounds and the word lists decide results, and so stand here as they are.
-A line reads ``canonical: phrase, phrase, ...``; topics are grouped by industry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from entitylens.functions.text import normalize, tokens
 
 # Fixed values.
-INDUSTRY_TEXT = """
-Fintech: fintech, fin tech, financial technology, financial services, finance, financial, banking, bank, payments company, insurtech
-Healthcare: healthcare, health care, health, healthtech, health tech, medical, medtech, med tech, clinical, hospital, care
-Biotech: biotech, bio tech, biotechnology, life science, life sciences, pharma, pharmaceutical, pharmaceuticals, genomics, bioscience
-Technology: technology, tech, software, saas, cloud, computing, developer tools, devtools, infrastructure software, information technology, it services
-Energy: energy, utilities, utility, power, cleantech, clean tech, renewables, greentech, green tech, grid
-Retail: retail, ecommerce, e commerce, commerce, consumer, merchandising, shopping, stores
-Education: education, edtech, ed tech, learning, training, academic, schools, university, e learning
-Telecom: telecom, telecoms, telecommunications, telco, carrier, mobile network, network operator, connectivity
-Automotive: automotive, auto, car, cars, vehicle, vehicles, mobility, autotech
-Logistics: logistics, supply chain, shipping, freight, transport, transportation, delivery, fulfilment, fulfillment, warehousing
-"""
-LOCATION_TEXT = """
-Finland: finland, finnish, fi, fin, helsinki
-Germany: germany, german, de, deu, ger, deutschland, berlin, munich
-France: france, french, fr, fra, paris
-Norway: norway, norwegian, nor, oslo
-Sweden: sweden, swedish, se, swe, stockholm
-Netherlands: netherlands, the netherlands, dutch, nl, nld, holland, amsterdam
-USA: usa, us, u s, u s a, united states, united states of america, america, american, states
-UK: uk, u k, united kingdom, britain, great britain, british, england, english, scotland, wales, gb, gbr, london
-"""
-REGION_TEXT = """
-nordic: Finland, Norway, Sweden
-nordics: Finland, Norway, Sweden
-scandinavia: Norway, Sweden
-scandinavian: Norway, Sweden
-dach: Germany
-benelux: Netherlands
-europe: Finland, France, Germany, Netherlands, Norway, Sweden, UK
-european: Finland, France, Germany, Netherlands, Norway, Sweden, UK
-eu: Finland, France, Germany, Netherlands, Norway, Sweden
-"""
-TOPIC_TEXT = """
-[Fintech]
-fraud detection: fraud, fraud prevention, anti fraud, fraud analytics, risk assessment, financial crime, aml, anti money laundering
-banking analytics: banking, bank analytics, financial analytics, digital banking, banking intelligence, financial data
-payments: payment, payment processing, payments infrastructure, transactions, checkout, money transfer
-lending: loans, loan, credit, credit scoring, underwriting, mortgages
-[Healthcare]
-diagnostics: diagnostic, diagnosis, medical imaging, screening, pathology
-patient monitoring: patient care, remote monitoring, vital signs, telemedicine, patient tracking
-health data: health records, ehr, emr, medical records, health analytics, clinical data, health data analysis
-[Biotech]
-drug discovery: drug development, drug design, pharmaceutical research, compound discovery, therapeutics
-gene editing: crispr, genome editing, genetic engineering, gene therapy, genomics
-molecular analysis: molecular, proteomics, molecular modelling, molecular modeling, compound analysis, biotech research
-[Technology]
-data pipelines: data pipeline, etl, elt, data engineering, data infrastructure, streaming data, data platform
-observability: monitoring, telemetry, logging, tracing, apm, instrumentation
-cloud infrastructure: cloud platform, cloud computing, devops, platform engineering, kubernetes, containers, developer tools, serverless
-[Energy]
-energy forecasting: energy prediction, load forecasting, demand response, power forecasting, renewable forecasting
-renewable energy: renewables, solar, wind, clean energy, green energy, sustainability
-smart grid: smart grids, grid, grid optimization, grid optimisation, grid management, distribution network
-[Retail]
-pricing optimization: pricing, pricing optimisation, price optimization, dynamic pricing, revenue management, markdown
-demand forecasting: demand planning, sales forecasting, demand prediction
-inventory planning: inventory, stock management, assortment planning, replenishment, merchandising
-[Education]
-personalized learning: personalised learning, adaptive learning, individualized learning, tailored learning, learning paths
-student analytics: student data, learning analytics, student performance, student outcomes, academic analytics
-[Telecom]
-5g analytics: 5g, five g, 5 g, mobile analytics, radio analytics, 5g networks
-network optimization: network optimisation, network performance, ran optimization, traffic optimization, network planning
-[Automotive]
-autonomous driving: self driving, autonomous vehicles, adas, driverless, sensor fusion, autonomy
-vehicle telemetry: connected car, connected vehicles, fleet telematics, telematics, vehicle data
-[Logistics]
-route optimization: route optimisation, routing, route planning, last mile, dispatch, fleet routing
-supply chain visibility: supply chain, shipment tracking, freight visibility, logistics visibility, track and trace
-"""
+INDUSTRY_PHRASES = {
+    "Fintech": ["fintech", "fin tech", "financial technology", "financial services", "finance", "financial", "banking", "bank", "payments company", "insurtech"],
+    "Healthcare": ["healthcare", "health care", "health", "healthtech", "health tech", "medical", "medtech", "med tech", "clinical", "hospital", "care"],
+    "Biotech": ["biotech", "bio tech", "biotechnology", "life science", "life sciences", "pharma", "pharmaceutical", "pharmaceuticals", "genomics", "bioscience"],
+    "Technology": ["technology", "tech", "software", "saas", "cloud", "computing", "developer tools", "devtools", "infrastructure software", "information technology", "it services"],
+    "Energy": ["energy", "utilities", "utility", "power", "cleantech", "clean tech", "renewables", "greentech", "green tech", "grid"],
+    "Retail": ["retail", "ecommerce", "e commerce", "commerce", "consumer", "merchandising", "shopping", "stores"],
+    "Education": ["education", "edtech", "ed tech", "learning", "training", "academic", "schools", "university", "e learning"],
+    "Telecom": ["telecom", "telecoms", "telecommunications", "telco", "carrier", "mobile network", "network operator", "connectivity"],
+    "Automotive": ["automotive", "auto", "car", "cars", "vehicle", "vehicles", "mobility", "autotech"],
+    "Logistics": ["logistics", "supply chain", "shipping", "freight", "transport", "transportation", "delivery", "fulfilment", "fulfillment", "warehousing"],
+}
+LOCATION_PHRASES = {
+    "Finland": ["finland", "finnish", "fi", "fin", "helsinki"],
+    "Germany": ["germany", "german", "de", "deu", "ger", "deutschland", "berlin", "munich"],
+    "France": ["france", "french", "fr", "fra", "paris"],
+    "Norway": ["norway", "norwegian", "nor", "oslo"],
+    "Sweden": ["sweden", "swedish", "se", "swe", "stockholm"],
+    "Netherlands": ["netherlands", "the netherlands", "dutch", "nl", "nld", "holland", "amsterdam"],
+    "USA": ["usa", "us", "u s", "u s a", "united states", "united states of america", "america", "american", "states"],
+    "UK": ["uk", "u k", "united kingdom", "britain", "great britain", "british", "england", "english", "scotland", "wales", "gb", "gbr", "london"],
+}
+REGIONS = {
+    "nordic": ["Finland", "Norway", "Sweden"],
+    "nordics": ["Finland", "Norway", "Sweden"],
+    "scandinavia": ["Norway", "Sweden"],
+    "scandinavian": ["Norway", "Sweden"],
+    "dach": ["Germany"],
+    "benelux": ["Netherlands"],
+    "europe": ["Finland", "France", "Germany", "Netherlands", "Norway", "Sweden", "UK"],
+    "european": ["Finland", "France", "Germany", "Netherlands", "Norway", "Sweden", "UK"],
+    "eu": ["Finland", "France", "Germany", "Netherlands", "Norway", "Sweden"],
+}
+TOPICS_OF = {
+    "Fintech": {
+        "fraud detection": ["fraud", "fraud prevention", "anti fraud", "fraud analytics", "risk assessment", "financial crime", "aml", "anti money laundering"],
+        "banking analytics": ["banking", "bank analytics", "financial analytics", "digital banking", "banking intelligence", "financial data"],
+        "payments": ["payment", "payment processing", "payments infrastructure", "transactions", "checkout", "money transfer"],
+        "lending": ["loans", "loan", "credit", "credit scoring", "underwriting", "mortgages"],
+    },
+    "Healthcare": {
+        "diagnostics": ["diagnostic", "diagnosis", "medical imaging", "screening", "pathology"],
+        "patient monitoring": ["patient care", "remote monitoring", "vital signs", "telemedicine", "patient tracking"],
+        "health data": ["health records", "ehr", "emr", "medical records", "health analytics", "clinical data", "health data analysis"],
+    },
+    "Biotech": {
+        "drug discovery": ["drug development", "drug design", "pharmaceutical research", "compound discovery", "therapeutics"],
+        "gene editing": ["crispr", "genome editing", "genetic engineering", "gene therapy", "genomics"],
+        "molecular analysis": ["molecular", "proteomics", "molecular modelling", "molecular modeling", "compound analysis", "biotech research"],
+    },
+    "Technology": {
+        "data pipelines": ["data pipeline", "etl", "elt", "data engineering", "data infrastructure", "streaming data", "data platform"],
+        "observability": ["monitoring", "telemetry", "logging", "tracing", "apm", "instrumentation"],
+        "cloud infrastructure": ["cloud platform", "cloud computing", "devops", "platform engineering", "kubernetes", "containers", "developer tools", "serverless"],
+    },
+    "Energy": {
+        "energy forecasting": ["energy prediction", "load forecasting", "demand response", "power forecasting", "renewable forecasting"],
+        "renewable energy": ["renewables", "solar", "wind", "clean energy", "green energy", "sustainability"],
+        "smart grid": ["smart grids", "grid", "grid optimization", "grid optimisation", "grid management", "distribution network"],
+    },
+    "Retail": {
+        "pricing optimization": ["pricing", "pricing optimisation", "price optimization", "dynamic pricing", "revenue management", "markdown"],
+        "demand forecasting": ["demand planning", "sales forecasting", "demand prediction"],
+        "inventory planning": ["inventory", "stock management", "assortment planning", "replenishment", "merchandising"],
+    },
+    "Education": {
+        "personalized learning": ["personalised learning", "adaptive learning", "individualized learning", "tailored learning", "learning paths"],
+        "student analytics": ["student data", "learning analytics", "student performance", "student outcomes", "academic analytics"],
+    },
+    "Telecom": {
+        "5g analytics": ["5g", "five g", "5 g", "mobile analytics", "radio analytics", "5g networks"],
+        "network optimization": ["network optimisation", "network performance", "ran optimization", "traffic optimization", "network planning"],
+    },
+    "Automotive": {
+        "autonomous driving": ["self driving", "autonomous vehicles", "adas", "driverless", "sensor fusion", "autonomy"],
+        "vehicle telemetry": ["connected car", "connected vehicles", "fleet telematics", "telematics", "vehicle data"],
+    },
+    "Logistics": {
+        "route optimization": ["route optimisation", "routing", "route planning", "last mile", "dispatch", "fleet routing"],
+        "supply chain visibility": ["supply chain", "shipment tracking", "freight visibility", "logistics visibility", "track and trace"],
+    },
+}
 REVENUE_BUCKETS = {
     "0-1M": (0.0, 1e6),
     "1M-10M": (1e6, 1e7),
@@ -98,21 +105,8 @@ HEAD_NOUNS = ["platform", "solution", "engine", "software", "system", "infrastru
 # End of the fixed values.
 
 
-def _entries(text: str) -> Iterator[tuple[str, str, list[str]]]:
-    group = ""
-    for line in text.strip().splitlines():
-        if line.startswith("["):
-            group = line.strip("[]")
-        else:
-            name, _, phrases = line.partition(": ")
-            yield group, name, phrases.split(", ")
-
-
-INDUSTRY_PHRASES = {name: phrases for _, name, phrases in _entries(INDUSTRY_TEXT)}
-LOCATION_PHRASES = {name: phrases for _, name, phrases in _entries(LOCATION_TEXT)}
-REGIONS = {name: countries for _, name, countries in _entries(REGION_TEXT)}
-TOPIC_PHRASES = {name: phrases for _, name, phrases in _entries(TOPIC_TEXT)}
-TOPIC_INDUSTRY = {name: industry for industry, name, _ in _entries(TOPIC_TEXT)}
+TOPIC_PHRASES = {topic: phrases for topics in TOPICS_OF.values() for topic, phrases in topics.items()}
+TOPIC_INDUSTRY = {topic: industry for industry, topics in TOPICS_OF.items() for topic in topics}
 INDUSTRIES, LOCATIONS, TOPICS = list(INDUSTRY_PHRASES), list(LOCATION_PHRASES), list(TOPIC_PHRASES)
 
 

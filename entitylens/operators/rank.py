@@ -80,6 +80,7 @@ class Relaxation:
     def message(self) -> str | None:
         if not self.applied:
             return None
+        # The wording of the message.
         some = "No companies" if not self.strict_count else f"Only {self.strict_count} compan{'y' if self.strict_count == 1 else 'ies'}"
         were = "constraint was" if len(self.dropped) == 1 else "constraints were"
         tail = f", with the {self.strict_count} exact match{'' if self.strict_count == 1 else 'es'} listed first." if self.strict_count else "."

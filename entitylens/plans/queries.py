@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entitylens.functions import vocab
-from entitylens.functions.scalars import bucket_for_amount, canonical, l2_normalized, literal_map, revenue_max, revenue_min
+from entitylens.functions.scalars import bucket_for_amount, buckets_meeting, canonical, l2_normalized, literal_map, revenue_max, revenue_min
 from entitylens.functions.text import KEEP, index_text, normalize_col, singular_col, tokens_col
 from entitylens.operators import bitmaps, blocks, ingest, lexical, metrics, rank, vectors
 from entitylens.operators.filters import Explicit, Filters, Range
@@ -211,13 +211,18 @@ for _name, (_f, _sql) in FILTERS.items():
 
 
 @query(
-    "WITH b(bucket, lo, hi) AS (VALUES " + ", ".join(f"('{b}', {lo}, {hi if hi != float('inf') else 1e300})" for b, (lo, hi) in vocab.REVENUE_BUCKETS.items()) + """),
-  r(n, qlo, qhi) AS (VALUES (0, 1e7, 1e8), (1, 5e8, 1e300), (2, 0.0, 1e7), (3, 2e8, 3e8), (4, 0.0, 1e300))
-SELECT n::BIGINT AS n, bucket FROM r JOIN b ON lo < qhi AND qlo < hi"""
+    "WITH b(bucket, lo, hi) AS (VALUES " + ", ".join(f"('{b}', {lo}::DOUBLE, {hi if hi != float('inf') else 1e300}::DOUBLE)" for b, (lo, hi) in vocab.REVENUE_BUCKETS.items()) + """),
+  r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE o_totalprice * 100 END::DOUBLE AS qlo,
+    CASE WHEN o_orderkey % 5 = 0 THEN 1e300 WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 THEN o_totalprice * 100 WHEN o_orderkey % 11 = 0 THEN 50.0 ELSE o_totalprice * 2000 END::DOUBLE AS qhi FROM orders)
+SELECT bucket, count(*) AS n, sum(id)::BIGINT AS ids FROM r JOIN b ON CASE WHEN qlo = qhi THEN lo <= qlo AND qlo < hi ELSE qlo < qhi AND lo < qhi AND qlo < hi END GROUP BY bucket"""
 )
 def revenue_bucket_overlap(spark, d):
-    asked = [(1e7, 1e8), (5e8, None), (None, 1e7), (2e8, 3e8), (None, None)]
-    return spark.createDataFrame([(i, b) for i, (lo, hi) in enumerate(asked) for b in vocab.buckets_overlapping(lo, hi)], "n long, bucket string")
+    """Ranges around the orders' prices, some open, some single amounts, some empty: how many meet each bucket."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    low = F.when(k % 7 != 0, price * 100)
+    high = F.when(k % 5 != 0, F.when((k % 3 == 0) & (k % 7 != 0), price * 100).when(k % 11 == 0, 50.0).otherwise(price * 2000))
+    met = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("id"), F.explode(buckets_meeting(low, high)).alias("bucket"))
+    return met.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'name must not be empty'
@@ -734,20 +739,20 @@ _ALIASES = [(t, p) for t, ps in vocab.TOPIC_PHRASES.items() for p in ps]
 
 
 @query(
-    "WITH aliases AS (SELECT topic, " + _sql_tokens("phrase") + " AS w FROM (VALUES " + ", ".join(f"('{t}', '{p.replace(chr(39), chr(39) * 2)}')" for t, p in _ALIASES) + ") v(topic, phrase)), "
-    "heads AS (SELECT " + _sql_tokens("m || ' ' || n") + f" AS t FROM (SELECT unnest({_sql_list(vocab.HEAD_MODIFIERS)}) AS m), (SELECT unnest({_sql_list(vocab.HEAD_NOUNS)}) AS n)), "
+    BASE + ", aliases AS (SELECT topic, " + _sql_tokens("phrase") + " AS w FROM (VALUES " + ", ".join(f"('{t}', '{p.replace(chr(39), chr(39) * 2)}')" for t, p in _ALIASES) + ") v(topic, phrase)), "
+    "heads AS (SELECT DISTINCT " + _sql_tokens("string_split(description, ' for ')[1]") + " AS t FROM companies), "
     "starts AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM heads), runs AS (SELECT DISTINCT t[i:j] AS w FROM (SELECT t, i, unnest(range(i, len(t) + 1)) AS j FROM starts)) "
     "SELECT topic, count(*) AS n_phrases, count(r.w) AS n_noisy, (SELECT count(*) FROM runs) AS n_runs FROM aliases a LEFT JOIN runs r ON r.w = a.w GROUP BY topic"
 )
 def alias_noise_audit(spark, d):
-    """Each topic's phrases, and how many are word runs of a generated opening, which would fire on any description."""
+    """Each topic's phrases, and how many are word runs of the descriptions' openings, which would fire on any description."""
     aliases = spark.createDataFrame(_ALIASES, "topic string, phrase string").select("topic", tokens_col(F.col("phrase")).alias("w"))
-    words = lambda values: F.explode(F.array(*map(F.lit, values)))
-    heads = spark.range(1).select(words(vocab.HEAD_MODIFIERS).alias("m")).select("m", words(vocab.HEAD_NOUNS).alias("n")).select(tokens_col(F.concat_ws(" ", "m", "n")).alias("t"))
+    opening = F.get(F.split("description", " for "), F.lit(0))
+    heads = customer_entities(spark, d).select(tokens_col(opening).alias("t")).distinct()
     starts = heads.select("t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i"))
     runs = starts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("i") + 1), lambda n: F.slice("t", F.col("i"), n))).alias("w")).distinct()
     per = aliases.join(runs.withColumn("_run", F.lit(True)), "w", "left").groupBy("topic").agg(F.count("*").alias("n_phrases"), F.count("_run").alias("n_noisy"))
-    return per.withColumn("n_runs", F.lit(runs.count()))
+    return per.crossJoin(F.broadcast(runs.agg(F.count("*").alias("n_runs"))))  # one row
 
 
 @query()
