@@ -81,15 +81,20 @@ class HashEmbedder(Embedder):
 
     name = "hashed-tokens"
 
-    def _one(self, text: str) -> np.ndarray:
-        v = np.zeros(self.dim)
-        for t in tokens(text):
-            h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
-            v[h % self.dim] += 1.0 if h >> 63 else -1.0
-        return v / max(float(np.linalg.norm(v)), 1e-12)
-
     def documents(self, texts: list[str]) -> np.ndarray:
-        return np.stack([self._one(t) for t in texts]) if texts else np.zeros((0, self.dim))
+        """All texts at once: each distinct token is hashed once, and adds one or takes one off in its place."""
+        found = [tokens(t) for t in texts]
+        names, at = np.unique(np.array([w for words in found for w in words] or [""], dtype=object).astype(str), return_inverse=True)
+        hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in names.tolist()], np.uint64)
+        out = np.zeros((len(texts), self.dim))
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in found])
+        at = at[: len(row)]
+        sign = np.where(hashes >> np.uint64(63), 1.0, -1.0)
+        np.add.at(out, (row, (hashes % np.uint64(self.dim)).astype(np.int64)[at]), sign[at])
+        return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-12)
+
+    def _one(self, text: str) -> np.ndarray:
+        return self.documents([text])[0]
 
 
 def embedded(rows: DataFrame, text: Column, make: Callable[[], Embedder]) -> DataFrame:

@@ -18,6 +18,7 @@ from entitylens.functions.scalars import bucket_for_amount, buckets_meeting, can
 from entitylens.functions.text import KEEP, index_text, normalize_col, singular_col, tokens_col
 from entitylens.operators import bitmaps, blocks, ingest, lexical, metrics, rank, vectors
 from entitylens.operators.filters import Explicit, Filters, Range
+from entitylens.operators.vector_cells import VectorCells
 from entitylens.plans import batch
 from entitylens.plans.engine import Engine, Request
 from entitylens.plans.nlq import parse
@@ -473,6 +474,12 @@ def vector_topk(spark, d):
     return vectors.cosine(entity_vectors(spark, d), seventh(spark, d)).orderBy(F.desc("cosine"), "id").limit(20).select("id", F.round("cosine", 6).alias("cosine"))
 
 
+@query(_select("SELECT id, round(list_dot_product(v, q), 6) AS cosine FROM vec, q7 ORDER BY round(list_dot_product(v, q), 9) DESC, id LIMIT 20"))
+def vector_topk_cells(spark, d):
+    """The same best vectors, from the cells that can hold them."""
+    return VectorCells.of(entity_vectors(spark, d), cell_rows=256).top(seventh(spark, d), 20).select("id", F.round("cosine", 6).alias("cosine"))
+
+
 @query(_select("SELECT id, round(list_dot_product(v, q), 6) AS cosine FROM vec JOIN companies USING (id), q7 WHERE location = 'France' ORDER BY round(list_dot_product(v, q), 9) DESC, id LIMIT 20"))
 def vector_topk_filtered(spark, d):
     met = entities(spark, d).where(Filters(locations=("France",)).predicate()).select("id").join(entity_vectors(spark, d), "id")

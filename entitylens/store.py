@@ -27,6 +27,7 @@ written whole and its deltas are done with.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -193,17 +194,34 @@ class Store:
         return rows.join(F.broadcast(last), (F.col("id") == F.col("_touched")) & (F.col("_layer") < F.col("_last")), "left_anti").drop("_layer")
 
     def vectors(self, model: str | None = None) -> DataFrame | None:
-        """The vectors, or None if there are none, another model made them, or they can't be read whole."""
+        """The vectors, or None if there are none, another model made them, or their files aren't those that were written.
+
+        Rows and lengths were counted when they were written, and files are compared by name
+        and size, so no vector is read here. Records without that are counted.
+        """
         now = self.meta()
         if not now.get("vectors") or model is not None and now.get("model") != model:
             return None
+        written = now.get("vector_files")
+        if written and (written["rows"] != now.get("vector_rows") or written["dim"] != now.get("dim") or self._extent(now["vectors"]) != written["extent"]):
+            return None
         try:
             found = self.spark.read.parquet(f"{self.path}/{now['vectors']}")
+            if written:
+                return found
             whole = found.agg(F.count("*"), F.count_if(F.size("embedding") != now.get("dim", self.dim))).first()
         except Exception:  # noqa: BLE001  a search by words goes on without them
             return None
         return found if tuple(whole) == (now.get("vector_rows", whole[0]), 0) else None
 
+    def _extent(self, name: str) -> str | None:
+        """A digest of the names and sizes of a folder's files, from its listing; None if it is gone."""
+        folder = self._path(f"{self.path}/{name}")
+        if not self._fs.exists(folder):
+            return None
+        files = sorted([f.getPath().getName(), f.getLen()] for f in self._fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        return hashlib.sha256(json.dumps(files).encode()).hexdigest()
+
     def _layers(self, now: dict, part: str) -> list[DataFrame]:
         """A part of the snapshot and of each delta over it, none merged."""
         base = self.spark.read.parquet(f"{self.path}/{now['snapshot']}/{part}")
@@ -421,8 +439,11 @@ class Store:
             made = made.unionByName(old.join(rows.select("id", "hash"), ["id", "hash"], "left_semi").select(*made.columns))
         name = f"vectors-{uuid.uuid4().hex}"
         made.write.parquet(f"{self.path}/{name}")
-        n = self.spark.read.parquet(f"{self.path}/{name}").count()
-        return self._point(now | {"vectors": name, "vector_rows": n, "dim": self.dim, "model": self.model.name}, now)
+        n, other = self.spark.read.parquet(f"{self.path}/{name}").agg(F.count("*"), F.count_if(F.size("embedding") != self.dim)).first()
+        if other:
+            raise RuntimeError(f"{other} vectors haven't {self.dim} dimensions")
+        files = {"rows": n, "dim": self.dim, "extent": self._extent(name)}
+        return self._point(now | {"vectors": name, "vector_rows": n, "vector_files": files, "dim": self.dim, "model": self.model.name}, now)
 
     def engine(self) -> Engine:
         """An engine on the current snapshot; later writes don't touch it."""

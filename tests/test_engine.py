@@ -397,8 +397,35 @@ def test_vectors_that_are_not_whole_are_left_out(spark, tmp_path):
     store.ingest(rows)
     now = store.embed()
     assert store.engine().semantic
-    store._point(now | {"vector_rows": 3}, now)
+    now = store._point(now | {"vector_rows": 3}, now)
     assert not store.engine().semantic
+    now = store._point(now | {"vector_rows": 2}, now)
+    assert store.engine().semantic
+    # A file that is cut short, and one that is gone.
+    part = next((tmp_path / "store" / now["vectors"]).glob("part-*"))
+    whole = part.read_bytes()
+    part.write_bytes(whole[:-3])
+    assert store.vectors() is None
+    part.write_bytes(whole)
+    assert store.vectors().count() == 2
+    part.unlink()
+    assert store.vectors() is None and not store.engine().semantic
+
+
+def test_texts_are_hashed_by_batch():
+    import hashlib
+
+    def plain(text, dim):
+        v = [0.0] * dim
+        for t in tokens(text):
+            h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
+            v[h % dim] += 1.0 if h >> 63 else -1.0
+        n = max(sum(x * x for x in v) ** 0.5, 1e-12)
+        return [x / n for x in v]
+
+    texts = ["smart grids smart", "", "fraud detection and lending", "é Ünï", "smart"]
+    assert HashEmbedder(32).documents(texts).tolist() == [plain(t, 32) for t in texts]
+    assert HashEmbedder(32).documents([]).shape == (0, 32) and HashEmbedder(8).documents(["", ""]).tolist() == [[0.0] * 8] * 2
 
 
 def test_metrics():
