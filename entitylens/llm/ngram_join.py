@@ -19,15 +19,23 @@ and set sizes, and keeps pairs whose sketches agree as pairs at the threshold do
 but for a chance below 1e-7. What passes is only ever reduced to a forest
 (``forest``): a bucket is compared block by block; each block sends its most
 central sets on, as leaders, to join the blocks; then only sets outside the
-bucket's main class are held against all its blocks. So a bucket of g alike sets
-makes g edges and one pass over its rows. After the first runs, buckets that lie
-in one class are left out, and others give edges between classes only.
+bucket's main class are held against all its blocks, where these sets fit one
+block. So a bucket of g alike sets makes g edges and one pass over its rows.
+After the first runs, buckets that lie in one class are left out, and others give
+edges between classes only.
+
+Where more sets than a block lie outside the main class, as pages of one template
+do whose similarity stays below the threshold, blocks aren't paired. A bucket of
+sketches is then one component; sets of one component meet by their rare n-grams
+(``rare_links``): of two linked sets, with n-grams ordered from rare to frequent
+in the component, the first one that they share stands early in both, how early
+follows from both sizes. Sets that share only what the template has don't meet.
 
 The forest's components hold all links; inside each component, exact set
-intersections decide, by the same kind of forest (classes) or, where the number
-of links of each row is asked for, by counting in pairs of large blocks. That
-count is the one step whose work grows with the square of a component's
-different sets; ``keep_first``, which needs classes only, doesn't do it.
+intersections decide, by the same kind of forest (classes). Where the number of
+links of each row is asked for, sets of one class are counted in pairs of large
+blocks: the one step whose work grows with the square of different sets, those of
+one class; ``keep_first``, which needs classes only, doesn't do it.
 
 Texts and sets are named by 256- and 128-bit digests.
 
@@ -407,10 +415,70 @@ def _paired(left: DataFrame, right: DataFrame, at: list[str], run, schema: str)
     return both.repartition(*at).sortWithinPartitions(*at, "_side").mapInArrow(over, schema)
 
 
-def forest(rows: DataFrame, kernel: Kernel, block: int, name: str) -> DataFrame:
+def one_class(wide: DataFrame) -> DataFrame:
+    """Edges that make each bucket one component; wide: root, _main."""
+    return wide.where("root <> _main").select(F.col("_main").alias("a"), F.col("root").alias("b")).distinct()
+
+
+def _gram_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k, sid, packed n-grams -> k, sid, one n-gram."""
+    for row in _rows(batches):
+        grams = np.frombuffer(row["grams"], "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), row[c])) for c in ("k", "sid")] + [pa.array(grams)], names=["k", "sid", "g"])
+
+
+def _linked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ra, rb, and two sets' packed n-grams -> ra, rb of those that are linked."""
+    for b in batches:
+        keep = np.zeros(b.num_rows, bool)
+        for i in range(b.num_rows):
+            x, y = (np.frombuffer(b.column(c)[i].as_buffer(), "<u8") for c in ("ga", "gb"))
+            keep[i] = 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("ra", "rb")], names=["a", "b"])
+
+
+def rare_pairs(traits: DataFrame) -> DataFrame:
+    """ra, rb, a, b: pairs of sets of one bucket and of different classes that may be linked.
+
+    traits: k, sid, root, n, main (whether root is the bucket's main class), grams.
+    A set's n-grams are ordered by their number of sets in the bucket; ``r`` is how many
+    stand from one on. If it is the first that two linked sets of n and m have in common,
+    both have 9 r >= 4 (n + m), and 5 m >= 4 n. So the smaller set stands for its
+    n-grams with 9 r >= 8 m, and the larger one asks for a range of sizes, by bands of
+    about 3 %.
+    """
+    each = traits.select("k", "sid", "grams").mapInArrow(_gram_list, "k long, sid long, g long")
+    often = each.groupBy("k", "g").agg(F.count("*").alias("c")).where("c > 1")
+    own = each.join(often, ["k", "g"]).groupBy("k", "sid").agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("o"))
+    placed = own.join(traits.drop("grams"), ["k", "sid"]).select("k", "sid", "root", "n", "main", F.size("o").alias("m"), F.posexplode("o").alias("i", "x"))
+    early = stored(placed.select("k", F.col("x.g").alias("g"), "sid", "root", "n", "main", (F.col("m") - F.col("i")).cast("long").alias("r")).where("5 * r >= 4 * n"), "rare-grams")
+    band = lambda n: F.floor(F.log(n) * 32).cast("int")
+    held = early.where("9 * r >= 8 * n").select("k", "g", F.col("sid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("r").alias("hb"), F.col("main").alias("mb"), band(F.col("n")).alias("band"))
+    low, high = F.expr("(4 * n + 4) div 5"), F.expr("least(n, 9 * r div 4 - n)")
+    asks = early.select("k", "g", F.col("sid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("r").alias("ha"), F.col("main").alias("ma"), low.alias("low"), high.alias("high")).where("low <= high")
+    asks = asks.withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("high"))))).drop("low", "high")
+    # Two sets of the main class never meet.
+    met = asks.where("not ma").join(held, ["k", "g", "band"]).unionByName(asks.where("ma").join(held.where("not mb"), ["k", "g", "band"]))
+    passed = met.where("ra <> rb and nb <= na and 5 * nb >= 4 * na and 9 * least(ha, hb) >= 4 * (na + nb)")
+    turned = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return passed.select(pick("ra", "rb").alias("ra"), pick("rb", "ra").alias("rb"), pick("a", "b").alias("a"), pick("b", "a").alias("b")).distinct()
+
+
+def rare_links(wide: DataFrame) -> DataFrame:
+    """Edges between the classes of linked sets, found by rare n-grams; wide: k, sid, root, _main, n, grams."""
+    traits = stored(wide.select("k", "sid", "root", "n", (F.col("root") == F.col("_main")).alias("main"), "grams"), "apart")
+    grams = traits.select("sid", "grams")
+    pairs = stored(rare_pairs(traits), "rare-pairs")
+    both = pairs.join(grams.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
+    return stored(both.select("ra", "rb", "ga", "gb").mapInArrow(_linked_pairs, "a long, b long").distinct(), "rare-links")
+
+
+def forest(rows: DataFrame, kernel: Kernel, block: int, name: str, beyond: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) between classes that join whatever the kernel's links join within each bucket.
 
     rows: k, nb (blocks of the bucket), sid, root (the class so far), n, bits and what else the kernel reads.
+    beyond makes the edges of buckets with more than a block of sets outside their main class.
     """
     names = [c for c in rows.columns if c not in ("k", "nb")]
     placed = rows.withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
@@ -433,23 +501,26 @@ def forest(rows: DataFrame, kernel: Kernel, block: int, name: str) -> DataFrame:
     # Leaders of the blocks of a bucket are a bucket of their own, far smaller.
     led = first.where("k is not null").select("k", F.col("a").alias("sid"))
     many = led.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    edges = edges.unionByName(forest(stored(wide.drop("nb").join(led, ["k", "sid"]).join(many, "k"), f"{name}-leaders"), kernel, block, name))
-    # Sets outside the bucket's main class meet all its blocks.
+    edges = edges.unionByName(forest(stored(wide.drop("nb").join(led, ["k", "sid"]).join(many, "k"), f"{name}-leaders"), kernel, block, name, beyond))
+    # Sets outside the bucket's main class, up to a block of them, meet all its blocks.
     classes = components(edges).select(F.col("node").alias("root"), F.col("root").alias("_now"))
     wide = wide.join(classes, "root", "left").withColumn("root", F.coalesce("_now", "root")).drop("_now")
     main = wide.groupBy("k", "root").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "root"))["root"].alias("_main"))
     wide = stored(wide.join(stored(main, f"{name}-main"), "k"), f"{name}-wide")
     rest = wide.where("root <> _main")
-    extent = stored(rest.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("xnb")), f"{name}-rest")
-    asked = rest.join(extent, "k").withColumn("xblk", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("xnb")).cast("int"))
-    held = wide.join(extent, "k").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-    left = _packed_blocks(asked, ["k", "xblk", "nb"], names).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-    right = _packed_blocks(held, ["k", "blk", "xnb"], names).withColumn("xblk", F.explode(F.sequence(F.lit(0), F.col("xnb") - 1))).drop("xnb")
+    extent = stored(rest.groupBy("k").agg((F.count("*") > block).alias("many")), f"{name}-rest")
+    few, many = extent.where("not many").select("k"), extent.where("many").select("k")
+    held = wide.join(few, "k").withColumn("blk", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+    left = _packed_blocks(rest.join(few, "k"), ["k", "nb"], names).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+    right = _packed_blocks(held, ["k", "blk"], names)
 
     def across(x: dict, y: dict) -> Iterator[pa.RecordBatch]:
         yield edge_rows(*joined(_unpacked(x), _unpacked(y), kernel))
 
-    return edges.unionByName(stored(_paired(left, right, ["k", "xblk", "blk"], across, "a long, b long"), f"{name}-across"))
+    edges = edges.unionByName(stored(_paired(left, right, ["k", "blk"], across, "a long, b long"), f"{name}-across"))
+    if many.limit(1).count() == 0:
+        return edges
+    return edges.unionByName(beyond(wide.join(many, "k")))
 
 
 def dense_buckets(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
@@ -467,7 +538,7 @@ def dense_buckets(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     return held.join(total, "k").where(F.col("held") >= DENSE * F.col("n")).select("k")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
+def candidates(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between set ids whose components hold every link; sets: sid, n, bits, levels.
 
     A large bucket is split only if that shrinks it; one of similar sets is compared as it is.
@@ -490,15 +561,15 @@ def candidates(sets: DataFrame) -> DataFrame:
             kept = large
         wide = kept if wide is None else wide.unionByName(kept)
     pairs = stored(small.join(traits, "sid").repartition("k").sortWithinPartitions("k").mapInArrow(_small_pairs, "a long, b long"), "small-buckets")
-    wide = stored(wide.join(traits, "sid").withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).drop("c"), "wide-buckets")
+    wide = stored(wide.join(traits, "sid").withColumn("nb", F.ceil(F.col("c") / block).cast("int")).drop("c"), "wide-buckets")
     columns = ["k", "nb", "sid", "root", "n", "bits"]
     # The classes of the small buckets and the first runs spare later runs most of their work.
     now = wide.where(F.col("r") < FIRST_RUNS).withColumn("root", F.col("sid"))
-    edges = pairs.unionByName(forest(now.select(*columns), sketched, BLOCK, "sketches"))
+    edges = pairs.unionByName(forest(now.select(*columns), sketched, block, "sketches", one_class))
     classes = components(edges).select(F.col("node").alias("sid"), "root")
     known = stored(wide.where(F.col("r") >= FIRST_RUNS).join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "known-classes")
     mixed = stored(known.groupBy("k").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("k"), "mixed-buckets")
-    return edges.unionByName(forest(known.join(mixed, "k", "left_semi").select(*columns), sketched, BLOCK, "sketches"))
+    return edges.unionByName(forest(known.join(mixed, "k", "left_semi").select(*columns), sketched, block, "sketches", one_class))
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -537,13 +608,16 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: bool = True) -> DataFrame:
-    """doc_id, text_key, class_id (the least id of its component), n_links (if count) and whether it is the first of its class, of each row."""
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: bool = True, block: int = BLOCK, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """doc_id, text_key, class_id (the least id of its component), n_links (if count) and whether it is the first of its class, of each row.
+
+    block and block_sets: how many sketches, and exact sets, a block holds.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(key, None)
     conf.set(key, min(BATCH_BYTES, int(before.removesuffix("b")) if before and before.removesuffix("b").isdigit() else BATCH_BYTES))
     try:
-        return _linked(df, id_col, text_col, count)
+        return _linked(df, id_col, text_col, count, block, block_sets)
     finally:
         if before is None:
             conf.unset(key)
@@ -551,7 +625,13 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count:
             conf.set(key, before)
 
 
-def _linked(df: DataFrame, id_col: str, text_col: str, count: bool) -> DataFrame:
+def blocked(sets: DataFrame, block_sets: int) -> DataFrame:
+    """sets (k, n, ...) with nb, the blocks of exact sets that a bucket takes."""
+    size = F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / block_sets)).cast("int")
+    return sets.join(stored(sets.groupBy("k").agg(size.alias("nb")), "blocks"), "k")
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, count: bool, block: int, block_sets: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("_text"))
     levels = [f"level{i}" for i in range(LEVELS)]
@@ -561,18 +641,18 @@ def _linked(df: DataFrame, id_col: str, text_col: str, count: bool) -> DataFrame
     once = lambda c: F.first(c, ignorenulls=True).alias(c)
     merged = rows.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("rows"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), once("bits"), *map(once, levels))
     sets = stored(merged.withColumn("sid", F.monotonically_increasing_id()), "sets")
-    groups = components(candidates(sets.select("sid", "n", "bits", *levels))).select(F.col("node").alias("sid"), F.col("root").alias("k"))
+    groups = components(candidates(sets.select("sid", "n", "bits", *levels), block)).select(F.col("node").alias("sid"), F.col("root").alias("k"))
     # Equal texts are merged before they meet their group.
     chosen = sets.select("sid", "text_key", "rows", F.col("n").cast("long").alias("n"), "bits").join(groups, "sid")
     members = docs.dropDuplicates(["text_key"]).join(stored(chosen, "grouped-sets"), "text_key").select("_text", "k", "sid", "rows", "n", "bits")
     grams = stored(members.mapInArrow(_gram_rows, "k long, sid long, rows long, n long, bits binary, grams binary"), "group-sets")
-    extent = stored(grams.groupBy("k").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("nb")), "group-blocks")
-    placed = grams.join(extent, "k")
-    classes = components(forest(placed.select("k", "nb", "sid", F.col("sid").alias("root"), "n", "bits", "grams"), exact, BLOCK_SETS, "links")).select(F.col("node").alias("sid"), F.col("root").alias("cls"))
+    placed = blocked(grams, block_sets).select("k", "nb", "sid", F.col("sid").alias("root"), "n", "bits", "grams")
+    classes = components(forest(placed, exact, block_sets, "links", rare_links)).select(F.col("node").alias("sid"), F.col("root").alias("cls"))
     info = sets.select("set_key", "sid", "rows").join(classes, "sid", "left").withColumn("cls", F.coalesce("cls", "sid"))
     n_links = F.lit(None).cast("long")
     if count:
-        info = info.join(link_counts(placed), "sid", "left")
+        classed = grams.drop("k").join(classes.withColumnRenamed("cls", "k"), "sid")
+        info = info.join(link_counts(blocked(classed, block_sets)), "sid", "left")
         n_links = F.coalesce(F.coalesce("links", F.lit(0)) + F.col("rows") - 1, F.lit(0))
     every = rows.select("doc_id", "text_key", "set_key").join(stored(info, "set-classes"), "set_key", "left")
     named = stored(every.select("doc_id", "text_key", "cls", n_links.alias("n_links")), "linked-rows")

@@ -524,8 +524,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_wide_buckets_go_through_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    # Read on the driver only, where it makes buckets wide; workers compare small buckets of any size.
     monkeypatch.setattr(ngram_join, "SMALL", 8)
     r = random.Random(6)
     base = [f"w{r.randrange(300)}" for _ in range(100)]
@@ -541,7 +540,7 @@ def test_wide_buckets_go_through_blocks(spark, monkeypatch):
         x[i] = f"step{i}"
         texts.append(" ".join(x))
     rows = list(enumerate(texts))
-    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), block=16, block_sets=16).collect()}
     assert got == brute_links(rows)
 
 
@@ -563,8 +562,8 @@ def test_large_groups_stay_linear(spark, size):
     made = []
     whole = ngram_join.candidates
 
-    def counted(sets):
-        made.append(whole(sets))
+    def counted(*given):
+        made.append(whole(*given))
         return made[-1]
 
     ngram_join.candidates = counted
@@ -576,6 +575,44 @@ def test_large_groups_stay_linear(spark, size):
     assert made[0].count() <= 8 * (size + 40)
 
 
+@pytest.mark.parametrize("tail", [12, 20, 33, 50])
+def test_groups_below_the_threshold_stay_linear(spark, tail, monkeypatch):
+    """Pages of one template at 0.8, 0.71, 0.59 and 0.49: no blocks are paired, and pairs that meet grow with the linked ones."""
+    monkeypatch.setattr(ngram_join, "SMALL", 8)
+    r = random.Random(tail)
+    template = [f"t{i}" for i in range(100)]
+    made, met, whole, paired = [], [], ngram_join.rare_pairs, ngram_join._paired
+
+    def kept(traits):
+        made.append(ngram_join.stored(whole(traits), "counted"))
+        return made[-1]
+
+    def blocks(left, right, at, run, schema):
+        met.append(left.count())
+        return paired(left, right, at, run, schema)
+
+    monkeypatch.setattr(ngram_join, "rare_pairs", kept)
+    monkeypatch.setattr(ngram_join, "_paired", blocks)
+    for size in (500, 1000) if tail == 20 else (500,):
+        texts = [template + [f"u{i}_{x}" for x in range(tail)] for i in range(size)]
+        for i in range(0, size, 25):
+            near = list(texts[i])
+            near[-1 - r.randrange(3)] = "changed"
+            texts.append(near)
+        # Another length, contained in the first text.
+        texts.append(texts[0][: 100 + tail // 2])
+        rows = list(enumerate(map(" ".join, texts)))
+        del made[:], met[:]
+        found = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), count=tail > 12, block=32, block_sets=32).collect()
+        got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in found}
+        wanted = brute_links(rows)
+        if tail == 12:
+            assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in wanted.items()}
+            continue
+        assert got == wanted
+        assert sum(x.count() for x in made) <= size and sum(met) <= 2 * size / 32, (size, [x.count() for x in made], met)
+
+
 def test_runs_follow_the_recall():
     assert [ngram_join.runs_for(x) for x in (0.5, 0.9, 0.999999)] == [1, 3, 14] and ngram_join.RUNS == 14
 
