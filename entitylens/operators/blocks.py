@@ -44,10 +44,15 @@ def terms_of(words: Column, weight: float) -> Column:
     return F.transform(F.concat(words, pairs), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
 
+def block_of(key: Column) -> Column:
+    return F.floor(key / IDS).cast("long")
+
+
 def blocked(hits: DataFrame) -> DataFrame:
-    """Blocks of hits: term, id, f, n_words."""
+    """Blocks of hits: term, id, f, n_words, and their block where it is known."""
+    hits = hits if "block" in hits.columns else hits.withColumn("block", block_of(F.col("id")))
     one = F.struct("id", "f", F.col("n_words").cast("int").alias("n_words"))
-    by = hits.groupBy("term", F.floor(F.col("id") / IDS).cast("long").alias("block")).agg(F.count("*").cast("int").alias("n"), F.min("id").alias("first"), F.sort_array(F.collect_list(one)).alias("hits"))
+    by = hits.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.min("id").alias("first"), F.sort_array(F.collect_list(one)).alias("hits"))
     kinds = by.withColumn("peaks", F.array_distinct(F.transform("hits", lambda h: F.struct(h["f"].alias("f"), h["n_words"].alias("n_words")))))
     beaten = lambda a: F.exists("peaks", lambda b: (b != a) & (b["f"] >= a["f"]) & (b["n_words"] <= a["n_words"]))
     return kinds.withColumn("peaks", F.filter("peaks", lambda a: ~beaten(a))).select(*HEAD, "hits")
@@ -56,8 +61,10 @@ def blocked(hits: DataFrame) -> DataFrame:
 def block_postings(indexed: DataFrame) -> DataFrame:
     """HEAD and hits of all words and pairs of words."""
     each = F.concat(*[terms_of(F.regexp_extract_all(c, F.lit("[^ ]+"), F.lit(0)), w) for c, w in WEIGHTS.items()])
-    flat = indexed.select("id", "n_words", F.explode(each).alias("t")).select("id", "n_words", "t.term", "t.w")
-    return blocked(flat.groupBy("term", "id").agg(F.max("n_words").alias("n_words"), F.sum("w").alias("f")))
+    # Rows meet by block before they become terms; both groups then lie in one partition, and no term is shuffled.
+    rows = indexed.select("id", "n_words", *WEIGHTS, block_of(F.col("id")).alias("block")).repartition("block")
+    flat = rows.select("block", "id", "n_words", F.explode(each).alias("t")).select("block", "id", "n_words", "t.term", "t.w")
+    return blocked(flat.groupBy("term", "block", "id").agg(F.max("n_words").alias("n_words"), F.sum("w").alias("f")))
 
 
 @dataclass(frozen=True)
@@ -101,7 +108,7 @@ class BlockIndex:
         """How many rows hold each term; one row a term reaches the driver."""
         counts = rows.groupBy("term").agg(F.sum("n").alias("n"))
         if self.dead is not None:
-            touched = F.broadcast(self.dead.select(F.floor(F.col("id") / IDS).cast("long").alias("block")).distinct())
+            touched = F.broadcast(self.dead.select(block_of(F.col("id")).alias("block")).distinct())
             near = rows.join(touched, "block", "left_semi")
             all_there = near.groupBy("term").agg(F.sum("n").alias("n"))
             counts = counts.unionByName(all_there.select("term", (-F.col("n")).alias("n"))).unionByName(self._hits(near).groupBy("term").agg(F.count("*").alias("n")))
