@@ -64,7 +64,10 @@ def entries() -> Column:
 
 def bitmap_index(entities: DataFrame) -> DataFrame:
     """field, value, layer, block, n, places (if few) or bits."""
-    flat = entities.select("id", F.explode(entries()).alias("e")).select("e.*", F.bitmap_bucket_number("id").alias("block"), F.bitmap_bit_position("id").alias("place"))
+    # Rows meet by block before they become entries, so neither entries nor bits are shuffled. No array of entries is
+    # empty; explode would infer a filter that makes each of them once more.
+    held = entities.select("topics", *LISTS.values(), *NUMBERS.values(), F.bitmap_bucket_number("id").alias("block"), F.bitmap_bit_position("id").alias("place"))
+    flat = held.repartition("block").select("block", "place", F.explode_outer(entries()).alias("e")).select("e.*", "block", "place")
     grouped = flat.groupBy("field", "value", "block").agg(F.sort_array(F.collect_set("place")).alias("p"), F.bitmap_construct_agg("place").alias("b"))
     few = F.size("p") <= SPARSE
     return grouped.select("field", "value", F.lit(0).alias("layer"), "block", F.size("p").alias("n"), F.when(few, F.col("p")).alias("places"), F.when(~few, F.col("b")).alias("bits"))
