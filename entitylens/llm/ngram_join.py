@@ -538,38 +538,49 @@ def dense_buckets(large: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     return held.join(total, "k").where(F.col("held") >= DENSE * F.col("n")).select("k")
 
 
-def candidates(sets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between set ids whose components hold every link; sets: sid, n, bits, levels.
+def buckets(sets: DataFrame, rooted: DataFrame, runs: range, name: str) -> tuple[DataFrame, DataFrame]:
+    """Small and large buckets of some runs; sets: sid, levels; rooted: sid, root (the class so far), level0.
 
     A large bucket is split only if that shrinks it; one of similar sets is compared as it is.
+    A bucket within one class can join nothing, nor can its children, so it ends here.
     """
-    traits = sets.select("sid", "n", "bits")
-    now = sets.select("sid", F.posexplode("level0").alias("r", "tokens")).select("sid", "r", F.explode("tokens").alias("t")).select(F.xxhash64("r", "t").alias("k"), "r", "sid")
+    now = rooted.select("sid", "root", F.posexplode("level0").alias("r", "tokens")).where(F.col("r").between(runs.start, runs.stop - 1))
+    now = now.select("sid", "root", "r", F.explode("tokens").alias("t")).select(F.xxhash64("r", "t").alias("k"), "r", "sid", "root")
     small = wide = None
     for level in range(LEVELS):
         # Stored, so that the join reads plain exchanges and Spark can split a hot bucket's partition.
-        sizes = stored(now.groupBy("k").agg(F.count("*").cast("int").alias("c")).where("c > 1"), f"sizes{level}")
-        met = stored(now.join(sizes, "k"), f"buckets{level}")
+        mixed = now.groupBy("k").agg(F.count("*").cast("int").alias("c"), F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z")
+        met = stored(now.join(stored(mixed.select("k", "c"), f"{name}-sizes{level}"), "k"), f"{name}-buckets{level}")
         part, large = met.where(F.col("c") <= SMALL).select("k", "sid"), met.where(F.col("c") > SMALL)
         small = part if small is None else small.unionByName(part)
         if level + 1 < LEVELS:
-            dense = stored(dense_buckets(large, sets, level + 1), f"dense{level}")
+            dense = stored(dense_buckets(large, sets, level + 1), f"{name}-dense{level}")
             kept, large = large.join(dense, "k", "left_semi"), large.join(dense, "k", "left_anti")
-            deeper = large.select("k", "r", "sid").join(sets.select("sid", f"level{level + 1}"), "sid")
-            now = deeper.withColumn("t", F.explode(F.get(F.col(f"level{level + 1}"), F.col("r")))).select(F.xxhash64("k", "t").alias("k"), "r", "sid")
+            deeper = large.select("k", "r", "sid", "root").join(sets.select("sid", f"level{level + 1}"), "sid")
+            now = deeper.withColumn("t", F.explode(F.get(F.col(f"level{level + 1}"), F.col("r")))).select(F.xxhash64("k", "t").alias("k"), "r", "sid", "root")
         else:
             kept = large
         wide = kept if wide is None else wide.unionByName(kept)
-    pairs = stored(small.join(traits, "sid").repartition("k").sortWithinPartitions("k").mapInArrow(_small_pairs, "a long, b long"), "small-buckets")
-    wide = stored(wide.join(traits, "sid").withColumn("nb", F.ceil(F.col("c") / block).cast("int")).drop("c"), "wide-buckets")
-    columns = ["k", "nb", "sid", "root", "n", "bits"]
-    # The classes of the small buckets and the first runs spare later runs most of their work.
-    now = wide.where(F.col("r") < FIRST_RUNS).withColumn("root", F.col("sid"))
-    edges = pairs.unionByName(forest(now.select(*columns), sketched, block, "sketches", one_class))
-    classes = components(edges).select(F.col("node").alias("sid"), "root")
-    known = stored(wide.where(F.col("r") >= FIRST_RUNS).join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "known-classes")
-    mixed = stored(known.groupBy("k").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("k"), "mixed-buckets")
-    return edges.unionByName(forest(known.join(mixed, "k", "left_semi").select(*columns), sketched, block, "sketches", one_class))
+    return small, wide
+
+
+def candidates(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between set ids whose components hold every link; sets: sid, n, bits, levels.
+
+    The classes of the first runs spare the later ones most of their buckets.
+    """
+    traits, edges = sets.select("sid", "n", "bits"), None
+    for runs, name in ((range(FIRST_RUNS), "first"), (range(FIRST_RUNS, RUNS), "later")):
+        rooted = sets.withColumn("root", F.col("sid"))
+        if edges is not None:
+            classes = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("_now"))
+            rooted = stored(sets.select("sid", "level0").join(classes, "sid", "left").select("sid", F.coalesce("_now", "sid").alias("root"), "level0"), "classes-so-far")
+        small, wide = buckets(sets, rooted, runs, name)
+        pairs = stored(small.join(traits, "sid").repartition("k").sortWithinPartitions("k").mapInArrow(_small_pairs, "a long, b long"), f"{name}-small")
+        placed = stored(wide.join(traits, "sid").withColumn("nb", F.ceil(F.col("c") / block).cast("int")).select("k", "nb", "sid", "root", "n", "bits"), f"{name}-wide")
+        found = pairs.unionByName(forest(placed, sketched, block, f"{name}-sketches", one_class))
+        edges = found if edges is None else edges.unionByName(found)
+    return edges
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

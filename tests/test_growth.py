@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from entitylens.llm import ngram_join
 from entitylens.operators import bitmaps, blocks
 from entitylens.plans import queries
 from entitylens.plans.queries import QUERIES
@@ -42,3 +44,13 @@ def test_indexes_shuffle_rows_not_entries(spark, sf_dir, index):
     text = plan(index(queries.snapshot(spark, sf_dir)))
     assert re.findall(r"Exchange hashpartitioning\((\w+?)#", text) == ["block"]
     assert text.rindex("Generate") < text.index("Exchange")
+
+
+def test_later_runs_leave_out_buckets_within_one_class(spark):
+    """Five sets meet in a bucket of each run; once they are one class, no bucket of them is read, joined or split again."""
+    runs = range(ngram_join.FIRST_RUNS, ngram_join.RUNS)
+    tokens = [[7]] * ngram_join.RUNS
+    sets = spark.createDataFrame([(i, tokens, tokens, tokens) for i in range(5)], "sid long, level0 array<array<long>>, level1 array<array<long>>, level2 array<array<long>>")
+    for root, small in ((F.col("sid"), 5 * len(runs)), (F.lit(0).cast("long"), 0)):
+        found = ngram_join.buckets(sets, sets.select("sid", root.alias("root"), "level0"), runs, "test")
+        assert [f.count() for f in found] == [small, 0]
