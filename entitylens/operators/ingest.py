@@ -82,8 +82,8 @@ def embedding_text() -> Column:
 def indexed(records: DataFrame) -> DataFrame:
     """Adds the spaced words of the three searched fields and their number."""
     words = {"w_name": index_text(F.col("name")), "w_description": index_text(F.col("description")), "w_topics": index_text(F.array_join("topics", " "))}
-    count = sum((F.regexp_count(c, F.lit("[^ ]+")) for c in words.values()), F.lit(0))
-    return records.withColumns(words | {"n_words": count})
+    count = sum((F.regexp_count(c, F.lit("[^ ]+")) for c in words), F.lit(0))
+    return records.withColumns(words).withColumn("n_words", count)
 
 
 def numbered(new: DataFrame, highest: int) -> DataFrame:

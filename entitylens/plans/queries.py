@@ -44,9 +44,19 @@ def query(sql: str | None = None):
 # -- shared inputs -----------------------------------------------------------
 
 
+#: Rows whose topics and words one task derives.
+ROWS_A_TASK = 20_000
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entities, derived where they are read. A table of few row groups is few tasks, so its narrow rows are dealt out first."""
-    raw = customer_entities(spark, sf_dir).repartition("id")
+    """The entities, derived where they are read.
+
+    A table of few row groups is few tasks, so its narrow rows are dealt out first: to
+    more tasks for more rows, as Spark merges parts that are small in bytes, not in work.
+    """
+    raw = customer_entities(spark, sf_dir)
+    tasks = -(-raw.count() // ROWS_A_TASK)  # Parquet's footers know it
+    raw = raw.repartition(max(tasks, spark.sparkContext.defaultParallelism), "id")
     return ingest.indexed(ingest.enriched(raw.withColumn("revenue_range", bucket_for_amount(F.col("revenue_amount")))))
 
 

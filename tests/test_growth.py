@@ -54,3 +54,10 @@ def test_later_runs_leave_out_buckets_within_one_class(spark):
     for root, small in ((F.col("sid"), 5 * len(runs)), (F.lit(0).cast("long"), 0)):
         found = ngram_join.buckets(sets, sets.select("sid", root.alias("root"), "level0"), runs, "test")
         assert [f.count() for f in found] == [small, 0]
+
+
+def test_more_rows_are_more_tasks(spark, sf_dir, monkeypatch):
+    """Spark merges parts that are small in bytes, which left as many tasks as cores at every size."""
+    monkeypatch.setattr(queries, "ROWS_A_TASK", 10)
+    rows = queries.customer_entities(spark, sf_dir).count()
+    assert queries.entities(spark, sf_dir).rdd.getNumPartitions() == -(-rows // 10) > spark.sparkContext.defaultParallelism
