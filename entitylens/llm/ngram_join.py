@@ -58,7 +58,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitylens.llm.common import mix, scrambled, stored, table
+from entitylens.llm.common import maybe_flagged, maybe_in, mix, scrambled, stored, table
 from entitylens.llm.components import components
 
 WORDS = 5
@@ -543,6 +543,8 @@ def buckets(sets: DataFrame, rooted: DataFrame, runs: range, name: str) -> tuple
 
     A large bucket is split only if that shrinks it; one of similar sets is compared as it is.
     A bucket within one class can join nothing, nor can its children, so it ends here.
+    Most tokens are of one set only and few sets are in large buckets, so the others' rows
+    are left out before tokens meet their sizes and sets their next tokens.
     """
     now = rooted.select("sid", "root", F.posexplode("level0").alias("r", "tokens")).where(F.col("r").between(runs.start, runs.stop - 1))
     now = now.select("sid", "root", "r", F.explode("tokens").alias("t")).select(F.xxhash64("r", "t").alias("k"), "r", "sid", "root")
@@ -550,9 +552,14 @@ def buckets(sets: DataFrame, rooted: DataFrame, runs: range, name: str) -> tuple
     for level in range(LEVELS):
         # Stored, so that the join reads plain exchanges and Spark can split a hot bucket's partition.
         mixed = now.groupBy("k").agg(F.count("*").cast("int").alias("c"), F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z")
-        met = stored(now.join(stored(mixed.select("k", "c"), f"{name}-sizes{level}"), "k"), f"{name}-buckets{level}")
+        sizes = stored(mixed.select("k", "c"), f"{name}-sizes{level}")
+        if level == 0:
+            now = maybe_in(now, F.col("k"), sizes.select("k"), f"{name}-shared-tokens")
+        met = stored(now.join(sizes, "k"), f"{name}-buckets{level}")
         part, large = met.where(F.col("c") <= SMALL).select("k", "sid"), met.where(F.col("c") > SMALL)
         small = part if small is None else small.unionByName(part)
+        if level == 0:
+            sets = stored(maybe_in(sets.select("sid", *[f"level{i}" for i in range(1, LEVELS)]), F.col("sid"), large.select("sid"), f"{name}-split"), f"{name}-next-tokens")
         if level + 1 < LEVELS:
             dense = stored(dense_buckets(large, sets, level + 1), f"{name}-dense{level}")
             kept, large = large.join(dense, "k", "left_semi"), large.join(dense, "k", "left_anti")
@@ -574,7 +581,9 @@ def candidates(sets: DataFrame, block: int = BLOCK) -> DataFrame:
         rooted = sets.withColumn("root", F.col("sid"))
         if edges is not None:
             classes = components(edges).select(F.col("node").alias("sid"), F.col("root").alias("_now"))
-            rooted = stored(sets.select("sid", "level0").join(classes, "sid", "left").select("sid", F.coalesce("_now", "sid").alias("root"), "level0"), "classes-so-far")
+            all_sets = maybe_flagged(sets.select("sid", "level0"), F.col("sid"), classes.select("sid"), "classed")
+            classed = all_sets.where("_maybe").join(classes, "sid", "left").select("sid", F.coalesce("_now", "sid").alias("root"), "level0")
+            rooted = stored(classed.unionByName(all_sets.where("not _maybe").select("sid", F.col("sid").alias("root"), "level0")), "classes-so-far")
         small, wide = buckets(sets, rooted, runs, name)
         pairs = stored(small.join(traits, "sid").repartition("k").sortWithinPartitions("k").mapInArrow(_small_pairs, "a long, b long"), f"{name}-small")
         placed = stored(wide.join(traits, "sid").withColumn("nb", F.ceil(F.col("c") / block).cast("int")).select("k", "nb", "sid", "root", "n", "bits"), f"{name}-wide")
@@ -653,9 +662,11 @@ def _linked(df: DataFrame, id_col: str, text_col: str, count: bool, block: int,
     merged = rows.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("rows"), F.min("text_key").alias("text_key"), F.max("n").alias("n"), once("bits"), *map(once, levels))
     sets = stored(merged.withColumn("sid", F.monotonically_increasing_id()), "sets")
     groups = components(candidates(sets.select("sid", "n", "bits", *levels), block)).select(F.col("node").alias("sid"), F.col("root").alias("k"))
-    # Equal texts are merged before they meet their group.
-    chosen = sets.select("sid", "text_key", "rows", F.col("n").cast("long").alias("n"), "bits").join(groups, "sid")
-    members = docs.dropDuplicates(["text_key"]).join(stored(chosen, "grouped-sets"), "text_key").select("_text", "k", "sid", "rows", "n", "bits")
+    traits = sets.select("sid", "text_key", "rows", F.col("n").cast("long").alias("n"), "bits")
+    chosen = stored(maybe_in(traits, F.col("sid"), groups.select("sid"), "grouped").join(groups, "sid"), "grouped-sets")
+    # Only texts of sets in groups are shuffled; equal ones are merged before they meet their group.
+    texts = maybe_in(docs, F.col("text_key"), chosen.select("text_key"), "grouped-texts")
+    members = texts.dropDuplicates(["text_key"]).join(chosen, "text_key").select("_text", "k", "sid", "rows", "n", "bits")
     grams = stored(members.mapInArrow(_gram_rows, "k long, sid long, rows long, n long, bits binary, grams binary"), "group-sets")
     placed = blocked(grams, block_sets).select("k", "nb", "sid", F.col("sid").alias("root"), "n", "bits", "grams")
     classes = components(forest(placed, exact, block_sets, "links", rare_links)).select(F.col("node").alias("sid"), F.col("root").alias("cls"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entitylens.llm import ngram_join
+from entitylens.llm.common import maybe_in
 from entitylens.operators import bitmaps, blocks
 from entitylens.plans import queries
 from entitylens.plans.queries import QUERIES
@@ -61,3 +62,22 @@ def test_more_rows_are_more_tasks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "ROWS_A_TASK", 10)
     rows = queries.customer_entities(spark, sf_dir).count()
     assert queries.entities(spark, sf_dir).rdd.getNumPartitions() == -(-rows // 10) > spark.sparkContext.defaultParallelism
+
+
+def test_texts_without_partner_are_not_shuffled(spark, monkeypatch):
+    """Of 300 texts two are near copies; all texts, tokens and sets used to be shuffled to meet what these two have in common."""
+    left = {}
+
+    def spied(df, key, wanted, name):
+        out = maybe_in(df, key, wanted, name)
+        left[name] = (df.count(), out.count(), out.join(wanted.distinct().withColumnRenamed(wanted.columns[0], "_w"), key == F.col("_w"), "left_semi").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "maybe_in", spied)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(299)]
+    docs = spark.createDataFrame([*enumerate(texts), (299, texts[0] + " more")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.linked(docs).collect()}
+    assert found == {i: (i, 0) for i in range(1, 299)} | {0: (0, 1), 299: (0, 1)}
+    for name in ("first-shared-tokens", "grouped", "grouped-texts"):
+        rows, kept, wanted = left[name]
+        assert wanted <= kept < rows / 10 and wanted > 0
