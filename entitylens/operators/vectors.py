@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from entitylens.functions.scalars import dot
 from entitylens.functions.text import tokens
 from entitylens.operators.lexical import DECIMALS
+from entitylens.shared import maybe_in
 
 log = logging.getLogger("entitylens")
 
 #: Vectors are left out of a search if fewer of the rows than this have one.
 LEAST_COVERAGE = 0.5
+#: Ids of matches that are broadcast at most.
+MOST_IDS = 200_000
 
 
 def cosine(vectors: DataFrame, query: list[float], mask: Column | None = None) -> DataFrame:
@@ -29,6 +32,18 @@ def cosine(vectors: DataFrame, query: list[float], mask: Column | None = None) -
     return rows.where(F.size("embedding") == len(query)).select("id", F.round(dot(F.col("embedding"), q), DECIMALS).alias("cosine"))
 
 
+def matching(vectors: DataFrame, entities: DataFrame, mask: Column, count: int | None = None) -> DataFrame:
+    """The vectors of the entities in mask (count of them, if known).
+
+    The others' are left out before a join shuffles them: by the ids themselves where they
+    are few, else by a filter of bits.
+    """
+    wanted = entities.where(mask).select("id")
+    if count is not None and count <= MOST_IDS:
+        return vectors.join(F.broadcast(wanted), "id")
+    return maybe_in(vectors, F.col("id"), wanted, "matching-ids").join(wanted, "id")
+
+
 def coverage(entities: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row: the share of entities that have a vector."""
     have = vectors.select(F.col("id"), F.lit(True).alias("_has")).distinct()

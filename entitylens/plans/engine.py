@@ -15,7 +15,7 @@ from entitylens.operators.blocks import BlockIndex
 from entitylens.operators.filters import Explicit, Filters
 from entitylens.operators.lexical import KeywordIndex, bm25, phrases, top_ranked
 from entitylens.operators.metrics import Metrics
-from entitylens.operators.vectors import LEAST_COVERAGE, cosine, coverage
+from entitylens.operators.vectors import LEAST_COVERAGE, cosine, coverage, matching
 from entitylens.plans.nlq import Parsed, parse
 
 POOL = 400
@@ -88,9 +88,6 @@ class Engine:
     def semantic(self) -> bool:
         return self.vectors is not None and self.embed is not None
 
-    def _with_vectors(self) -> DataFrame:
-        return self.entities.join(self.vectors, "id")
-
     def search(self, request: Request) -> Response:
         began = perf_counter()
         parsed = parse(request.checked().query)
@@ -113,7 +110,7 @@ class Engine:
         if mode != "semantic" and phrases(terms):
             keyword = top_ranked(self._by_words(terms, mask, relaxation, pool), "bm25", "keyword_rank", pool)
         if mode != "keyword":
-            vector = top_ranked(cosine(self._with_vectors(), list(self.embed(parsed.semantic_text)), mask), "cosine", "vector_rank", pool)
+            vector = top_ranked(cosine(matching(self.vectors, self.entities, mask, relaxation.count), list(self.embed(parsed.semantic_text))), "cosine", "vector_rank", pool)
         fallback = keyword is None and vector is None
         if fallback:
             first = self.entities.where(mask).orderBy("id").limit(pool)
@@ -156,7 +153,7 @@ class Engine:
         shared = F.array_intersect(F.col("topics"), requested)
         reasons = F.transform(shared, lambda t: F.concat(F.lit("shared topic: "), t))
         if own:
-            best = cosine(self._with_vectors(), list(own["embedding"]), near.predicate()).orderBy(F.desc("cosine"), "id").limit(limit)
+            best = cosine(matching(self.vectors, self.entities, near.predicate(), matches), list(own["embedding"])).orderBy(F.desc("cosine"), "id").limit(limit)
             page = self.entities.select(*PAGE_COLUMNS).join(F.broadcast(best), "id")
             return page.select(*PAGE_COLUMNS, F.round("cosine", 6).alias("score"), reasons.alias("matched_on")).orderBy(F.desc("score"), "id"), matches
         first = self.entities.where(near.predicate()).orderBy("id").limit(limit)

@@ -542,7 +542,7 @@ def engine(spark, d) -> Engine:
 
 def _retrieved(spark, d, e: DataFrame, filters: Filters, terms: list[str], pool: int = 400) -> DataFrame:
     keyword = lexical.top_ranked(lexical.bm25(e, terms, filters.predicate()), "bm25", "keyword_rank", pool)
-    near = vectors.cosine(e.join(entity_vectors(spark, d), "id"), seventh(spark, d), filters.predicate())
+    near = vectors.cosine(vectors.matching(entity_vectors(spark, d), e, filters.predicate()), seventh(spark, d))
     return rank.fused(keyword, lexical.top_ranked(near, "cosine", "vector_rank", pool))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from entitylens.llm import ngram_join
 from entitylens.llm.common import maybe_in
-from entitylens.operators import bitmaps, blocks
+from entitylens.operators import bitmaps, blocks, vectors
+from entitylens.operators.filters import Filters
 from entitylens.plans import queries
 from entitylens.plans.queries import QUERIES
 
@@ -81,3 +82,23 @@ def test_texts_without_partner_are_not_shuffled(spark, monkeypatch):
     for name in ("first-shared-tokens", "grouped", "grouped-texts"):
         rows, kept, wanted = left[name]
         assert wanted <= kept < rows / 10 and wanted > 0
+
+
+def test_vectors_without_match_are_not_shuffled(spark, sf_dir, monkeypatch):
+    """Searches joined all vectors with all entities by id, which shuffled every vector whatever the filter was."""
+    left = []
+
+    def spied(df, key, wanted, name):
+        out = maybe_in(df, key, wanted, name)
+        left.append((df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(vectors, "maybe_in", spied)
+    e, v, mask = queries.snapshot(spark, sf_dir), queries.entity_vectors(spark, sf_dir), Filters(locations=("Finland",)).predicate()
+    ids = {r["id"] for r in e.where(mask).select("id").collect()}
+    known = vectors.matching(v, e, mask, len(ids))
+    assert left == [] and not re.search(r"Exchange hashpartitioning\(id#", plan(known))
+    found = vectors.matching(v, e, mask)
+    assert left[0][1] < left[0][0] / 2
+    assert sorted(r["id"] for r in known.collect()) == sorted(r["id"] for r in found.collect()) == sorted(ids)
+    assert {r["id"]: r["embedding"] for r in found.collect()} == {r["id"]: r["embedding"] for r in v.collect() if r["id"] in ids}
