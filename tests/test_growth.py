@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from entitylens.llm import ngram_join
+from entitylens.llm import ngram_join, suffix_dedup
 from entitylens.llm.common import maybe_in
 from entitylens.operators import bitmaps, blocks, vectors
 from entitylens.operators.filters import Filters
@@ -102,3 +104,17 @@ def test_vectors_without_match_are_not_shuffled(spark, sf_dir, monkeypatch):
     assert left[0][1] < left[0][0] / 2
     assert sorted(r["id"] for r in known.collect()) == sorted(r["id"] for r in found.collect()) == sorted(ids)
     assert {r["id"]: r["embedding"] for r in found.collect()} == {r["id"]: r["embedding"] for r in v.collect() if r["id"] in ids}
+
+
+def test_short_texts_are_looked_at_together(monkeypatch):
+    """Anchors of 200 short texts took 200 rounds of calls; they come out as if each text were alone."""
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(b"ab" if i % 3 else b"abcdefgh ", k=rng.choice([0, 399, 400, 401, 799, 1500]))) for i in range(200)]
+    calls, gram_ids = [], suffix_dedup.gram_ids
+    monkeypatch.setattr(suffix_dedup, "gram_ids", lambda raw: calls.append(len(raw)) or gram_ids(raw))
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([t for _, t in some], pa.binary())], names=["kid", "raw"])
+    rows = lambda batches: pa.Table.from_batches(list(suffix_dedup._anchor_rows(400)(iter(batches)))).sort_by([("kid", "ascending"), ("at", "ascending")]).to_pylist()
+    every = list(enumerate(texts))
+    found = rows([batch(every)])
+    assert len(calls) <= 1 + sum(map(len, texts)) // (suffix_dedup.AT_ONCE // 2)
+    assert found and found == rows([batch([x]) for x in every])
