@@ -14,10 +14,12 @@ values like any other and meets the index by an equi-join. Numbers are whole and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,27 +52,60 @@ def interval_keys(r: Range) -> list[str]:
     return out
 
 
-def entries() -> Column:
-    """(field, value) of everything that an entity is indexed by."""
-    one = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
-    held = [F.when(F.col(c).isNotNull(), F.array(one(f, F.col(c)))) for f, c in LISTS.items()]
-    held.append(F.transform(F.array_distinct("topics"), lambda t: one("topic", t)))
-    for f, c in NUMBERS.items():
-        each = [one(f, F.concat(F.lit(f"{w}:"), F.shiftright(F.col(c).cast("long"), 4 * w).cast("string"))) for w in range(WIDTHS)]
-        held.append(F.when(F.col(c).isNotNull(), F.array(*each)))
-    none = F.array().cast("array<struct<field:string,value:string>>")
-    return F.concat(F.array(one(ALL, F.lit(""))), *[F.coalesce(h, none) for h in held])
+def _values(rows: pa.Table) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    """What a block's rows are indexed by: for each field its values, and for each entry its value's number and its row."""
+    every = np.arange(rows.num_rows)
+    yield ALL, pa.array(["" for _ in every[:1]], pa.string()), every * 0, every
+    column = lambda c: rows[c].combine_chunks() if rows[c].num_chunks != 1 else rows[c].chunk(0)
+    coded = lambda x: (x.dictionary, np.asarray(x.indices, dtype=np.int64))
+    for field, c in LISTS.items():
+        held = column(c)
+        yield field, *coded(held.drop_null().dictionary_encode()), every[np.asarray(held.is_valid())]
+    topics = column("topics")
+    yield "topic", *coded(pc.list_flatten(topics).dictionary_encode("encode")), np.asarray(pc.list_parent_indices(topics), dtype=np.int64)
+    for field, c in NUMBERS.items():
+        held = column(c)
+        numbers = np.asarray(held.drop_null(), dtype=np.int64)
+        for w in range(WIDTHS):
+            found, code = np.unique(numbers >> 4 * w, return_inverse=True)
+            yield field, pa.array([f"{w}:{v}" for v in found.tolist()], pa.string()), code, every[np.asarray(held.is_valid())]
+
+
+_HELD = "block long, held array<struct<field:string,value:string,n:int,places:array<bigint>,bits:binary>>"
+
+
+def _block_entries(sparse: int):
+    """A function of one block's rows: its values with their places or bits, in a row for each field (numbers: and width)."""
+
+    def made(rows: pa.Table) -> pa.Table:
+        place, held = np.asarray(rows["place"].combine_chunks(), dtype=np.int64), []
+        for field, values, code, row in _values(rows):
+            code, at = np.divmod(np.unique(code * BLOCK + place[row]), BLOCK)
+            n = np.bincount(code, minlength=len(values))
+            few = n <= sparse
+            ends = np.cumsum(np.where(few, n, 0))
+            # A value without an array of places has a null offset.
+            offsets = pa.array(np.append(0, ends), pa.int32(), mask=np.append(~few, False))
+            bits = [None] * len(values)
+            for v in np.flatnonzero(~few):
+                own = np.zeros(BLOCK, bool)
+                own[at[slice(*np.searchsorted(code, [v, v + 1]))]] = True
+                bits[v] = np.packbits(own, bitorder="little").tobytes()
+            places = pa.ListArray.from_arrays(offsets, pa.array(at[few[code]], pa.int64()))
+            each = [pa.array([field] * len(values), pa.string()), values.cast(pa.string()), pa.array(n, pa.int32()), places, pa.array(bits, pa.binary())]
+            held.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.StructArray.from_arrays(each, ["field", "value", "n", "places", "bits"])))
+        block = pa.array([rows["block"][0].as_py()] * len(held), pa.int64())
+        return pa.table({"block": block, "held": pa.concat_arrays(held)})
+
+    return made
 
 
 def bitmap_index(entities: DataFrame) -> DataFrame:
     """field, value, layer, block, n, places (if few) or bits."""
-    # Rows meet by block before they become entries, so neither entries nor bits are shuffled. No array of entries is
-    # empty; explode would infer a filter that makes each of them once more.
-    held = entities.select("topics", *LISTS.values(), *NUMBERS.values(), F.bitmap_bucket_number("id").alias("block"), F.bitmap_bit_position("id").alias("place"))
-    flat = held.repartition("block").select("block", "place", F.explode_outer(entries()).alias("e")).select("e.*", "block", "place")
-    grouped = flat.groupBy("field", "value", "block").agg(F.sort_array(F.collect_set("place")).alias("p"), F.bitmap_construct_agg("place").alias("b"))
-    few = F.size("p") <= SPARSE
-    return grouped.select("field", "value", F.lit(0).alias("layer"), "block", F.size("p").alias("n"), F.when(few, F.col("p")).alias("places"), F.when(~few, F.col("b")).alias("bits"))
+    # Rows meet by block before they become entries, so neither entries nor bits are shuffled.
+    rows = entities.select("topics", *LISTS.values(), *NUMBERS.values(), F.bitmap_bucket_number("id").alias("block"), F.bitmap_bit_position("id").alias("place"))
+    held = rows.groupBy("block").applyInArrow(_block_entries(SPARSE), _HELD).select("block", F.inline("held"))
+    return held.select("field", "value", F.lit(0).alias("layer"), "block", "n", "places", "bits")
 
 
 def complement(bits: Column) -> Column:

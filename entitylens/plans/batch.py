@@ -4,8 +4,10 @@ Every question is parsed where it lies and becomes rows: (constraint set, field,
 for the bitmap index, (question, phrase) and (phrase, word) for the inverted table.
 Questions with equal constraints share their counts, equal phrases their places. The
 relaxation step of each constraint set follows from its counts; rankings are windows
-over (question, entity) rows that are cut to the pool before they meet. What runs is
-the same for one question and a million, and it gives what the engine gives one by one.
+over (question, entity) rows that are cut to the pool before they meet. Words are ranked
+once for all questions with the same constraints and the same phrases that any entity
+holds. What runs is the same for one question and a million, and it gives what the engine
+gives one by one.
 """
 
 from __future__ import annotations
@@ -23,9 +25,10 @@ from pyspark.sql import types as T
 from entitylens.functions.scalars import total
 from entitylens.operators import rank
 from entitylens.operators.bitmaps import BLOCK, asked, first_ids, places_in, step_counts, step_sets
-from entitylens.operators.lexical import DECIMALS, KeywordIndex, phrase_parts, phrases
+from entitylens.operators.lexical import DECIMALS, KeywordIndex, phrase_hits, phrase_parts, phrases
 from entitylens.plans.engine import POOL
 from entitylens.plans.nlq import parse
+from entitylens.shared import stored
 
 _RANGE = T.StructType([T.StructField("min", T.DoubleType()), T.StructField("max", T.DoubleType()), T.StructField("min_inclusive", T.BooleanType()), T.StructField("max_inclusive", T.BooleanType())])
 _LIST = T.ArrayType(T.StringType())
@@ -33,6 +36,7 @@ _KEYS = T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.Stru
 _PARSED = [("phrases", T.ArrayType(_LIST)), ("locations", _LIST), ("industries", _LIST), ("topics", _LIST), ("founded", _RANGE), ("employees", _RANGE), ("buckets", _LIST), ("f", T.StringType()), ("keys", _KEYS), ("gives_up", _LIST)]
 #: Questions whose scores over one block of vectors are held at once, and questions of one chunk.
 AT_ONCE, CHUNK = 64, 2048
+CONSTRAINTS = ["locations", "industries", "q_topics", "founded", "employees", "buckets"]
 NARROW = ["id", "topics", "location", "industry", "founded_year", "employee_count", "revenue_range"]
 
 
@@ -98,18 +102,30 @@ def matches(dropped: Column | None = None) -> Column:
     return out
 
 
-def keyword_scores(questions: DataFrame, index: KeywordIndex) -> DataFrame:
-    """q, id, bm25 of all entities that hold one of a question's phrases, whatever its filters are."""
-    wanted = questions.select("q", F.posexplode("phrases").alias("i", "words")).withColumn("p", F.array_join("words", " "))
-    parts = phrase_parts(wanted.select("p", "words").dropDuplicates(["p"]), index)
-    met = wanted.select("q", "i", "p").join(parts, "p").groupBy("q", "id").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("x"))
+def alike(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """questions, those that hold a found phrase, with their found phrases in order, and names of equal ones.
+
+    w names equal phrases, k equal phrases and constraints. found: p. A phrase that no entity
+    holds adds nothing to any score, so most questions that are worded differently rank alike.
+    """
+    wanted = questions.select("q", F.posexplode("phrases").alias("i", "words")).select("q", "i", F.array_join("words", " ").alias("p"))
+    held = wanted.join(found.select("p"), "p").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("x"))
+    named = questions.join(held.select("q", F.col("x.p").alias("found")), "q")
+    name = lambda *columns: F.md5(F.to_json(F.struct(*columns)))
+    return named.withColumns({"w": name("found"), "k": name("found", "f", *CONSTRAINTS)})
+
+
+def keyword_scores(worded: DataFrame, parts: DataFrame) -> DataFrame:
+    """w, id, bm25 of all entities that hold one of the phrases named w, whatever filters are; worded: w, found; parts: p, id, part."""
+    wanted = worded.dropDuplicates(["w"]).select("w", F.posexplode("found").alias("i", "p"))
+    met = wanted.join(parts, "p").groupBy("w", "id").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("x"))
     # In the order of the phrases, as rounding depends on it.
-    return met.select("q", "id", F.round(F.aggregate("x", F.lit(0.0), lambda s, x: s + x["part"]), DECIMALS).alias("bm25"))
+    return met.select("w", "id", F.round(F.aggregate("x", F.lit(0.0), lambda s, x: s + x["part"]), DECIMALS).alias("bm25"))
 
 
-def top(scored: DataFrame, score: str, place: str, pool: int) -> DataFrame:
+def top(scored: DataFrame, score: str, place: str, pool: int, by: str = "q") -> DataFrame:
     """The pool best rows of each question with their rank from 0; Spark cuts each task's rows before the shuffle."""
-    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(score), "id"))
+    order = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), "id"))
     return scored.withColumn(place, order).where(F.col(place) <= pool).withColumn(place, (F.col(place) - 1).cast("long"))
 
 
@@ -174,21 +190,32 @@ def search(questions: DataFrame, entities: DataFrame, index: KeywordIndex, bitma
     """
     pool = max(POOL, offset + limit)
     mode = mode if vectors is not None and asked_vectors is not None else "keyword"
-    read = parsed(questions).persist()
+    # Both are read in many places of the plan, which would parse and count once for each.
+    read = stored(parsed(questions), "questions")
     chosen = read.join(steps(read, bitmaps, allow_relaxation), "f")
     narrow = entities.select(*NARROW)
-    terms = chosen.select("q", "f", "at", "strict_count", "count", "dropped", "locations", "industries", F.col("topics").alias("q_topics"), "founded", "employees", "buckets", (F.size("phrases") > 0).alias("worded"))
+    filters = [F.col("topics").alias(c) if c == "q_topics" else F.col(c) for c in CONSTRAINTS]
+    terms = stored(chosen.select("q", "f", "at", "strict_count", "count", "dropped", *filters, "phrases", (F.size("phrases") > 0).alias("worded")), "terms")
 
     keys = read.dropDuplicates(["f"]).select("f", F.explode("keys").alias("k")).select("f", "k.*")
-    sets = lambda some: step_sets(keys, bitmaps, "f").join(some.select("f", F.col("at").alias("step")).distinct(), ["f", "step"])
+
+    def sets(some: DataFrame) -> DataFrame:
+        """f, block, bits of what matches at the step that some's questions are relaxed to, from the constraints that hold there."""
+        kept = keys.join(some.select("f", "at").distinct(), "f").where("until > at")
+        return step_sets(kept.select("f", "field", "value", F.lit(1).alias("until")), bitmaps, "f")
+
     sides = []
     none = {"bm25": "double", "keyword_rank": "long", "cosine": "double", "vector_rank": "long"}
     if mode != "semantic":
-        hits = keyword_scores(read, index).join(narrow, "id").join(terms, "q").where(matches(F.col("dropped")))
-        sides.append(top(hits.select("q", "id", "bm25"), "bm25", "keyword_rank", pool))
+        wanted = read.select(F.explode("phrases").alias("words")).select(F.array_join("words", " ").alias("p"), "words").dropDuplicates(["p"])
+        held = stored(phrase_hits(wanted, index.postings), "phrases")
+        worded = alike(terms, held.select("p").distinct())
+        hits = keyword_scores(worded, phrase_parts(held, index)).join(narrow, "id").join(worded.drop("q", "phrases", "found").dropDuplicates(["k"]), "w").where(matches(F.col("dropped")))
+        ranked = top(hits.select("k", "id", "bm25"), "bm25", "keyword_rank", pool, "k")
+        sides.append(worded.select("q", "k").join(ranked, "k"))
     if mode != "keyword":
         masks = sets(terms).join(terms.select("q", "f"), "f").select("q", "block", "bits")
-        sides.append(top(vector_scores(masks, vectors, asked_vectors, questions.count(), pool), "cosine", "vector_rank", pool))
+        sides.append(top(vector_scores(masks, vectors, asked_vectors, read.count(), pool), "cosine", "vector_rank", pool))
     else:
         # Without words or vectors the first ids that match are listed.
         bare = terms.where(~F.col("worded"))
@@ -200,7 +227,7 @@ def search(questions: DataFrame, entities: DataFrame, index: KeywordIndex, bitma
         s = s.select("q", "id", *[F.col(c) if c in s.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
         both = s if both is None else both.unionByName(s)
     found = rank.with_ranks(both.groupBy("q", "id").agg(*[F.max(c).alias(c) for c in none]))
-    met = found.join(narrow, "id").join(terms, "q")
+    met = found.join(narrow, "id").join(terms.drop("phrases"), "q")
     shared = F.size(F.array_intersect("q_topics", "topics")).cast("double") / F.size("q_topics")
     parts = met.withColumns({
         "topic_score": F.when(F.size("q_topics") > 0, F.lit(rank.TOPIC_WEIGHT) * shared / rank.RRF_K).otherwise(0.0),

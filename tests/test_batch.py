@@ -118,3 +118,24 @@ def test_batch_equals_the_engine(spark, entities, index, mode, more):
         r = info[k]
         assert (r["strict_count"], r["count"], r["dropped"], r["fallback"]) == (strict, count, dropped, fallback), text
         assert pages.get(k, []) == page, text
+
+
+def test_questions_that_rank_alike_are_ranked_once(spark, entities, index, monkeypatch):
+    """Words that no entity holds made each question a search of its own: every hit stood once for each of them."""
+    rows = []
+    scores = batch.keyword_scores
+    monkeypatch.setattr(batch, "keyword_scores", lambda *a: rows.append(scores(*a)) or rows[-1])
+    asked = [(f"q{i}", f"{'fraud detection' if i % 2 else 'smart grid'} in {'Finland' if i % 3 else 'Norway'} zebra{'x' * i}") for i in range(24)]
+    words = KeywordIndex.of(entities)
+    found = batch.search(spark.createDataFrame(asked, "q string, text string"), entities, words, index, mode="keyword")
+    pages = {}
+    for r in found.results.orderBy("q", "place").collect():
+        pages.setdefault(r["q"], []).append((r["id"], r["score"], r["bm25"]))
+    hits = rows[0].groupBy("w").count().collect()
+    assert len(hits) == 2 and sum(r["count"] for r in hits) == entities.where("w_topics like '%fraud  detection%' or w_topics like '%smart  grid%'").count()
+    for k, _ in asked:
+        assert pages[k] == pages[f"q{int(k[1:]) % 6}"] and pages[k]
+    assert len({str(p) for p in pages.values()}) == 4
+    engine = Engine(entities)
+    for k, text in asked[:4]:
+        assert [p[:2] for p in pages[k]] == one_by_one(engine, text, "keyword")[0]

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from entitylens.llm import ngram_join, suffix_dedup
 from entitylens.llm.common import maybe_in
-from entitylens.operators import bitmaps, blocks, vectors
+from entitylens.operators import bitmaps, blocks, lexical, vectors
 from entitylens.operators.filters import Filters
-from entitylens.plans import queries
+from entitylens.plans import batch, queries
 from entitylens.plans.queries import QUERIES
 
 #: Part of the pattern that finds topics, which only the derivation of entities has.
@@ -118,3 +118,31 @@ def test_short_texts_are_looked_at_together(monkeypatch):
     found = rows([batch(every)])
     assert len(calls) <= 1 + sum(map(len, texts)) // (suffix_dedup.AT_ONCE // 2)
     assert found and found == rows([batch([x]) for x in every])
+
+
+def test_indexes_expand_rows_in_tasks(spark, sf_dir):
+    """Words and values were one row for each occurrence in every plan, which were sorted and, for words, shuffled."""
+    e = queries.snapshot(spark, sf_dir)
+    assert "Exchange" not in plan(lexical.postings(e))
+    assert not re.search("Aggregate|collect_", plan(bitmaps.bitmap_index(e)))
+
+
+def test_postings_of_odd_rows(spark):
+    """Repeated words, fields that are null or blank, and more rows than are looked at at once."""
+    rows = [(i, " a  b  a ", None if i % 2 else "  ", " a " if i % 3 else "", 4) for i in range(lexical.ROWS_AT_ONCE + 3)]
+    df = spark.createDataFrame(rows, "id long, w_name string, w_description string, w_topics string, n_words int").coalesce(1)
+    topics = 2 << lexical.APART
+    found = {(r["id"], r["term"]): (r["n_words"], r["places"]) for r in lexical.postings(df).collect()}
+    assert found == {(i, t): (4, [0, 2] + [topics] * bool(i % 3) if t == "a" else [1]) for i, *_ in rows for t in "ab"}
+    assert lexical.postings(df.where("false")).collect() == []
+
+
+def test_questions_are_parsed_once(spark, sf_dir, monkeypatch):
+    """Every branch of the plan parsed all questions again, as none waited for another's rows."""
+    plans = []
+    search = batch.search
+    monkeypatch.setattr(batch, "search", lambda *a, **k: plans.append(search(*a, **k)) or plans[-1])
+    QUERIES["batch_search"](spark, sf_dir)
+    assert "text" in optimized(queries.asked_of_benchmark(spark, sf_dir))
+    # Only listing without words reads an Arrow step of its own, first_ids.
+    assert optimized(plans[0].results).count("MapInArrow") <= 1 and "MapInArrow" not in optimized(plans[0].questions)
